@@ -34,7 +34,7 @@ ORDER_WORDS = frozenset(
     "sulfate bromide extended release delayed immediate patch cream ointment spray drops topical".split()
 )
 THRESHOLD = 0.6
-OWN_SHARE = 1e-4  # share of all tokens that a word of the corpus needs: there are 10,000 at most
+OWN_SHARE = 4e-4  # share of all tokens that a word of the corpus needs: there are 2,500 at most
 OWN_RATIO = 0.25  # of the nearest listed word's count, from which a word three edits away isn't its slip
 WHOLE = 0.25  # edits for each letter up to which a value as a whole is a name
 _TOKEN = re.compile(r"[a-z]+\d*|\d+(?:\.\d+)?|%")
@@ -187,6 +187,8 @@ class Ranker:
                 continue
             if one:
                 out.extend(self._sim(r) for r in one)
+            elif full := self._written_out(t):
+                out.append((full, 0.8))
             elif len(t) > 1 and not t[0].isdigit():
                 out.append((t, 1.0))
             elif t[0].isdigit() and t in self.idf:
@@ -202,6 +204,13 @@ class Ranker:
                     ref, score = i, 1 - d / len(name)
         return (ref, score) if score >= THRESHOLD else (0, score)
 
+    def _written_out(self, token: str) -> str | None:
+        """The one listed word that two or three letters abbreviate: same first and last letter, the rest in order."""
+        if not 2 <= len(token) <= 3 or not token.isalpha():
+            return None
+        fits = [w for w in self.idf if len(w) > 5 and w[0] == token[0] and w[-1] == token[-1] and re.search(".*".join(token), w)]
+        return fits[0] if len(fits) == 1 else None
+
     @staticmethod
     def _sim(repair: tuple[str, int]) -> tuple[str, float]:
         return repair[0], 1 - 0.5 * repair[1] / max(len(repair[0]), 1)
@@ -293,8 +302,9 @@ def own_words(frequent: dict[str, int], listed: Ranker) -> frozenset[str]:
         if got is None and out:
             got = Vocabulary(out).near(t)
         if got is None:
-            # two words run together with a slip at most aren't a new one
-            if sum(d for _, d in known.repair(t) or [("", 2)]) > 1:
+            # two words run together aren't a new one
+            cut = known.repair(t)
+            if not cut or sum(d for _, d in cut) > (2 if min(len(w) for w, _ in cut) > 3 else 0):
                 out.add(t)
         elif got[1] > 2 and n > OWN_RATIO * frequent.get(got[0], 1):
             out.add(t)
