@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import problems, reference
 
-QUERIES = dict(problems.QUERIES)
-ORACLES: dict[str, str] = dict(problems.ORACLES)
+QUERIES = problems.QUERIES | reference.QUERIES
+ORACLES: dict[str, str] = problems.ORACLES | reference.ORACLES
