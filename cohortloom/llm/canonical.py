@@ -226,7 +226,7 @@ def map_to_list(values: DataFrame, reference: DataFrame, value: str = "value", n
     """
     spark = values.sparkSession
     entries = [(int(r[0]), r[1], r[2]) for r in reference_rows(reference, "ref_id", "ref_name", extra_names) if r[0] is not None and r[1]]
-    names = {" ".join(e[1].lower().split()) for e in entries}
+    names = {e[1].strip().lower() for e in entries}
     rows = values.drop("ref_id", "score", "exact").withColumn("_v", F.lower(F.regexp_replace(F.regexp_replace(F.col(value).cast("string"), r"^\s+|\s+$", ""), r"\s+", " ")))
     there = F.col("_v").isNotNull() & ~F.col("_v").isin(*sorted(MISSING))
     distinct = written(rows.filter(there).groupBy("_v").count(), "values")
@@ -286,7 +286,7 @@ def map_to_list(values: DataFrame, reference: DataFrame, value: str = "value", n
     salted = rows.withColumn("_s", F.when(is_hot, F.floor(F.rand(11) * salts).cast("int")).otherwise(F.lit(0)))
     return (
         salted.join(found, ["_v", "_s"], "left")
-        .withColumn("exact", F.coalesce(F.col("_v").isin(sorted(names)), F.lit(False)))
+        .withColumn("exact", F.coalesce(F.lower(F.regexp_replace(F.col(value).cast("string"), r"^\s+|\s+$", "")).isin(sorted(names)), F.lit(False)))
         .drop("_v", "_s")
     )
 
