@@ -26,8 +26,8 @@ LEAF = 120  # records of a random-projection leaf
 TREES = 3
 DESCENTS = 2
 REVERSE = 12  # neighbours' neighbours taken from the other side of an edge in a round
-DRIVER_NODES = 20_000  # communities up to which the last levels are settled on the driver
-DRIVER_EDGES = 400_000
+DRIVER_NODES = 2_500  # communities up to which the last levels are settled on the driver
+DRIVER_EDGES = 60_000
 MOVES = 6
 LONE = 0.7
 STRAGGLER = 0.005  # share of all records under which a community is no group
@@ -227,6 +227,8 @@ def communities(edges: DataFrame, min_groups: int = 1, max_groups: int = 1_000_0
     """
     level = written(edges, "edges")
     total = level.agg(F.sum("w")).collect()[0][0] or 0.0
+    if not total:
+        return level.select("a").distinct().withColumn("c", F.lit(-1).cast("long")), 1.0
     chain: list[DataFrame] = []
     weights = None  # records in each node of the level
     while True:
@@ -240,8 +242,6 @@ def communities(edges: DataFrame, min_groups: int = 1, max_groups: int = 1_000_0
         for turn in range(moves):
             parts = written(_move(level, parts, total, turn, 1.0), "parts")
         chain.append(parts.select("a", "c"))
-        if total == 0:
-            break
         level = written(
             level.join(parts.select("a", F.col("c").alias("ca")), "a")
             .join(parts.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b")
@@ -310,7 +310,7 @@ def settle(a: np.ndarray, b: np.ndarray, w: np.ndarray, weights: dict[int, int],
     size = np.array([weights[int(v)] for v in ids], float)
     x, y = np.array([at[int(v)] for v in a], int), np.array([at[int(v)] for v in b], int)
     tried = []
-    for gamma in np.geomspace(1.0, 0.005, 22):
+    for gamma in np.geomspace(1.0, 0.01, 16):
         label = louvain(x, y, w, len(ids), gamma)
         mass = np.bincount(label, weights=size)
         tried.append((gamma, label, int((mass >= straggler * size.sum()).sum())))
