@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import QUANTITY_UNITS
+from ..session import written
 
 # Conversions to the common unit, value * factor + offset.
 CONVERSIONS = {
@@ -181,17 +182,20 @@ def to_common_units(readings: DataFrame, model: UnitModel | None = None) -> Data
     decided by their patient's level, the median of the sure readings; only those rows are joined, and the levels are
     one small row per patient and quantity. ``uncertain`` marks a final posterior under 0.9.
 
-    ``readings`` is read three times; pass a written table, not an expensive plan.
+    ``readings`` is read twice, for the fit and for the assignment, which is written; pass a written table, not an
+    expensive plan.
     """
     model = model or fit_units(readings)
-    first = _assign(readings, model, None)
+    first = written(_assign(readings, model, None), "assigned")
     open_ = F.col("v1").isNotNull() & F.col("from_unit").isNotNull() & (F.col("posterior") < SURE)
+    asked = first.filter(open_)
     levels = (
         first.filter(F.col("from_unit").isNotNull() & ~open_ & (F.col("x") > 0) & F.col("pid").isNotNull())
+        .join(asked.select("pid", "attribute").distinct(), ["pid", "attribute"], "left_semi")
         .groupBy("pid", "attribute")
         .agg(F.percentile_approx(F.log("x"), 0.5, 200).alias("level"))
     )
     kept = first.filter(~open_)
-    again = first.filter(open_).select(*readings.columns).join(levels, ["pid", "attribute"], "left").select(*readings.columns, "level")
-    decided = _assign(again, model, "level").drop("level")
+    again = asked.select(*readings.columns).join(levels, ["pid", "attribute"], "left").select(*readings.columns, "level")
+    decided = written(_assign(again, model, "level").drop("level"), "decided")
     return kept.unionByName(decided).withColumn("uncertain", F.col("from_unit").isNotNull() & (F.col("posterior") < 0.9))
