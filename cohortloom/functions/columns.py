@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import rules
+
 # Tokens that mean "missing" in each dataset, compared after trimming, in upper case.
 MISSING_DIAGNOSES = ("", "NAN", "NA", "N/A", "NULL", "NONE", ".", "..", "...", "?", "-", "UNKNOWN", "UNSPECIFIED", "*UNSPECIFIED", "*UNK", "*DELETED")
 MISSING_MEDS = ("", "NAN", "NA", "N/A", "NULL", "NONE", ".")
@@ -125,6 +127,23 @@ def normal_name(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(strip(c)), r"[-\s]+", "_"), "_+", "_")
 
 
+def vital_name(c: Column) -> Column:
+    """A vital's name in normal form, known synonyms as the vital they mean."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(strip(c)), r"[-/\\ ]", "_"), "[^a-z0-9_]+", "")
+    key = F.regexp_replace(F.regexp_replace(bare, "_+", "_"), "^_|_$", "")
+    table = F.create_map(*[F.lit(x) for name, many in rules.VITAL_SYNONYMS.items() for s in many for x in (s, name)])
+    return F.coalesce(F.try_element_at(table, key), key)
+
+
+def race_group(c: Column) -> Column:
+    """The group that a race's text begins like; Unknown/Other for all else, null too."""
+    low = F.lower(strip(c))
+    out = F.lit("Unknown/Other")
+    for start, group in rules.RACE_GROUPS.items():
+        out = F.when(F.coalesce(F.startswith(low, F.lit(start)), F.lit(False)), F.lit(group)).otherwise(out)
+    return out
+
+
 def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^0-9a-z]+", "_"), "^_+|_+$", "")
 

@@ -30,26 +30,44 @@ DIAGNOSIS_PREFIXES = {
     "atrial_fibrillation": ["I48"], "hyperlipidemia": ["E78"], "cerebrovascular": ["I60-I69", "G45"], "pvd": ["I70", "I73"], "valvular": ["I05-I08", "I34-I39"],
     "cardiomyopathy": ["I42"], "obesity": ["E66"], "copd": ["J40-J47"], "osa": ["G47.3"], "tobacco_use": ["F17", "Z87.891"],
 }
+# Diagnosis groups and words of a code category's description.
+CATEGORY_KEYWORDS = {
+    "has_hypertension": ["hypertension"], "has_heart_failure": ["heart failure"], "has_diabetes": ["diabetes"], "has_ckd": ["chronic kidney disease"],
+    "has_ischemic_heart_disease": ["coronary atherosclerosis", "myocardial infarction", "angina"], "has_arrhythmia_afib": ["dysrhythmia"], "has_hyperlipidemia": ["lipid"],
+    "has_cerebrovascular": ["cerebrovascular", "transient cerebral ischemia"], "has_pvd": ["peripheral and visceral atherosclerosis", "aortic"], "has_valvular": ["heart valve", "valvular"],
+    "has_cardiomyopathy": ["cardiomyopathy"], "has_obesity": ["obesity", "overweight"], "has_copd": ["chronic obstructive", "bronchiectasis"], "has_osa": ["sleep"],
+}
 # Drug groups and the names that a drug's text may hold.
 DRUG_GROUPS = {
-    "med_diuretic": ["furosemide", "bumetanide", "hydrochlorothiazide", "hctz", "chlorthalidone", "spironolactone", "torsemide", "metolazone", "eplerenone"],
-    "med_beta_blocker": ["metoprolol", "atenolol", "carvedilol", "bisoprolol", "propranolol", "labetalol", "nebivolol"],
-    "med_ace_inhibitor": ["lisinopril", "enalapril", "ramipril", "benazepril", "captopril", "quinapril"],
-    "med_arb": ["losartan", "valsartan", "olmesartan", "telmisartan", "candesartan", "irbesartan"],
-    "med_ccb": ["amlodipine", "nifedipine", "diltiazem", "verapamil", "felodipine"],
-    "med_alpha_blocker": ["doxazosin", "prazosin", "terazosin"],
-    "med_central_alpha2_agonist": ["clonidine", "methyldopa", "guanfacine"],
-    "med_vasodilator": ["hydralazine", "minoxidil"],
-    "med_statin": ["atorvastatin", "simvastatin", "rosuvastatin", "pravastatin", "lovastatin"],
-    "med_other_lipid_lowering": ["ezetimibe", "fenofibrate", "gemfibrozil", "niacin"],
-    "med_antiplatelet": ["aspirin", "clopidogrel", "ticagrelor", "prasugrel"],
-    "med_anticoagulant": ["warfarin", "apixaban", "rivaroxaban", "dabigatran", "heparin", "enoxaparin"],
-    "med_nitrate": ["nitroglycerin", "isosorbide"],
-    "med_antiarrhythmic": ["amiodarone", "digoxin", "flecainide", "dofetilide"],
-    "med_antidiabetic_oral": ["metformin", "glipizide", "glyburide", "glimepiride", "sitagliptin", "linagliptin"],
-    "med_sglt2_inhibitor": ["empagliflozin", "dapagliflozin", "canagliflozin"],
-    "med_glp1_agonist": ["semaglutide", "dulaglutide", "liraglutide"],
+    "med_diuretic": "furosemide bumetanide torsemide ethacrynic amiloride hydrochlorothiazide hctz indapamide triamterene chlorthalidone chlorothiazide metolazone spironolactone eplerenone".split(),
+    "med_beta_blocker": "metoprolol atenolol carvedilol bisoprolol propranolol labetalol nebivolol nadolol sotalol esmolol betaxolol acebutolol pindolol timolol penbutolol".split(),
+    "med_ace_inhibitor": "lisinopril enalapril ramipril benazepril captopril fosinopril quinapril perindopril trandolapril moexipril".split(),
+    "med_arb": "losartan valsartan olmesartan telmisartan candesartan irbesartan azilsartan eprosartan".split(),
+    "med_ccb": "amlodipine nifedipine felodipine nicardipine isradipine nisoldipine clevidipine diltiazem verapamil".split(),
+    "med_alpha_blocker": "doxazosin prazosin terazosin".split(),
+    "med_central_alpha2_agonist": "clonidine methyldopa guanfacine guanabenz reserpine".split(),
+    "med_vasodilator": "hydralazine minoxidil nitroprusside".split(),
+    "med_statin": "atorvastatin simvastatin rosuvastatin pravastatin lovastatin pitavastatin fluvastatin".split(),
+    "med_other_lipid_lowering": "ezetimibe evolocumab alirocumab fenofibrate fenofibric gemfibrozil niacin cholestyramine colesevelam bempedoic icosapent".split(),
+    "med_antiplatelet": "aspirin clopidogrel prasugrel ticagrelor dipyridamole cilostazol".split(),
+    "med_anticoagulant": "warfarin apixaban rivaroxaban dabigatran edoxaban enoxaparin fondaparinux heparin".split(),
+    "med_nitrate": "nitroglycerin isosorbide".split(),
+    "med_antiarrhythmic": "amiodarone dronedarone digoxin dofetilide flecainide propafenone mexiletine quinidine disopyramide ibutilide".split(),
+    "med_antidiabetic_oral": "metformin glipizide glyburide glibenclamide gliclazide glimepiride pioglitazone rosiglitazone sitagliptin linagliptin saxagliptin alogliptin repaglinide nateglinide acarbose".split(),
+    "med_sglt2_inhibitor": "empagliflozin dapagliflozin canagliflozin ertugliflozin".split(),
+    "med_glp1_agonist": "liraglutide semaglutide dulaglutide exenatide lixisenatide tirzepatide".split(),
     "med_insulin": ["insulin"],
 }
-# Labels of race by prefix.
-RACE_PREFIXES = {"a.": "group_a", "b.": "group_b", "c.": "group_c", "d.": "group_d", "z.": "missing"}
+# Race by the beginning of the lower-cased text; anything else is Unknown/Other.
+RACE_GROUPS = {
+    "d. asian": "Asian", "f. multiracial": "Multiracial", "e. pacific islander": "Pacific Islander", "a. white": "White", "b. black": "Black or African American",
+    "c. american indian": "American Indian or Alaska Native", "hispanic": "Hispanic",
+}
+# Other names of a vital after normalising.
+VITAL_SYNONYMS = {
+    "height": "ht height height_cm height_in".split(),
+    "weight": "wt weight weight_kg weight_lb weight_lbs".split(),
+    "bmi": "bmi body_mass_index body_mass_index_bmi".split(),
+    "bp_systolic": "systolic systolic_bp systolic_blood_pressure blood_pressure_systolic bp_systolic".split(),
+    "bp_diastolic": "diastolic diastolic_bp diastolic_blood_pressure blood_pressure_diastolic bp_diastolic".split(),
+}

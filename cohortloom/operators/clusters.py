@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,20 +73,53 @@ def assign_nearest(points: DataFrame, centres: list[tuple], key: str, x: str, di
     return points.select(key, best["label"].alias("label"), best["distance"].alias("distance"))
 
 
+QUERY_LIMIT = 5_000
+SAMPLE_LIMIT = 10_000
+
+
+def _matrix(rows: list, x: str) -> np.ndarray:
+    return np.array([r[x] for r in rows], float).reshape(len(rows), -1) if rows else np.zeros((0, 0))
+
+
+def _arrays(column: pa.Array, n: int) -> np.ndarray:
+    return np.asarray(column.flatten(), float).reshape(n, -1)
+
+
 def exact_neighbours(points: DataFrame, queries: DataFrame, key: str, x: str, k: int) -> DataFrame:
     """(q, key, similarity, rnk): the k most cosine-similar points of each query, ties by key.
 
-    ``queries`` are a stated, checked set (5,000 at most) that goes to every task; each task keeps the k best per query,
-    so only k rows per query and task are shuffled.
+    ``queries`` are a stated, checked set (5,000 at most) that goes to every task. Each batch of points is one matrix
+    product against them and keeps its k best per query, so only those rows are shuffled.
     """
-    if queries.count() > 5_000:
+    rows = queries.select(key, F.col(x).cast("array<double>").alias("x")).limit(QUERY_LIMIT + 1).collect()
+    if len(rows) > QUERY_LIMIT:
         raise ValueError("exact search takes 5,000 queries at most; use the approximate graph beyond")
-    unit = lambda c: F.transform(c, lambda v: v / F.sqrt(dot(c, c)))
-    p = points.select(key, unit(F.col(x).cast("array<double>")).alias("px"))
-    q = queries.select(F.col(key).alias("q"), unit(F.col(x).cast("array<double>")).alias("qx"))
-    sim = p.join(F.broadcast(q), F.col("q") != F.col(key)).select("q", key, F.round(dot(F.col("px"), F.col("qx")), 9).alias("similarity"))
-    w = Window.partitionBy("q").orderBy(F.desc("similarity"), key)
-    return sim.withColumn("rnk", F.row_number().over(w)).filter(F.col("rnk") <= k)
+    kind = points.schema[key].dataType.simpleString()
+    names = np.array([r[key] for r in rows])
+    q = _matrix(rows, "x")
+    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+
+    def run(batches):
+        for b in batches:
+            ids = np.asarray(b["key"])
+            p = _arrays(b["x"], b.num_rows)
+            p = p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-300)
+            out = []
+            for s in range(0, len(q), 512):
+                sim = np.round(q[s : s + 512] @ p.T, 9)
+                sim[names[s : s + 512][:, None] == ids[None, :]] = -np.inf
+                m = min(k, sim.shape[1])
+                # everything as good as the k-th best stays, so that ties are settled over all batches
+                limit = -np.partition(-sim, m - 1, axis=1)[:, m - 1 : m]
+                i, j = np.nonzero((sim >= limit) & (sim > -np.inf))
+                out.append((names[s + i], ids[j], sim[i, j]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], ["q", "key", "similarity"])
+
+    if not rows:
+        return points.sparkSession.createDataFrame([], f"q {kind}, {key} {kind}, similarity double, rnk int")
+    found = points.select(F.col(key).alias("key"), F.col(x).cast("array<double>").alias("x")).mapInArrow(run, f"q {kind}, key {kind}, similarity double")
+    w = Window.partitionBy("q").orderBy(F.desc("similarity"), "key")
+    return found.withColumn("rnk", F.row_number().over(w)).filter(F.col("rnk") <= k).withColumnRenamed("key", key)
 
 
 def shared_neighbours(near: DataFrame) -> DataFrame:
@@ -114,15 +149,41 @@ def small_to_outlier(labels: DataFrame, label: str, least: int) -> DataFrame:
 
 
 def silhouette(points: DataFrame, sample: DataFrame, key: str, x: str, label: str) -> DataFrame:
-    """(silhouette, n) over a stated sample against itself, Euclidean; members of single-member groups count 0."""
-    if sample.count() > 10_000:
+    """(silhouette, n) over a stated sample against itself, Euclidean; members of single-member groups count 0.
+
+    The sample, 10,000 points at most, goes to every task; each batch of it is compared with the whole by blocks.
+    """
+    data = sample.select(key, F.col(x).cast("array<double>").alias("x"), label).limit(SAMPLE_LIMIT + 1).collect()
+    if len(data) > SAMPLE_LIMIT:
         raise ValueError("a silhouette sample holds 10,000 points at most")
-    p = sample.select(F.col(key).alias("i"), F.col(x).cast("array<double>").alias("px"), F.col(label).alias("li"))
-    q = F.broadcast(sample.select(F.col(key).alias("j"), F.col(x).cast("array<double>").alias("qx"), F.col(label).alias("lj")))
-    d = p.join(q, F.col("i") != F.col("j")).groupBy("i", "li", "lj").agg(F.avg(F.sqrt(squared_distance(F.col("px"), F.col("qx")))).alias("d"))
-    s = d.groupBy("i").agg(F.min(F.when(F.col("li") == F.col("lj"), F.col("d"))).alias("a"), F.min(F.when(F.col("li") != F.col("lj"), F.col("d"))).alias("b"))
-    v = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return s.agg(F.round(F.avg(v), 6).alias("silhouette"), F.count("*").alias("n"))
+    all_, codes = _matrix(data, "x"), np.unique([str(r[label]) for r in data], return_inverse=True)
+    names, codes = codes
+    size = np.bincount(codes, minlength=len(names)).astype(float)
+    one = np.eye(len(names))[codes] if len(data) else np.zeros((0, 0))
+    square = (all_**2).sum(axis=1)
+
+    def run(batches):
+        for b in batches:
+            p = _arrays(b["x"], b.num_rows)
+            own = np.searchsorted(names, np.array(b["label"].to_pylist(), dtype=names.dtype))
+            rows = np.arange(len(p))
+            sums = np.zeros((len(p), len(names)))
+            for s in range(0, len(p), 256):
+                d = np.sqrt(np.maximum((p[s : s + 256] ** 2).sum(axis=1)[:, None] + square[None] - 2 * p[s : s + 256] @ all_.T, 0))
+                sums[s : s + 256] = d @ one
+            mates = size[own] - 1
+            a = sums[rows, own] / np.maximum(mates, 1)
+            mean = sums / size[None]
+            mean[rows, own] = np.inf
+            other = mean.min(axis=1)
+            ok = (mates > 0) & np.isfinite(other)
+            v = np.where(ok, (other - a) / np.maximum(np.maximum(a, np.where(ok, other, 1)), 1e-300), 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array(v)], ["v"])
+
+    if not data:
+        return sample.sparkSession.createDataFrame([(None, 0)], "silhouette double, n long")
+    scored = sample.select(F.col(x).cast("array<double>").alias("x"), F.col(label).cast("string").alias("label")).mapInArrow(run, "v double")
+    return scored.agg(F.round(F.avg("v"), 6).alias("silhouette"), F.count("*").alias("n"))
 
 
 def dispersion(points: DataFrame, x: str, label: str, size: int) -> tuple[list, list[float], int, float]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,11 +57,20 @@ def top_codes(freq: DataFrame, least_pct: float = 20) -> list[str]:
     return [r[0] for r in freq.filter(F.bround("pct_of_entities") >= least_pct).select("code").orderBy("code").collect()]
 
 
-def moments(df: DataFrame, names: list[str]) -> tuple[list, dict]:
-    """Sums that all pairwise correlations follow from, in one aggregation."""
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)], *[F.var_pop(n).alias(f"v{i}") for i, n in enumerate(names)]).collect()[0]
-    return pairs, {**{p: row[f"c{i}"] for i, p in enumerate(pairs)}, **{n: row[f"v{i}"] for i, n in enumerate(names)}}
+def standalone_meds(freq: DataFrame, groups: dict[str, list[str]], least_pct: float = 20) -> dict[str, str]:
+    """Flag name -> generic for frequent generics that no drug group covers; of those with one name the first stays."""
+    out: dict[str, str] = {}
+    for g in top_codes(freq, least_pct):
+        name = "med_" + re.sub("^_+|_+$", "", re.sub("[^0-9a-z]+", "_", g.lower()))
+        if name not in out and name not in groups and not any(d in g.lower() for many in groups.values() for d in many):
+            out[name] = g
+    return out
+
+
+def keyword_categories(mapping: DataFrame, words: dict[str, list[str]]) -> DataFrame:
+    """(code, category) from a code list with descriptions: all flags one of whose words is in the description."""
+    tests = F.array_compact(F.array(*[F.when(C.contains_any(F.lower(F.col("description")), many), F.lit(k)) for k, many in words.items()]))
+    return mapping.select("code", F.explode(tests).alias("category")).distinct()
 
 
 def varying(df: DataFrame, names: list[str]) -> list[str]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import rules as R
-from ..operators import clusters, codes, evaluate, features, learn, link, series, tables, wide
+from ..operators import clusters, codes, evaluate, features, graph, learn, link, series, tables, wide
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -815,6 +815,21 @@ def star_join(spark, sf):
     return l.groupBy("s_nationkey", "p_type").agg(F.countDistinct("l_orderkey").alias("n_orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
+@query("SELECT grp, count(*) AS n FROM (SELECT " + "CASE " + " ".join(f"WHEN starts_with(lower({s_strip('RACE')}), '{k}') THEN '{v}'" for k, v in R.RACE_GROUPS.items()) + " ELSE 'Unknown/Other' END AS grp FROM comorbidities) GROUP BY grp")
+def race_groups(spark, sf):
+    return t(spark, sf, "comorbidities").groupBy(C.race_group(F.col("RACE")).alias("grp")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"SELECT 'med_' || trim(regexp_replace(lower(code), '[^0-9a-z]+', '_', 'g'), '_') AS flag, code AS generic FROM ({ORACLES['med_frequency']}) WHERE round_even(pct_of_entities, 0) >= 3 AND NOT ("
+    + " OR ".join(f"contains(lower(code), '{d}')" for many in R.DRUG_GROUPS.values() for d in many)
+    + ") QUALIFY row_number() OVER (PARTITION BY 'med_' || trim(regexp_replace(lower(code), '[^0-9a-z]+', '_', 'g'), '_') ORDER BY code) = 1"
+)
+def standalone_meds(spark, sf):
+    found = codes.standalone_meds(med_frequency(spark, sf), R.DRUG_GROUPS, 3)
+    return spark.createDataFrame(list(found.items()), "flag string, generic string")
+
+
 # without SQL: iterative or trained
 
 
@@ -857,3 +872,24 @@ def forest_predictions(spark, sf):
     m = labelled(spark, sf)
     out, _ = learn.forest(m, ID, "cluster", [c for c in m.columns if c.startswith("med_")] + CONT, trees=20)
     return out.select(F.col(ID).alias("id"), "truth", "predicted")
+
+
+def _fuzzy(spark, sf):
+    near = all_neighbours(spark, sf).select(F.col("q").alias("a"), F.col("vec_id").alias("b"), (1 - F.col("similarity")).alias("d"))
+    return graph.fuzzy_weights(near)
+
+
+@query()
+def fuzzy_graph(spark, sf):
+    return _fuzzy(spark, sf).withColumn("w", F.round("w", 6))
+
+
+@query()
+def graph_communities(spark, sf):
+    return graph.graph_communities(_fuzzy(spark, sf).cache(), least=10)
+
+
+@query()
+def community_stability(spark, sf):
+    scores = graph.stability(_fuzzy(spark, sf).cache(), 3)
+    return spark.createDataFrame([(i, s) for i, s in enumerate(scores)], "run int, ari double")

@@ -81,3 +81,16 @@ def test_small_ones(spark):
     assert [one(spark, s, v="1.0D", u=u) for u in ("'mm[Hg]'", "''", "'kPa'")] == ["valid_mmHg", "missing_assumed_mmHg", "invalid_bp_unit_value_set_missing"]
     assert one(spark, v, v="1.0D", u="'kPa'") is None
     assert one(spark, C.ratio(F.col("a"), F.col("b")), a="1", b="0") is None
+
+
+def test_names_and_groups(spark):
+    assert [one(spark, C.vital_name(F.col("x")), x=f"'{v}'") for v in (" HT ", "Systolic BP", "body-mass/index", "odd (x)")] == ["height", "bp_systolic", "bmi", "odd_x"]
+    assert [one(spark, C.race_group(F.col("x")), x=f"'{v}'") for v in (" A. White", "D. Asian/other", "z. x", "")] == ["White", "Asian", "Unknown/Other", "Unknown/Other"]
+    assert one(spark, C.race_group(F.col("x")), x="cast(null as string)") == "Unknown/Other"
+
+
+def test_keyword_categories(spark):
+    from cohortloom.operators import codes
+
+    m = spark.createDataFrame([("I50", "Heart failure"), ("E11", "Diabetes and obesity"), ("Z00", None)], "code string, description string")
+    assert {tuple(r) for r in codes.keyword_categories(m, R.CATEGORY_KEYWORDS).collect()} == {("I50", "has_heart_failure"), ("E11", "has_diabetes"), ("E11", "has_obesity")}

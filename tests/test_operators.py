@@ -154,3 +154,36 @@ def test_files_are_taken_once(spark, tmp_path):
     (tmp_path / "in/b.csv").write_text("i,v\n3,z\n")
     ingest.append_new(ingest.stream_extract(spark, src, ["i", "v"]), out, state).awaitTermination()
     assert spark.read.parquet(out).count() == 3
+
+
+def test_exact_neighbours_against_brute_force(spark):
+    from cohortloom.operators import graph
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 6))
+    x[50] = x[51] = x[52]  # ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>").repartition(5)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = np.round(u @ u.T, 9)
+    got = {}
+    for r in clusters.exact_neighbours(df, df, "id", "x", 4).collect():
+        got.setdefault(r.q, []).append((r.rnk, r.id))
+    for q in range(120):
+        best = sorted((j for j in range(120) if j != q), key=lambda j: (-sim[q, j], j))[:4]
+        assert [j for _, j in sorted(got[q])] == best
+    assert clusters.exact_neighbours(df, df.limit(0), "id", "x", 4).count() == 0
+    w = graph.fuzzy_weights(clusters.exact_neighbours(df, df, "id", "x", 5).select(F.col("q").alias("a"), F.col("id").alias("b"), (1 - F.col("similarity")).alias("d")))
+    e = {(r.a, r.b): r.w for r in w.collect()}
+    assert all(abs(e[b, a] - v) < 1e-12 and 0 <= v <= 1 + 1e-9 for (a, b), v in e.items())
+
+
+def test_partition_of_cliques(spark):
+    from cohortloom.operators import graph
+
+    pairs = [(i, j, 1.0) for g in range(3) for i in range(5 * g, 5 * g + 5) for j in range(5 * g, 5 * g + 5) if i != j] + [(0, 5, 0.5), (5, 0, 0.5), (20, 21, 1.0), (21, 20, 1.0)]
+    e = spark.createDataFrame(pairs, "a long, b long, w double")
+    got = {r.id: r.label for r in graph.graph_communities(e, least=3).collect()}
+    assert len({got[i] for i in range(15)}) == 3 and all(len({got[5 * g + i] for i in range(5)}) == 1 for g in range(3))
+    assert got[20] == got[21] == -1
+    assert graph.stability(e, 2) == [1.0, 1.0]
+    assert graph.graph_communities(e.limit(0)).count() == 0
