@@ -144,8 +144,9 @@ def modularity(edges: DataFrame, labels: DataFrame, gamma: float = 1.0) -> DataF
 
 
 def small_to_outlier(labels: DataFrame, label: str, least: int) -> DataFrame:
-    n = F.count("*").over(Window.partitionBy(label))
-    return labels.withColumn(label, F.when(n < least, -1).otherwise(F.col(label)))
+    """Labels with fewer than ``least`` rows become -1; rows are counted before anything is joined."""
+    n = labels.groupBy(label).agg(F.count("*").alias("_n"))
+    return labels.join(n, label, "left").withColumn(label, F.when(F.coalesce("_n", F.lit(0)) < least, -1).otherwise(F.col(label))).select(*labels.columns)
 
 
 def silhouette(points: DataFrame, sample: DataFrame, key: str, x: str, label: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,8 +97,18 @@ def by_hash_rank(df: DataFrame, key: str, strata: list[str], seed: int = 42) ->
     modulo 2^32, the same in any engine, others by xxhash64."""
     whole = df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
     h = F.xxhash64(key, F.lit(seed)) if not whole else F.pmod(F.col(key).cast("decimal(30,0)") * F.lit(2654435761).cast("decimal(20,0)") + F.lit(seed), F.lit(4294967296).cast("decimal(20,0)")).cast("long")
-    w = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
-    return df.withColumn("_h", h).withColumns({"rnk": F.row_number().over(w.orderBy("_h", key)).cast("long"), "n_stratum": F.count("*").over(w)}).drop("_h")
+    # ranks within slices of the hash, and the number of rows in the slices before: no task holds a whole stratum
+    slices = 1024
+    low, width = (-(2**63), 2**64 // slices) if not whole else (0, 2**32 // slices)
+    keyed = df.withColumn("_h", h).withColumn("_s", F.floor((F.col("_h").cast("decimal(30,0)") - F.lit(low).cast("decimal(30,0)")) / width).cast("int"))
+    by = [*strata, "_s"]
+    sizes = keyed.groupBy(*by).agg(F.count("*").alias("_n"))
+    over = Window.partitionBy(*(strata or [F.lit(0)]))
+    sizes = sizes.select(*by, (F.sum("_n").over(over.orderBy("_s")) - F.col("_n")).alias("_before"), F.sum("_n").over(over).alias("n_stratum"))
+    ranked = keyed.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_h", key)))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
+    joined = ranked.alias("l").join(sizes.alias("r"), reduce(lambda x, y: x & y, same))
+    return joined.select(*[F.col(f"l.`{c}`") for c in df.columns], (F.col("_before") + F.col("_r")).cast("long").alias("rnk"), "n_stratum")
 
 
 def split(df: DataFrame, key: str, strata: list[str], test_share: float = 0.2) -> DataFrame:

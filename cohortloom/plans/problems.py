@@ -78,7 +78,9 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_wide(spark: SparkSession, sf: str) -> DataFrame:
-    return wide_vitals(to_common_units(vitals(spark, sf))).withColumnRenamed("pid", "pat_mrn_id_encrypt")
+    """One typed row per patient; texts that couldn't be cast stay in ``cast_failures``, as JSON."""
+    wide = wide_vitals(to_common_units(vitals(spark, sf))).withColumnRenamed("pid", "pat_mrn_id_encrypt")
+    return wide.withColumn("cast_failures", F.to_json("cast_failures"))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
