@@ -40,6 +40,12 @@ def drivers(df: DataFrame, label: str, columns: list[str], top: int, standardize
     )
 
 
+def merged_profile(df: DataFrame, label: str, binary: list[str], continuous: list[str]) -> DataFrame:
+    """One row per group: size, share, prevalence of each flag in percent, mean of each measure."""
+    means = df.groupBy(label).agg(*[F.round(100 * F.avg(c), 4).alias(f"{c}_pct") for c in binary], *[F.round(F.avg(c), 6).alias(f"{c}_mean") for c in continuous])
+    return sizes(df, label).join(means, label)
+
+
 def flag_share(df: DataFrame, label: str, flag: Column) -> DataFrame:
     """(label, n, n_flag, prevalence_pct, share_pct) of a 0/1 flag."""
     one = F.coalesce(flag.cast("int"), F.lit(0))

@@ -82,3 +82,23 @@ def principal_components(df: DataFrame, key: str, columns: list[str], k: int) ->
 def cumulative(df: DataFrame, share: str, order: str) -> DataFrame:
     """Running sum of shares; for lists as short as a spectrum."""
     return df.withColumn("cumulative", F.sum(share).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def validate_binary(df: DataFrame, columns: list[str]) -> None:
+    """Raises if a column holds anything but 0, 1 and null."""
+    r = df.agg(*[F.coalesce(F.bool_and(F.col(c).isin(0, 1) | F.col(c).isNull()), F.lit(True)).alias(c) for c in columns]).collect()[0]
+    if bad := [c for c in columns if not r[c]]:
+        raise ValueError(f"not 0/1: {bad}")
+
+
+def finite(df: DataFrame, columns: list[str]) -> DataFrame:
+    """NaN and infinities as null."""
+    ok = lambda c: ~F.isnan(c) & (F.abs(c) != float("inf"))
+    return df.withColumns({c: F.when(ok(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns})
+
+
+def feature_sets(columns: list[str]) -> dict[str, list[str]]:
+    """Diagnoses alone, with drugs, and everything."""
+    diagnoses = [c for c in columns if c.startswith("has_")]
+    drugs = [c for c in columns if c.startswith("med_")]
+    return {"diagnosis": diagnoses, "diagnosis_meds": diagnoses + drugs, "all": list(columns)}

@@ -118,3 +118,20 @@ def split(df: DataFrame, key: str, strata: list[str], test_share: float = 0.2) -
 
 def folds(df: DataFrame, key: str, strata: list[str], k: int = 5) -> DataFrame:
     return by_hash_rank(df, key, strata).withColumn("fold", (F.col("rnk") % k).cast("int")).drop("rnk", "n_stratum")
+
+
+def explode_categories(mapping: DataFrame, code: str, prefix: str) -> DataFrame:
+    """(code, category) from a code list with one column per category: all columns whose name begins with the prefix."""
+    names = [c for c in mapping.columns if c.upper().startswith(prefix.upper())]
+    rows = mapping.select(C.strip(F.col(code)).alias("code"), F.explode(F.array(*[C.strip(F.col(c).cast("string")) for c in names])).alias("category"))
+    return rows.filter("category IS NOT NULL AND category <> ''").distinct()
+
+
+def missing_by_class(df: DataFrame, kind: Column, value: Column, key: str) -> tuple[DataFrame, DataFrame]:
+    """Per class: rows by how the value is missing; entities with rows, with some value, with only missing values."""
+    kinds = C.missing_kinds(value)
+    rows = df.select(F.col(key).alias("_k"), kind.alias("class"), *[k.cast("long").alias(f"n_{n}") for n, k in kinds.items()]).filter("class IS NOT NULL")
+    by_row = rows.groupBy("class").agg(F.count("*").alias("n_rows"), *[F.sum(f"n_{n}").alias(f"n_{n}") for n in kinds])
+    per = rows.groupBy("_k", "class").agg(F.min("n_any").alias("all_missing"))
+    by_entity = per.groupBy("class").agg(F.count("*").alias("with_rows"), F.sum(1 - F.col("all_missing")).alias("with_value"), F.sum("all_missing").alias("only_missing"))
+    return by_row, by_entity

@@ -830,6 +830,35 @@ def standalone_meds(spark, sf):
     return spark.createDataFrame(list(found.items()), "flag string, generic string")
 
 
+@query(
+    f"SELECT cls AS class, count(*) AS n_rows, count(*) FILTER (WHERE k_null) AS n_null, count(*) FILTER (WHERE k_blank) AS n_blank, count(*) FILTER (WHERE k_text) AS n_text, count(*) FILTER (WHERE k_any) AS n_any FROM (SELECT {S_CLASS} AS cls, {s_kinds('MEAS_VALUE')} FROM hypertension_vitals_20250520) WHERE cls IS NOT NULL GROUP BY cls"
+)
+def vital_missing_rows(spark, sf):
+    v = t(spark, sf, "hypertension_vitals_20250520")
+    return tables.missing_by_class(v, C.first_match(F.col("FLO_MEAS_NAME"), R.VITAL_RULES), F.col("MEAS_VALUE"), ID)[0]
+
+
+@query(
+    f"SELECT cls AS class, count(*) AS with_rows, sum(1 - m)::BIGINT AS with_value, sum(m)::BIGINT AS only_missing FROM (SELECT id, cls, min(k_any::INT) AS m FROM (SELECT {s_strip(ID)} AS id, {S_CLASS} AS cls, {s_kinds('MEAS_VALUE')} FROM hypertension_vitals_20250520 WHERE {s_present(ID, C.MISSING_VITALS)}) WHERE cls IS NOT NULL GROUP BY ALL) GROUP BY cls"
+)
+def vital_missing_entities(spark, sf):
+    v = codes.valid_ids(t(spark, sf, "hypertension_vitals_20250520"), ID, C.MISSING_VITALS)
+    return tables.missing_by_class(v, C.first_match(F.col("FLO_MEAS_NAME"), R.VITAL_RULES), F.col("MEAS_VALUE"), ID)[1]
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_ids FROM ({q})" for n, q in S_IDS.items()))
+def unique_ids(spark, sf):
+    out = [ids(spark, sf, n).agg(F.count("*").alias("n_ids")).select(F.lit(n).alias("table_name"), "n_ids") for n in S_IDS]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query(
+    f"SELECT {S_LABEL} AS cluster, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM master_clustering_ready), 4) AS pct, " + ", ".join(f"round(100 * avg({c}), 4) AS {c}_pct" for c in BIN) + ", " + ", ".join(f"round(avg({c}), 6) AS {c}_mean" for c in CONT) + " FROM master_clustering_ready GROUP BY 1"
+)
+def cluster_profile(spark, sf):
+    return clusters.merged_profile(labelled(spark, sf), "cluster", BIN, CONT)
+
+
 # without SQL: iterative or trained
 
 

@@ -187,3 +187,14 @@ def test_partition_of_cliques(spark):
     assert got[20] == got[21] == -1
     assert graph.stability(e, 2) == [1.0, 1.0]
     assert graph.graph_communities(e.limit(0)).count() == 0
+
+
+def test_checks_and_categories(spark):
+    df = spark.createDataFrame([(1, 0.0, float("inf")), (0, 1.0, float("nan")), (None, 2.0, 3.0)], "a int, b double, c double")
+    features.validate_binary(df, ["a"])
+    with pytest.raises(ValueError):
+        features.validate_binary(df, ["a", "b"])
+    assert [r.c for r in features.finite(df, ["c"]).collect()] == [None, None, 3.0]
+    assert features.feature_sets(["has_a", "med_b", "c"])["diagnosis_meds"] == ["has_a", "med_b"]
+    m = spark.createDataFrame([("'I50'", "x", None), ("E11 ", " y", "z")], "code string, `CCSR CATEGORY 1` string, `CCSR CATEGORY 2` string")
+    assert {tuple(r) for r in tables.explode_categories(m, "code", "CCSR CATEGORY").collect()} == {("'I50'", "x"), ("E11", "y"), ("E11", "z")}
