@@ -46,14 +46,26 @@ def task_slots(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+_WRITTEN: list[str] = []
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete the intermediate tables written so far; call it only when the results made from them are complete."""
+    jvm = spark.sparkContext._jvm
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
     """The frame as a Parquet table in the checkpoint folder: columnar, compressed, survives lost executors.
 
-    For intermediate results that several later steps read, each in part.
+    For intermediate results that several later steps read, each in part. They stay until ``forget``.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

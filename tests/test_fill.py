@@ -33,3 +33,15 @@ def test_edges(spark):
     same = spark.createDataFrame([("x", 0.5, 1.0)] * 5 + [("x", None, 1.0)] * 2, "key string, v double, w double")
     out = fill_missing(same, "key", {"v": (0.0, 1.0)}, features=("w",)).collect()
     assert [r.v for r in out] == pytest.approx([0.5] * 7) and sum(r.v_filled for r in out) == 2
+
+
+def test_intermediate_tables_can_be_forgotten(spark):
+    from pathlib import Path
+
+    from cohortloom import session
+
+    kept = session.written(spark.range(3).toDF("i"), "some")
+    path = Path(session._WRITTEN[-1].removeprefix("file:"))
+    assert kept.count() == 3 and path.exists()
+    session.forget(spark)
+    assert not path.exists() and not session._WRITTEN
