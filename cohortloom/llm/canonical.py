@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.editing import osa
 from ..functions.measures import CHANGING, HARMLESS, MISSING
 from ..operators.readings import reference_rows
-from ..session import written
+from ..session import task_slots, written
 
 # Words of orders that don't tell one drug from another.
 ORDER_WORDS = frozenset(
@@ -272,10 +272,13 @@ def map_to_list(values: DataFrame, reference: DataFrame, value: str = "value", n
             yield pa.RecordBatch.from_arrays([b["_v"], pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.float64())], ["_v", "ref_id", "score"])
 
     parts = written(distinct.select("_v").mapInArrow(pieces, "_v string, token string"), "pieces")
-    fixes = parts.select("token").distinct().mapInArrow(repair, "token string, fix array<struct<word: string, d: int>>")
+    # few bytes, much work for each: spread by number of tasks, not by size
+    slots = task_slots(spark)
+    fixes = parts.select("token").distinct().repartition(slots).mapInArrow(repair, "token string, fix array<struct<word: string, d: int>>")
     found = (
         distinct.select("_v")
         .join(parts.join(fixes, "token").groupBy("_v").agg(F.collect_list(F.struct("token", "fix")).alias("fixes")), "_v", "left")
+        .repartition(slots)
         .mapInArrow(decide, "_v string, ref_id long, score double")
     )
     n_rows = distinct.agg(F.sum("count")).collect()[0][0] or 0
