@@ -864,7 +864,7 @@ def cluster_profile(spark, sf):
 
 @query()
 def pca_scores(spark, sf):
-    scores, shares = features.principal_components(t(spark, sf, "master_clustering_ready").select(ID, *[F.col(c) for c in CONT + BIN]), ID, CONT + BIN, 5)
+    scores, _ = features.principal_components(t(spark, sf, "master_clustering_ready").select(ID, *[F.col(c) for c in CONT + BIN]), ID, CONT + BIN, 5)
     return scores.select(F.col(ID).alias("id"), *[F.round(F.col("pc")[i], 6).alias(f"pc{i + 1}") for i in range(5)])
 
 
