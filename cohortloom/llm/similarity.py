@@ -10,7 +10,6 @@ of highest internal weighted degree.
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from collections.abc import Iterator
 
