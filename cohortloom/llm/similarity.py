@@ -2,7 +2,7 @@
 
 An approximate nearest-neighbour graph is built by neighbour descent: random-projection leaves give every record some
 neighbours, then each round compares the neighbours of a record, and those that it is a neighbour of, with each other
-and keeps whatever is nearer. Communities of the symmetric, weighted graph are found by modularity: rounds of local
+and keeps whatever is nearer, until almost no list changes. Communities of the symmetric, weighted graph are found by modularity: rounds of local
 moves over the distributed edges, the communities becoming the nodes of a smaller graph, until that is small enough for
 the driver, where the last levels and the resolution are settled. Communities are described by size and by the members
 of highest internal weighted degree.
@@ -23,8 +23,8 @@ from ..session import task_slots, written
 NEIGHBOURS = 12
 LEAF = 120  # records of a random-projection leaf
 TREES = 3
-DESCENTS = 2
-REVERSE = 12  # neighbours' neighbours taken from the other side of an edge in a round
+CHANGE = 0.002  # share of all list entries that a round must renew for another to follow
+REVERSE = 36  # neighbours' neighbours taken from the other side of an edge in a round
 DRIVER_NODES = 2_500  # communities up to which the last levels are settled on the driver
 DRIVER_EDGES = 60_000
 MOVES = 6
@@ -104,20 +104,22 @@ def _first_neighbours(nodes: DataFrame, tree: int, k: int, leaf: int, chunk: int
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows >= chunk:
+            if rows >= 2 * chunk:  # ranges are only about even
                 yield flush()
                 held, rows = [], 0
         if held:
             yield flush()
 
-    slots = task_slots(nodes.sparkSession)
-    return nodes.select("id", "x", score.alias("s")).repartitionByRange(slots, "s", "id").select("id", "x").mapInArrow(run, "a long, b long, d float")
+    # as many ranges as hold a chunk each, whatever the number of partitions elsewhere: narrower ones cut neighbours apart
+    ranges = max(1, round(nodes.count() / chunk))
+    return nodes.select("id", "x", score.alias("s")).repartitionByRange(ranges, "s", "id").select("id", "x").mapInArrow(run, "a long, b long, d float")
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
-    """(a, near): the k nearest distinct neighbours of each record, nearest first; ties by id."""
+    """(a, near, fresh): the k nearest distinct neighbours of each record, nearest first; ties by id; and how many of them aren't ``old``."""
     pair = F.array_sort(F.collect_set(F.struct("d", "b")))
-    return edges.groupBy("a").agg(F.slice(pair, 1, k).alias("near"))
+    best = edges.groupBy("a").agg(F.slice(pair, 1, k).alias("near"), F.collect_set(F.when(F.col("old"), F.col("b"))).alias("before"))
+    return best.select("a", "near", F.size(F.array_except("near.b", "before")).alias("fresh"))
 
 
 def _descend(nodes: DataFrame, graph: DataFrame, k: int, turn: int, reverse: int) -> DataFrame:
@@ -171,9 +173,10 @@ def _descend(nodes: DataFrame, graph: DataFrame, k: int, turn: int, reverse: int
     return laid.select("centre", "id", "worst", "x").mapInArrow(run, "a long, b long, d float")
 
 
-def neighbour_graph(nodes: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, descents: int = DESCENTS, leaf: int = LEAF, chunk: int = 20_000, reverse: int = REVERSE) -> DataFrame:
+def neighbour_graph(nodes: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, change: float = CHANGE, leaf: int = LEAF, chunk: int = 20_000, reverse: int = REVERSE) -> DataFrame:
     """(a, near array<struct<d, b>>): approximately the k nearest neighbours of every record of (id, x), by distance squared.
 
+    Rounds of descent go on until one renews at most the share ``change`` of the list entries; as lists only get nearer, that comes.
     Every record with at least one other has neighbours; frames of none or one give an empty graph.
     """
     if not nodes.head(1):
@@ -181,11 +184,16 @@ def neighbour_graph(nodes: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, d
     found = _first_neighbours(nodes, 0, k, leaf, chunk)
     for t in range(1, trees):
         found = found.unionByName(_first_neighbours(nodes, t, k, leaf, chunk))
-    graph = written(_best(found, k), "graph")
-    for turn in range(descents):
-        old = graph.select("a", F.explode("near").alias("e")).select("a", F.col("e.b").alias("b"), F.col("e.d").alias("d"))
-        graph = written(_best(old.unionByName(_descend(nodes, graph, k, turn, reverse)), k), "graph")
-    return graph
+    graph = written(_best(found.withColumn("old", F.lit(False)), k), "graph")
+    turn = 0
+    while True:
+        old = graph.select("a", F.explode("near").alias("e"), F.lit(True).alias("old")).select("a", F.col("e.b").alias("b"), F.col("e.d").alias("d"), "old")
+        better = _descend(nodes, graph, k, turn, reverse).withColumn("old", F.lit(False))
+        graph = written(_best(old.unionByName(better), k), "graph")
+        renewed = graph.agg((F.sum("fresh") / F.sum(F.size("near"))).alias("r")).collect()[0][0] or 0.0
+        if renewed <= change:
+            return graph.select("a", "near")
+        turn += 1
 
 
 def weighted_edges(graph: DataFrame) -> DataFrame:

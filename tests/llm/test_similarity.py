@@ -36,6 +36,28 @@ def test_recall_of_neighbour_descent(spark, people):
     assert hit / total > 0.9
 
 
+def test_recall_with_production_parameters_on_the_whole_table(spark):
+    from cohortloom.llm import queries
+
+    master = queries.table(spark, "/root/testdata/sf0.1", queries.MASTER)
+    flags = tuple(c for c in master.columns if c.startswith(("has_", "med_")) or c == "SEX_FEMALE")
+    nodes = vectors(master, "PAT_MRN_ID_ENCRYPT", flags, {c: queries.POSSIBLE[c] for c in master.columns if c in queries.POSSIBLE}).cache()
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        got = {r.a: [e.d for e in r.near] for r in neighbour_graph(nodes).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    rows = nodes.collect()
+    x, ids = np.array([r.x for r in rows], np.float32), [r.id for r in rows]
+    hit = 0
+    for i in range(0, len(ids), 50):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hit += sum(v <= np.sort(d)[11] + 1e-3 for v in got[ids[i]])
+    assert hit / (12 * len(range(0, len(ids), 50))) > 0.95
+
+
 def test_groups(spark, people):
     groups, edges = group_records(people, "key", FLAGS, NUMBERS, 2, 6)
     got = groups.collect()
