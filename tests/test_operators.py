@@ -198,3 +198,14 @@ def test_checks_and_categories(spark):
     assert features.feature_sets(["has_a", "med_b", "c"])["diagnosis_meds"] == ["has_a", "med_b"]
     m = spark.createDataFrame([("'I50'", "x", None), ("E11 ", " y", "z")], "code string, `CCSR CATEGORY 1` string, `CCSR CATEGORY 2` string")
     assert {tuple(r) for r in tables.explode_categories(m, "code", "CCSR CATEGORY").collect()} == {("'I50'", "x"), ("E11", "y"), ("E11", "z")}
+
+
+def test_search_and_silhouette_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, rng.normal(3 * (i % 3), 1, 4).tolist(), f"g{i % 3}") for i in range(150)], "id long, x array<double>, label string").repartition(3).cache()
+    rows = lambda: sorted(tuple(r) for r in clusters.exact_neighbours(df, df, "id", "x", 4).collect())
+    neighbours, score = rows(), clusters.silhouette(df, df, "id", "x", "label").collect()
+    assert len(neighbours) == 600
+    monkeypatch.setattr(clusters, "QUERY_LIMIT", 40)
+    monkeypatch.setattr(clusters, "SAMPLE_LIMIT", 40)
+    assert rows() == neighbours and clusters.silhouette(df, df, "id", "x", "label").collect() == score
