@@ -7,6 +7,7 @@ goes to the nearest centre, medoid or exemplar, so results cover the whole table
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -140,13 +141,27 @@ def affinity(s: np.ndarray, preference: float, damping: float = 0.9, rounds: int
     return out
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None] - 2 * x @ y.T, 0))
+
+
 def density(x: np.ndarray, least: int, samples: int | None = None) -> np.ndarray:
     """HDBSCAN labels (excess of mass), -1 for noise: core distances, minimum spanning tree of mutual reachability,
     condensed tree, most stable groups."""
+    return density_model(x, least, samples)[0]
+
+
+def density_model(x: np.ndarray, least: int, samples: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Labels, strengths and core distances of the points; birth level and highest level (1 / distance) of each group.
+
+    A point's strength is the level at which it leaves its group relative to the group's highest; noise has 0. The whole is
+    no group: where nothing splits, all is noise.
+    """
     n = len(x)
     if n < 2 * least:
-        return np.full(n, -1 if n < least else 0)
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(axis=2), 0))
+        return np.full(n, -1), np.zeros(n), np.full(n, np.inf), np.zeros(0), np.zeros(0)
+    d = _apart(x, x)
+    np.fill_diagonal(d, 0)
     core = np.sort(d, axis=1)[:, min(samples or least, n - 1)]
     m = np.maximum(np.maximum(core[:, None], core[None]), d)
     inside, near, from_ = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int)
@@ -184,13 +199,15 @@ def density(x: np.ndarray, least: int, samples: int | None = None) -> np.ndarray
 
     # each group: birth level, stability, its two successors or None, its top node
     groups: list[dict] = []
+    left = np.zeros(n)  # level at which a point leaves the last group it is in
 
     def grow(node: int, birth: float) -> int:
-        g = {"node": node, "mass": 0.0, "next": None}
+        g = {"node": node, "mass": 0.0, "next": None, "birth": birth, "top": birth}
         groups.append(g)
         me = len(groups) - 1
         while node >= n:
-            level = 1 / max(height[node], 1e-12)
+            level = g["top"] = 1 / max(height[node], 1e-12)
+            left[points(node)] = level
             a, b = kids[node]
             if size[a] >= least and size[b] >= least:
                 g["mass"] += (level - birth) * size[node]
@@ -213,7 +230,7 @@ def density(x: np.ndarray, least: int, samples: int | None = None) -> np.ndarray
     def best(g: int) -> tuple[float, list[int]]:
         nxt = groups[g]["next"]
         if nxt is None:
-            return groups[g]["mass"], [g]
+            return groups[g]["mass"], [g] if g else []
         below = [best(c) for c in nxt]
         mass = sum(b[0] for b in below)
         if g and groups[g]["mass"] >= mass:
@@ -221,28 +238,67 @@ def density(x: np.ndarray, least: int, samples: int | None = None) -> np.ndarray
         return mass, [c for b in below for c in b[1]]
 
     chosen = best(0)[1]
-    label = np.full(n, -1)
-    for i, g in enumerate(sorted(chosen, key=lambda g: min(points(groups[g]["node"])))):
-        label[points(groups[g]["node"])] = i
-    return label
+    label, strength = np.full(n, -1), np.zeros(n)
+    chosen.sort(key=lambda g: min(points(groups[g]["node"])))
+    for i, g in enumerate(chosen):
+        at = points(groups[g]["node"])
+        label[at], strength[at] = i, np.minimum(left[at] / groups[g]["top"], 1)
+    return label, strength, core, np.array([groups[g]["birth"] for g in chosen]), np.array([groups[g]["top"] for g in chosen])
+
+
+def density_groups(df: DataFrame, key: str, x: str, least: int = 20, n: int = PAIR_SAMPLE) -> DataFrame:
+    """(key, label, distance, strength) of every row: HDBSCAN of a sample of n rows at most, extended to all; -1 is noise.
+
+    Sampled rows keep their label and strength. Any other row takes the group of the sampled point of least mutual reachability
+    if that is within the group's reach (the distance at which the group came into being); else it is noise, as with a
+    sampled point that is. ``distance`` is that to the nearest other sampled point.
+    """
+    keys, m = _collect(df, key, x, n)
+    label, strength, core, birth, top = density_model(m, least)
+    place = {k: i for i, k in enumerate(keys)}
+    points = df.select(F.col(key).alias("key"), F.col(x).cast("array<double>").alias("x"))
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            rows = len(b["key"])
+            p = np.asarray(b["x"].flatten(), float).reshape(rows, -1)
+            own = np.array([place.get(k, -1) for k in b["key"].to_pylist()], int)
+            out, sure, near = np.full(rows, -1), np.zeros(rows), np.full(rows, np.nan)
+            for s in range(0, rows if len(m) > 1 else 0, 512):
+                part = slice(s, min(s + 512, rows))
+                d = _apart(p[part], m)
+                at = np.flatnonzero(own[part] >= 0)
+                d[at, own[part][at]] = np.inf
+                near[part] = d.min(axis=1)
+                if not len(birth):
+                    continue
+                mine = np.partition(d, min(least, len(m) - 1) - 1, axis=1)[:, min(least, len(m) - 1) - 1]
+                reach = np.maximum(np.maximum(d, core[None]), mine[:, None])
+                best = reach.argmin(axis=1)
+                level, g = 1 / np.maximum(reach[np.arange(len(best)), best], 1e-12), label[best]
+                inside = (g >= 0) & (level >= birth[g])
+                out[part] = np.where(inside, g, -1)
+                sure[part] = np.where(inside, np.minimum(level / top[g], 1), 0)
+            seen = own >= 0
+            out[seen], sure[seen] = label[own[seen]], strength[own[seen]]
+            yield pa.RecordBatch.from_arrays([b["key"], pa.array(out.astype(np.int32)), pa.array(near), pa.array(sure)], ["key", "label", "distance", "strength"])
+
+    return points.mapInArrow(run, f"key {kind}, label int, distance double, strength double").withColumnRenamed("key", key)
 
 
 def extend(df: DataFrame, key: str, x: str, data: np.ndarray, label: np.ndarray) -> DataFrame:
-    """(key, label, distance) of every row by the nearest mean of the sample's groups; noise has none."""
+    """(key, label, distance) of every row by the nearest mean of the sample's groups."""
     centres = [(int(g), data[label == g].mean(axis=0).tolist()) for g in np.unique(label) if g >= 0]
     points = df.select(key, F.col(x).cast("array<double>").alias("x"))
     return clusters.assign_nearest(points, centres, key, "x", lambda a, b: F.sqrt(clusters.squared_distance(a, b)))
 
 
 def sampled_groups(df: DataFrame, key: str, x: str, method: str, n: int = PAIR_SAMPLE, **options) -> DataFrame:
-    """(key, label, distance): ``method`` (ward, density, affinity) on a sample of n rows at most, extended to all rows."""
+    """(key, label, distance): ``method`` (ward, affinity) on a sample of n rows at most, extended to all rows."""
     _, m = _collect(df, key, x, min(n, FEATURE_LIMIT))
     if method == "ward":
         label = ward(m, options.get("k", 5))
-    elif method == "density":
-        label = density(m, options.get("least", 20))
-        if (label < 0).all():
-            label = np.zeros(len(m), int)
     else:
         u = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
         s = u @ u.T

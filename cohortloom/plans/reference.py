@@ -888,7 +888,14 @@ def ward_groups(spark, sf):
 
 @query()
 def density_groups(spark, sf):
-    return learn.sampled_groups(embeddings(spark, sf), "vec_id", "x", "density", 500, least=10)
+    return learn.density_groups(embeddings(spark, sf), "vec_id", "x", least=10)
+
+
+@query()
+def density_report(spark, sf):
+    """Rows, share and mean strength of each density group; -1 is noise."""
+    d = density_groups(spark, sf)
+    return clusters.sizes(d, "label").join(d.groupBy("label").agg(F.round(F.avg("strength"), 6).alias("strength")), "label")
 
 
 @query()

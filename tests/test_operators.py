@@ -209,3 +209,17 @@ def test_search_and_silhouette_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(clusters, "QUERY_LIMIT", 40)
     monkeypatch.setattr(clusters, "SAMPLE_LIMIT", 40)
     assert rows() == neighbours and clusters.silhouette(df, df, "id", "x", "label").collect() == score
+
+
+def test_density_keeps_noise(spark):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(0, 0.3, (150, 2)), rng.normal(8, 0.3, (150, 2)), rng.uniform(-60, 60, (8, 2)) + [200, 0]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    for n in (2000, 200):
+        got = {r.id: r for r in learn.density_groups(df, "id", "x", 10, n).collect()}
+        label = np.array([got[i].label for i in range(308)])
+        assert len(got) == 308 and (label[300:] == -1).all()
+        for at in (slice(0, 150), slice(150, 300)):
+            assert (label[at] >= 0).mean() > 0.8 and len(set(label[at]) - {-1}) == 1
+        assert all((r.strength > 0) == (r.label >= 0) and r.strength <= 1 for r in got.values())
+    assert (learn.density(rng.normal(size=(12, 2)), 10) == -1).all(), "what doesn't split is noise"
