@@ -86,17 +86,19 @@ def p8_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_levels(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").filter("lang = 'en'")
-    return reading_levels(d, table(spark, sf, "reading_anchors"))
+    """The level of every notebook; ``calibrated`` is false where its language isn't that of the graded passages, English."""
+    d = table(spark, sf, "documents").withColumn("calibrated", F.coalesce(F.col("lang") == "en", F.lit(False)))
+    return reading_levels(d, table(spark, sf, "reading_anchors"), keep=("calibrated",))
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p9_levels(spark, sf).filter(F.col("reading_level").isNotNull() & (F.col("n_words") >= LEAST_WORDS)).select("doc_id", "reading_level")
+    d = table(spark, sf, "documents").filter("lang = 'en'")
+    return reading_levels(d, table(spark, sf, "reading_anchors")).filter(F.col("reading_level").isNotNull() & (F.col("n_words") >= LEAST_WORDS)).select("doc_id", "reading_level")
 
 
 def p9_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """The corpus by level: notebooks, words and mean score."""
-    return p9_levels(spark, sf).groupBy("reading_level").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"), F.round(F.avg("score"), 6).alias("mean_score"))
+    """The corpus by level, apart for levels that aren't calibrated: notebooks, words and mean score."""
+    return p9_levels(spark, sf).groupBy("reading_level", "calibrated").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_mapped, p2_unmatched, p5_found, p5_groups, p5_described, p7_packed, p8_found, p8_items, p9_found, p9_levels, p9_profile)}

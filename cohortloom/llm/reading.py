@@ -166,8 +166,8 @@ def fit_reading(passages: list[tuple[int, str]], rounds: int = 400, penalty: flo
     return ReadingModel(mean, scale, w, np.array(bounds), levels)
 
 
-def reading_levels(documents: DataFrame, anchors: DataFrame, key: str = "doc_id", text: str = "text", form: str = "nb_format", level: str = "reading_level", passage: str = "passage") -> DataFrame:
-    """(key, n_words, n_sentences, score, reading_level) of every document.
+def reading_levels(documents: DataFrame, anchors: DataFrame, key: str = "doc_id", text: str = "text", form: str = "nb_format", level: str = "reading_level", passage: str = "passage", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, n_words, n_sentences, score, reading_level) of every document, and its columns ``keep``.
 
     ``n_words`` counts all words of the text cells; score and level are null where there is no prose at all (null or
     empty texts, code only). The passages, checked to be few, train the model on the driver; documents are read once,
@@ -177,7 +177,7 @@ def reading_levels(documents: DataFrame, anchors: DataFrame, key: str = "doc_id"
     if len(graded) > ANCHOR_LIMIT:
         raise ValueError(f"at most {ANCHOR_LIMIT} graded passages; sample them first")
     model = fit_reading([(int(r[0]), r[1]) for r in graded if r[0] is not None])
-    slim = documents.select(documents[key].alias("doc"), documents[text].alias("text"), documents[form].alias("form"))
+    slim = documents.select(documents[key].alias("doc"), documents[text].alias("text"), documents[form].alias("form"), *[documents[c] for c in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,9 +194,9 @@ def reading_levels(documents: DataFrame, anchors: DataFrame, key: str = "doc_id"
                 score[known] = model.score(np.array([r for r in rows if r is not None]))
                 found[known] = model.level(score[known])
             yield pa.RecordBatch.from_arrays(
-                [b["doc"], pa.array(words, pa.int64()), pa.array(sentences, pa.int64()), pa.array(score, pa.float64(), mask=~known), pa.array(found, pa.int32(), mask=~known)],
-                ["doc", "n_words", "n_sentences", "score", "reading_level"],
+                [b["doc"], pa.array(words, pa.int64()), pa.array(sentences, pa.int64()), pa.array(score, pa.float64(), mask=~known), pa.array(found, pa.int32(), mask=~known), *[b[c] for c in keep]],
+                ["doc", "n_words", "n_sentences", "score", "reading_level", *keep],
             )
 
-    kind = documents.schema[key].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc {kind}, n_words long, n_sentences long, score double, reading_level int").withColumnRenamed("doc", key)
+    kind, kept = documents.schema[key].dataType.simpleString(), "".join(f", {c} {documents.schema[c].dataType.simpleString()}" for c in keep)
+    return slim.mapInArrow(run, f"doc {kind}, n_words long, n_sentences long, score double, reading_level int{kept}").withColumnRenamed("doc", key)

@@ -82,3 +82,14 @@ def test_levels(spark):
     assert m.levels.tolist() == [1, 3, 5]
     with pytest.raises(ValueError):
         fit_reading([(1, EASY)])
+
+
+def test_levels_and_profile_cover_every_language(spark):
+    from cohortloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    langs = {r.doc_id: r.lang for r in queries.table(spark, sf, "documents").select("doc_id", "lang").collect()}
+    got = {r.doc_id: r.calibrated for r in queries.p9_levels(spark, sf).collect()}
+    assert got == {d: lang == "en" for d, lang in langs.items()} and set(got.values()) == {True, False}
+    assert sum(r.n_docs for r in queries.p9_profile(spark, sf).collect()) == len(langs)
+    assert all(langs[r.doc_id] == "en" for r in queries.p9_found(spark, sf).collect())
