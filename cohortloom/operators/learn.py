@@ -6,6 +6,8 @@ goes to the nearest centre, medoid or exemplar, so results cover the whole table
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
@@ -33,16 +35,19 @@ def _collect(df: DataFrame, key: str, x: str, n: int) -> tuple[list, np.ndarray]
 
 def k_means(df: DataFrame, key: str, x: str, ks: list[int], restarts: int = 3, size: int = 0, seed: int = 42) -> tuple[DataFrame, list[dict]]:
     """(key, label) of the best k, and for each k its inertia, silhouette on a sample, Davies-Bouldin, Calinski-Harabasz."""
-    data = df.select(key, F.col(x).cast("array<double>").alias("x")).withColumn("features", array_to_vector("x"))
+    data = df.select(key, F.col(x).cast("array<double>").alias("x")).withColumn("features", array_to_vector("x")).persist()
     found = []
     for k in ks:
-        models = [KMeans(k=k, seed=seed + s, maxIter=20).fit(data) for s in range(restarts)]
+        # many short jobs: several starts at once keep the tasks busy
+        with ThreadPoolExecutor(8) as pool:
+            models = list(pool.map(lambda s: KMeans(k=k, seed=seed + s, maxIter=20).fit(data), range(restarts)))  # noqa: B023
         best = min(models, key=lambda m: m.summary.trainingCost)
         labelled = best.transform(data).select(key, "x", F.col("prediction").alias("label"))
         groups, centre, n, _ = clusters.dispersion(labelled, "x", "label", size or len(centre_of(best)))
         sil = clusters.silhouette(labelled, sample(labelled, key, PAIR_SAMPLE), key, "x", "label").collect()[0][0]
         found.append({"k": k, "inertia": best.summary.trainingCost, "silhouette": sil or 0.0, "davies_bouldin": clusters.davies_bouldin(groups), "calinski_harabasz": clusters.calinski_harabasz(groups, centre, n), "rows": labelled})
     top = choose_k(found)
+    data.unpersist()
     return top["rows"].select(key, "label"), [{k: v for k, v in f.items() if k != "rows"} for f in found]
 
 

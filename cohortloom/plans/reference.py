@@ -870,7 +870,7 @@ def pca_scores(spark, sf):
 
 @query()
 def kmeans_best(spark, sf):
-    labels, _ = learn.k_means(embeddings(spark, sf), "vec_id", "x", [2, 3, 4], restarts=2)
+    labels, _ = learn.k_means(embeddings(spark, sf), "vec_id", "x", list(range(2, 11)), restarts=20)
     return labels
 
 

@@ -223,3 +223,19 @@ def test_density_keeps_noise(spark):
             assert (label[at] >= 0).mean() > 0.8 and len(set(label[at]) - {-1}) == 1
         assert all((r.strength > 0) == (r.label >= 0) and r.strength <= 1 for r in got.values())
     assert (learn.density(rng.normal(size=(12, 2)), 10) == -1).all(), "what doesn't split is noise"
+
+
+def test_kmeans_query_finds_more_than_four_groups(spark, monkeypatch):
+    from cohortloom.plans import reference
+
+    rng, asked, fit = np.random.default_rng(9), [], learn.k_means
+    df = spark.createDataFrame([(i, (10 * np.eye(6)[i % 6] + rng.normal(0, 0.3, 6)).tolist()) for i in range(240)], "vec_id long, x array<double>").cache()
+    monkeypatch.setattr(reference, "embeddings", lambda *_: df)
+
+    def once(*args, restarts):
+        asked.append((args[3], restarts))
+        return fit(*args, restarts=3)
+
+    monkeypatch.setattr(learn, "k_means", once)
+    assert reference.kmeans_best(spark, "").select("label").distinct().count() == 6
+    assert asked == [(list(range(2, 11)), 20)]
