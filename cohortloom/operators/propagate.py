@@ -152,7 +152,7 @@ def fill_missing(
         for c in numeric:
             # a hub with few members or spread-out values says less; its prior variance is the column's
             spread = F.lit(float((stats[f"_s_{c}"] or 1.0) ** 2 or 1.0))
-            mine = F.col("_at").between(only[c][0], only[c][-1]) if c in only else F.lit(True)
+            mine = F.col("_at").between(only[c][0], only[c][-1]) | ((F.col("_at") == 0) & F.lit(bool(groups))) if c in only else F.lit(True)
             w = F.when((F.col(f"_k_{c}") > 0) & mine, 1 / ((F.col(f"_w_{c}") * F.col(f"_k_{c}") + 4 * spread) / (F.col(f"_k_{c}") + 4) * (1 + 1 / F.col(f"_k_{c}"))))
             sums.append((F.sum(w * F.col(f"_a_{c}")) / F.sum(w)).alias(f"_f_{c}"))
         step = met.groupBy("_id").agg(*sums) if sums else met.select("_id").distinct()

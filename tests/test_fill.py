@@ -45,3 +45,12 @@ def test_intermediate_tables_can_be_forgotten(spark):
     assert kept.count() == 3 and path.exists()
     session.forget(spark)
     assert not path.exists() and not session._WRITTEN
+
+
+def test_group_fills_what_no_interval_reaches(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"id{i}", i % 2, a := float(rng.normal(0, 1)), 100.0 + 100 * (i % 2) + 3 * a + float(rng.normal(0, 0.5))) for i in range(600)]
+    mean = np.mean([r[3] for r in rows if r[1] == 1])
+    df = spark.createDataFrame([*rows, ("far", 1, 50.0, None)], "key string, g int, a double, v double")
+    far = fill_missing(df, "key", {"v": (1.0, 500.0)}, groups=("g",), features=("a",)).filter("key = 'far'").collect()[0]
+    assert far.v_filled and far.v == pytest.approx(mean, abs=5)
