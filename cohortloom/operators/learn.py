@@ -97,7 +97,7 @@ def gower_medoids(df: DataFrame, key: str, x: str, spans: list[float | None], k:
 def ward(x: np.ndarray, k: int) -> np.ndarray:
     """Labels of k groups by Ward linkage (Lance-Williams updates)."""
     n = len(x)
-    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    d = _apart(x, x) ** 2
     np.fill_diagonal(d, np.inf)
     size, label, alive = np.ones(n), np.arange(n), np.ones(n, bool)
     for _ in range(n - min(k, n)):

@@ -878,12 +878,12 @@ def kmeans_best(spark, sf):
 def gower_medoids(spark, sf):
     x = F.array(*[F.col(c).cast("double") for c in GOWER], *[F.least(F.greatest(F.coalesce(F.col(c), F.lit(lo)), F.lit(lo)), F.lit(hi)) for c, (lo, hi) in GOWER_NUM.items()])
     spans = [None] * len(GOWER) + [hi - lo for lo, hi in GOWER_NUM.values()]
-    return learn.gower_medoids(t(spark, sf, "master_clustering_ready").select(F.col(ID).alias("id"), x.alias("x")), "id", "x", spans, 4, 800)[0]
+    return learn.gower_medoids(t(spark, sf, "master_clustering_ready").select(F.col(ID).alias("id"), x.alias("x")), "id", "x", spans, 4)[0]
 
 
 @query()
 def ward_groups(spark, sf):
-    return learn.sampled_groups(embeddings(spark, sf), "vec_id", "x", "ward", 400, k=5)
+    return learn.sampled_groups(embeddings(spark, sf), "vec_id", "x", "ward", k=5)
 
 
 @query()
@@ -900,7 +900,7 @@ def density_report(spark, sf):
 
 @query()
 def affinity_groups(spark, sf):
-    return learn.sampled_groups(embeddings(spark, sf), "vec_id", "x", "affinity", 300, quantile=0.1)
+    return learn.sampled_groups(embeddings(spark, sf), "vec_id", "x", "affinity", quantile=0.1)
 
 
 @query()

@@ -239,3 +239,13 @@ def test_kmeans_query_finds_more_than_four_groups(spark, monkeypatch):
     monkeypatch.setattr(learn, "k_means", once)
     assert reference.kmeans_best(spark, "").select("label").distinct().count() == 6
     assert asked == [(list(range(2, 11)), 20)]
+
+
+def test_sampled_queries_fit_the_documented_number_of_rows(spark, monkeypatch):
+    from cohortloom.plans import reference
+
+    asked, collect = [], learn._collect
+    monkeypatch.setattr(learn, "_collect", lambda df, key, x, n: (asked.append(n), collect(df, key, x, 60))[1])
+    for q in (reference.ward_groups, reference.affinity_groups, reference.gower_medoids):
+        q(spark, "/root/testdata/sf0.001")
+    assert asked == [2_000] * 3
