@@ -44,6 +44,7 @@ def p2_unmatched(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _groups(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Rows and records of ``group_records``."""
     master = table(spark, sf, MASTER)
     flags = tuple(c for c in master.columns if c.startswith(("has_", "med_")) or c == "SEX_FEMALE")
     return group_records(master, "PAT_MRN_ID_ENCRYPT", flags, {c: POSSIBLE[c] for c in master.columns if c in POSSIBLE}, 5, 10)

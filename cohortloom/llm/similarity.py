@@ -1,16 +1,23 @@
 """Records in groups of mutually similar ones.
 
-An approximate nearest-neighbour graph is built by neighbour descent: random-projection leaves give every record some
-neighbours, then each round compares the neighbours of a record, and those that it is a neighbour of, with each other
-and keeps whatever is nearer, until almost no list changes. Communities of the symmetric, weighted graph are found by modularity: rounds of local
-moves over the distributed edges, the communities becoming the nodes of a smaller graph, until that is small enough for
-the driver, where the last levels and the resolution are settled. Communities are described by size and by the members
-of highest internal weighted degree.
+An approximate nearest-neighbour graph of the distinct records is built by neighbour descent: random-projection leaves
+give every record some neighbours, then each round compares the neighbours of a record, and those that it is a neighbour
+of, with each other wherever one of them is new, and keeps whatever is nearer, until almost no list changes.
+
+Communities of the symmetric, weighted graph are found by modularity: rounds of local moves over the distributed edges,
+the communities becoming the nodes of a smaller graph. Once that is small, its communities are merged one pair after the
+other, each time the pair that modularity joins at the highest resolution, until no links are left. Which step of that
+hierarchy gives the groups is read off the resolutions at which it merges, so it needs no grid and doesn't depend on the
+number of records: groups hold together over a wide range of resolutions.
+
+Communities are described by size and by the members of highest internal weighted degree; members of very low
+internal weighted degree are stragglers.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,23 +27,32 @@ from pyspark.sql import functions as F
 
 from ..session import task_slots, written
 
-NEIGHBOURS = 12
+LEAST_NEIGHBOURS = 12  # of each record; more if ln(records) is larger, as connectivity needs
 LEAF = 120  # records of a random-projection leaf
 TREES = 3
+CHUNK = 20_000  # records of a range of one projection that a task splits into leaves
 CHANGE = 0.002  # share of all list entries that a round must renew for another to follow
-REVERSE = 36  # neighbours' neighbours taken from the other side of an edge in a round
-DRIVER_NODES = 2_500  # communities up to which the last levels are settled on the driver
-DRIVER_EDGES = 60_000
-MOVES = 6
-LONE = 0.7
+DRIVER_NODES = 2_500  # communities up to which the hierarchy is built on the driver
+DRIVER_EDGES = 100_000
+MOVES = 6  # rounds of local moves of a level
+SETTLED = 0.01  # share of the nodes that must move for another round to follow
 STRAGGLER = 0.005  # share of all records under which a community is no group
+MISSING = -128  # in a vector: the record lacks the number
+UNKNOWN = 687  # squared difference that counts where one of two records lacks a number: that of two records drawn at random
+DEGREE = 0.07  # share of its group's median internal weighted degree under which a record is a straggler
 
 
-def vectors(df: DataFrame, key: str, flags: tuple[str, ...], numbers: dict[str, tuple[float, float]]) -> DataFrame:
-    """(id, key, x): flags as 0/1 and numbers, robustly scaled on the log scale, as one byte vector per record.
+def neighbours(n: int) -> int:
+    """Neighbours of each record in a graph of n: a graph of k nearest needs k in proportion to log n to hold together."""
+    return max(LEAST_NEIGHBOURS, math.ceil(math.log(max(n, 2))))
 
-    Numbers outside their possible range, null and NaN count as the middle; null flags as 0. ``id`` numbers the rows, so
-    that null or repeated keys are records of their own.
+
+def records(df: DataFrame, key: str, flags: tuple[str, ...], numbers: dict[str, tuple[float, float]]) -> DataFrame:
+    """(row, key, x) of every row: flags as 0/1 and numbers, robustly scaled on the log scale, as one byte vector.
+
+    Numbers outside their possible range, null and NaN are missing (-128): a record that lacks a number is equally far in it
+    from all others, and so not set apart from its group. Null flags count as 0. ``row`` numbers the rows, so that null or
+    repeated keys are records of their own.
     """
     value = lambda c: F.when((F.col(c).cast("double") >= numbers[c][0]) & (F.col(c).cast("double") <= numbers[c][1]) & ~F.isnan(F.col(c).cast("double")), F.log(F.col(c).cast("double")))
     q = df.agg(F.count("*").alias("n"), *[F.percentile_approx(value(c), [0.25, 0.5, 0.75], 1000).alias(c) for c in numbers]).collect()[0]
@@ -45,8 +61,15 @@ def vectors(df: DataFrame, key: str, flags: tuple[str, ...], numbers: dict[str,
         low, mid, high = q[c] or (0.0, 0.0, 0.0)
         spread = high - low if high > low else 1.0
         scaled = F.greatest(F.least((value(c) - F.lit(mid)) / F.lit(spread), F.lit(2.5)), F.lit(-2.5))
-        parts.append(F.coalesce(F.round(scaled * 25).cast("int"), F.lit(0)))
-    return df.select(F.monotonically_increasing_id().alias("id"), F.col(key).alias("key"), F.array(*[p.cast("tinyint") for p in parts]).alias("x"))
+        parts.append(F.when(value(c).isNull(), F.lit(MISSING)).otherwise(F.round(scaled * 25).cast("int")))  # greatest and least skip nulls
+    return df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.array(*[p.cast("tinyint") for p in parts]).alias("x"))
+
+
+def vectors(rows: DataFrame, turn: int = 0) -> DataFrame:
+    """(id, n, x): the distinct vectors of (row, key, x) and how many rows have each. The id is a hash of the vector, so that
+    every choice made by it is the same whatever the order and partitions of the rows."""
+    found = rows.groupBy("x").agg(F.count("*").alias("n"))
+    return found.select(F.xxhash64(F.lit(turn), "x").alias("id"), "n", "x")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -54,13 +77,27 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(flat).astype(np.float32).reshape(len(column), -1)
 
 
-def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-    return np.maximum(d, 0)
+def _squared(x: np.ndarray) -> np.ndarray:
+    """Squared distances between all rows of x; infinite from a row to itself. Exact, as all terms are whole numbers below 2**24."""
+    there = (x != MISSING).astype(np.float32)
+    some = there.min(axis=0) == 0  # places where a row lacks the number
+    x = x * there
+    if some.any():
+        q = x * x
+        d = q @ there.T
+        d += d.T - 2 * x @ x.T
+        m = there[:, some]
+        d += UNKNOWN * (m.shape[1] - m @ m.T)
+    else:
+        q = (x * x).sum(1)
+        d = q[:, None] + q[None, :] - 2 * x @ x.T
+    np.fill_diagonal(d, np.inf)
+    return d
 
 
 def _leaves(x: np.ndarray, rng: np.random.Generator, leaf: int) -> Iterator[np.ndarray]:
     """Random-projection splits at the median until a leaf is small; equal records are split all the same."""
+    x = np.where(x == MISSING, 0, x)
     todo = [np.arange(len(x))]
     while todo:
         at = todo.pop()
@@ -73,11 +110,11 @@ def _leaves(x: np.ndarray, rng: np.random.Generator, leaf: int) -> Iterator[np.n
         todo += [at[order[: len(at) // 2]], at[order[len(at) // 2 :]]]
 
 
-def _first_neighbours(nodes: DataFrame, tree: int, k: int, leaf: int, chunk: int) -> DataFrame:
+def _first_neighbours(nodes: DataFrame, tree: int, k: int, leaf: int, chunk: int, ranges: int) -> DataFrame:
     """(a, b, d): neighbours within the leaves of one tree over ranges of one random projection."""
     size = len(nodes.select("x").head(1)[0][0])
     plane = np.random.default_rng(100 + tree).normal(size=size)
-    score = F.aggregate(F.zip_with("x", F.array(*[F.lit(float(p)) for p in plane]), lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+    score = F.aggregate(F.zip_with("x", F.array(*[F.lit(float(p)) for p in plane]), lambda u, v: F.when(u == MISSING, F.lit(0.0)).otherwise(u * v)), F.lit(0.0), lambda s, v: s + v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -90,15 +127,13 @@ def _first_neighbours(nodes: DataFrame, tree: int, k: int, leaf: int, chunk: int
             for at in _leaves(x, rng, leaf):
                 if len(at) < 2:
                     continue
-                dist = _squared(x[at], x[at])
-                np.fill_diagonal(dist, np.inf)
+                dist = _squared(x[at])
                 m = min(k, len(at) - 1)
                 near = np.argpartition(dist, m - 1, axis=1)[:, :m]
                 a.append(np.repeat(ids[at], m))
                 b.append(ids[at][near].ravel())
                 d.append(np.take_along_axis(dist, near, 1).ravel())
-            cat = lambda v, t: np.concatenate(v).astype(t) if v else np.zeros(0, t)
-            return pa.RecordBatch.from_arrays([pa.array(cat(a, np.int64)), pa.array(cat(b, np.int64)), pa.array(cat(d, np.float32))], ["a", "b", "d"])
+            return _nearest(a, b, d, k)
 
         rows = 0
         for batch in batches:
@@ -111,33 +146,49 @@ def _first_neighbours(nodes: DataFrame, tree: int, k: int, leaf: int, chunk: int
             yield flush()
 
     # as many ranges as hold a chunk each, whatever the number of partitions elsewhere: narrower ones cut neighbours apart
-    ranges = max(1, round(nodes.count() / chunk))
-    return nodes.select("id", "x", score.alias("s")).repartitionByRange(ranges, "s", "id").select("id", "x").mapInArrow(run, "a long, b long, d float")
+    return nodes.select("id", "x", score.alias("s")).repartitionByRange(ranges, "s", "id").sortWithinPartitions("s", "id").select("id", "x").mapInArrow(run, "a long, b long, d float")
+
+
+def _nearest(a: list[np.ndarray], b: list[np.ndarray], d: list[np.ndarray], k: int) -> pa.RecordBatch:
+    """The k nearest distinct b of each a among the pairs, as (a, b, d)."""
+    cat = lambda v, t: np.concatenate(v).astype(t) if v else np.zeros(0, t)
+    x, y, z = cat(a, np.int64), cat(b, np.int64), cat(d, np.float32)
+    order = np.lexsort((y, z, x))
+    x, y, z = x[order], y[order], z[order]
+    if len(x):
+        once = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+        x, y, z = x[once], y[once], z[once]
+        start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+        near = np.arange(len(x)) - np.repeat(start, np.diff(np.r_[start, len(x)])) < k
+        x, y, z = x[near], y[near], z[near]
+    return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(z)], ["a", "b", "d"])
 
 
-def _best(edges: DataFrame, k: int) -> DataFrame:
-    """(a, near, fresh): the k nearest distinct neighbours of each record, nearest first; ties by id; and how many of them aren't ``old``."""
-    pair = F.array_sort(F.collect_set(F.struct("d", "b")))
-    best = edges.groupBy("a").agg(F.slice(pair, 1, k).alias("near"), F.collect_set(F.when(F.col("old"), F.col("b"))).alias("before"))
-    return best.select("a", "near", F.size(F.array_except("near.b", "before")).alias("fresh"))
+def _best(pairs: DataFrame, k: int) -> DataFrame:
+    """(a, near): the k nearest distinct neighbours of each record as (d, b, new), nearest first, ties by id; new are those that weren't ``old``."""
+    pair = F.slice(F.array_sort(F.collect_set(F.struct("d", "b"))), 1, k)
+    best = pairs.groupBy("a").agg(pair.alias("near"), F.collect_set(F.when(F.col("old"), F.col("b"))).alias("before"))
+    return best.select("a", F.transform("near", lambda e: F.struct(e["d"].alias("d"), e["b"].alias("b"), (~F.array_contains("before", e["b"])).alias("new"))).alias("near"))
 
 
-def _descend(nodes: DataFrame, graph: DataFrame, k: int, turn: int, reverse: int) -> DataFrame:
-    """One round of neighbour descent: better neighbours found among neighbours of neighbours, as (a, b, d)."""
-    worst = graph.select(F.col("a").alias("id"), F.element_at("near", -1)["d"].alias("worst"))
-    forward = graph.select(F.col("a").alias("centre"), F.explode("near.b").alias("id"))
-    back = forward.select(F.col("id").alias("centre"), F.col("centre").alias("id"))
-    # of a record that very many point at, an even choice of these speaks in each round; nobody loses neighbours by it
-    order = F.array_sort(F.collect_list(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id")))
+def _descend(nodes: DataFrame, graph: DataFrame, k: int, turn: int) -> DataFrame:
+    """One round of neighbour descent: better neighbours found among neighbours of neighbours, as (a, b, d).
+
+    Only pairs of which one is new are compared, as the others have been. Of a record that very many point at, an even
+    choice of three times ``k``, another in each round, speaks; those not chosen lose nothing, their own lists stay.
+    """
+    worst = graph.select(F.col("a").alias("id"), F.when(F.size("near") >= k, F.element_at("near", -1)["d"]).otherwise(F.lit(float("inf"))).cast("float").alias("worst"))
+    forward = graph.select(F.col("a").alias("centre"), F.inline("near")).select("centre", F.col("b").alias("id"), "new")
+    order = F.array_sort(F.collect_list(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "new")))
     chosen = (
-        back.withColumn("salt", F.pmod(F.xxhash64("id", "centre"), F.lit(16)))
-        .groupBy("centre", "salt").agg(F.slice(order, 1, reverse).alias("l"))
-        .groupBy("centre").agg(F.slice(F.array_sort(F.flatten(F.collect_list("l"))), 1, reverse).alias("l"))
-        .select("centre", F.explode("l.id").alias("id"))
+        forward.select(F.col("id").alias("centre"), F.col("centre").alias("id"), "new").withColumn("salt", F.pmod(F.xxhash64("id", "centre"), F.lit(16)))
+        .groupBy("centre", "salt").agg(F.slice(order, 1, 3 * k).alias("l"))
+        .groupBy("centre").agg(F.slice(F.array_sort(F.flatten(F.collect_list("l"))), 1, 3 * k).alias("l"))
     )
-    members = forward.unionByName(chosen).distinct()
+    own = graph.select(F.col("a").alias("centre"), F.transform("near", lambda e: F.struct(e["b"].alias("id"), e["new"].alias("new"))).alias("own"))
+    both = own.join(chosen, "centre", "left").select("centre", F.concat("own", F.coalesce(F.transform("l", lambda e: F.struct(e["id"].alias("id"), e["new"].alias("new"))), F.array())).alias("m"))
+    members = both.filter(F.exists("m", lambda e: e["new"])).select("centre", F.inline("m"))
     loaded = members.join(nodes.select("id", "x"), "id").join(worst, "id")
-    slots = task_slots(nodes.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -145,7 +196,7 @@ def _descend(nodes: DataFrame, graph: DataFrame, k: int, turn: int, reverse: int
             t = pa.Table.from_batches([b])
             t = pa.concat_tables([rest, t]) if rest is not None else t
             centre = np.asarray(t["centre"])
-            last = int(np.searchsorted(centre, centre[-1])) if len(centre) else 0
+            last = int(np.flatnonzero(centre == centre[-1])[0]) if len(centre) else 0
             if last:
                 yield found(t.slice(0, last))
             rest = t.slice(last)
@@ -153,60 +204,68 @@ def _descend(nodes: DataFrame, graph: DataFrame, k: int, turn: int, reverse: int
             yield found(rest)
 
     def found(t: pa.Table) -> pa.RecordBatch:
-        centre, ids, worst_, x = np.asarray(t["centre"]), np.asarray(t["id"]), np.asarray(t["worst"]), _matrix(t["x"])
+        centre, ids, worst_, x, new = np.asarray(t["centre"]), np.asarray(t["id"]), np.asarray(t["worst"]), _matrix(t["x"]), np.asarray(t["new"])
         start = np.flatnonzero(np.r_[True, centre[1:] != centre[:-1]])
         end = np.r_[start[1:], len(centre)]
         a, b, d = [], [], []
         for s, e in zip(start, end):
-            if e - s < 2:
-                continue
-            dist = _squared(x[s:e], x[s:e])
-            np.fill_diagonal(dist, np.inf)
-            i, j = np.nonzero(dist < worst_[s:e][:, None])
+            dist = _squared(x[s:e])
+            i, j = np.nonzero((dist < worst_[s:e][:, None]) & (new[s:e][:, None] | new[s:e][None, :]) & (ids[s:e][:, None] != ids[s:e][None, :]))
             a.append(ids[s:e][i])
             b.append(ids[s:e][j])
             d.append(dist[i, j])
-        cat = lambda v, t_: np.concatenate(v).astype(t_) if v else np.zeros(0, t_)
-        return pa.RecordBatch.from_arrays([pa.array(cat(a, np.int64)), pa.array(cat(b, np.int64)), pa.array(cat(d, np.float32))], ["a", "b", "d"])
+        return _nearest(a, b, d, k)
 
-    laid = loaded.repartition(slots, "centre").sortWithinPartitions("centre", "id")
-    return laid.select("centre", "id", "worst", "x").mapInArrow(run, "a long, b long, d float")
+    laid = loaded.repartition(task_slots(nodes.sparkSession), "centre").sortWithinPartitions("centre", "id")
+    return laid.select("centre", "id", "new", "worst", "x").mapInArrow(run, "a long, b long, d float")
 
 
-def neighbour_graph(nodes: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, change: float = CHANGE, leaf: int = LEAF, chunk: int = 20_000, reverse: int = REVERSE) -> DataFrame:
+def neighbour_graph(nodes: DataFrame, k: int | None = None, trees: int = TREES, change: float = CHANGE, leaf: int = LEAF, chunk: int = CHUNK) -> DataFrame:
     """(a, near array<struct<d, b>>): approximately the k nearest neighbours of every record of (id, x), by distance squared.
 
-    Rounds of descent go on until one renews at most the share ``change`` of the list entries; as lists only get nearer, that comes.
-    Every record with at least one other has neighbours; frames of none or one give an empty graph.
+    ``k``: by default as ``neighbours`` has it. Rounds of descent go on until one renews at most the share ``change`` of the
+    list entries; as lists only get nearer, that comes. Every record with at least one other has neighbours; frames of none
+    or one give an empty graph.
     """
-    if not nodes.head(1):
+    n = nodes.count()
+    if not n:
         return nodes.sparkSession.createDataFrame([], "a long, near array<struct<d: float, b: long>>")
-    found = _first_neighbours(nodes, 0, k, leaf, chunk)
+    k = k or neighbours(n)
+    ranges = max(1, round(n / chunk))
+    found = _first_neighbours(nodes, 0, k, leaf, chunk, ranges)
     for t in range(1, trees):
-        found = found.unionByName(_first_neighbours(nodes, t, k, leaf, chunk))
+        found = found.unionByName(_first_neighbours(nodes, t, k, leaf, chunk, ranges))
     graph = written(_best(found.withColumn("old", F.lit(False)), k), "graph")
     turn = 0
     while True:
-        old = graph.select("a", F.explode("near").alias("e"), F.lit(True).alias("old")).select("a", F.col("e.b").alias("b"), F.col("e.d").alias("d"), "old")
-        better = _descend(nodes, graph, k, turn, reverse).withColumn("old", F.lit(False))
+        old = graph.select("a", F.inline("near")).select("a", "b", "d", F.lit(True).alias("old"))
+        better = _descend(nodes, graph, k, turn).withColumn("old", F.lit(False))
         graph = written(_best(old.unionByName(better), k), "graph")
-        renewed = graph.agg((F.sum("fresh") / F.sum(F.size("near"))).alias("r")).collect()[0][0] or 0.0
+        renewed = graph.agg((F.sum(F.size(F.filter("near", lambda e: e["new"]))) / F.sum(F.size("near"))).alias("r")).collect()[0][0] or 0.0
         if renewed <= change:
-            return graph.select("a", "near")
+            return graph.select("a", F.transform("near", lambda e: F.struct(e["d"].alias("d"), e["b"].alias("b"))).alias("near"))
         turn += 1
 
 
-def weighted_edges(graph: DataFrame) -> DataFrame:
-    """(a, b, w) in both directions: similarity falls with distance relative to the typical distance; mutual edges count twice."""
-    near = graph.select("a", F.explode("near").alias("e")).select("a", F.col("e.b").alias("b"), F.col("e.d").alias("d"))
+def weighted_edges(graph: DataFrame, copies: DataFrame | None = None) -> DataFrame:
+    """(a, b, w) in both directions: similarity falls with distance relative to the typical distance; mutual edges count twice.
+
+    ``copies`` (id, n): a record of n equal rows has these for neighbours first, as a loop of weight 2 each, up to as many as
+    its list is long.
+    """
+    near = graph.select("a", F.inline("near"))
     scale = near.agg(F.percentile_approx("d", 0.5, 1000)).collect()[0][0] or 1.0
-    w = F.exp(-F.col("d") / F.lit(float(scale) or 1.0))
-    half = near.select("a", "b", w.alias("w"))
-    return half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
+    longest = graph.agg(F.max(F.size("near"))).collect()[0][0] or 1
+    half = near.select("a", "b", F.exp(-F.col("d") / F.lit(float(scale))).alias("w"))
+    both = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
+    if copies is None:
+        return both
+    loops = copies.filter("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"), (F.least(F.col("n") - 1, F.lit(longest)) * 2.0).alias("w"))
+    return both.unionByName(loops)
 
 
 def _move(edges: DataFrame, parts: DataFrame, total: float, turn: int, gamma: float) -> DataFrame:
-    """(a, c): half of the nodes, by hash, move to the neighbouring community that raises modularity most."""
+    """(a, c, k, went): half of the nodes, by hash, move to the neighbouring community that raises modularity most."""
     strength = parts.groupBy("c").agg(F.sum("k").alias("kc"))
     to = edges.filter("a <> b").join(parts.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("w"))
     here = parts.select("a", F.col("c").alias("own"), "k")
@@ -214,40 +273,46 @@ def _move(edges: DataFrame, parts: DataFrame, total: float, turn: int, gamma: fl
     best = (
         to.join(here, "a").join(strength, "c")
         .groupBy("a").agg(
-            F.max(F.struct(gain.alias("g"), (-F.col("c")).alias("n"))).alias("best"),
+            F.max(F.struct(gain.alias("g"), F.xxhash64("c", F.lit(turn)).alias("h"), F.col("c").alias("to"))).alias("best"),
             F.max(F.when(F.col("c") == F.col("own"), gain)).alias("stay"),
         )
     )
     # staying alone costs nothing: a node without edges into its own community gains by any positive move
     moved = parts.join(best, "a", "left")
-    go = (F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(2)) == 0) & (F.col("best.g") > F.coalesce("stay", F.lit(0.0)) + 1e-12)
-    return moved.select("a", F.when(go, -F.col("best.n")).otherwise(F.col("c")).alias("c"), "k")
+    go = F.coalesce((F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(2)) == 0) & (F.col("best.g") > F.coalesce("stay", F.lit(0.0)) + 1e-12), F.lit(False))
+    return moved.select("a", F.when(go, F.col("best.to")).otherwise(F.col("c")).alias("c"), "k", go.alias("went"))
 
 
-def communities(edges: DataFrame, min_groups: int = 1, max_groups: int = 1_000_000, straggler: float = STRAGGLER, moves: int = MOVES) -> tuple[DataFrame, float]:
-    """(a, c) for every node of (a, b, w), and the resolution that gave it.
+def communities(edges: DataFrame, copies: DataFrame, min_groups: int = 1, max_groups: int = 1_000_000, straggler: float = STRAGGLER, moves: int = MOVES) -> DataFrame:
+    """(a, c): the group of every node of (a, b, w), numbered from 0 by size; -1 for communities too small to be one.
 
-    ``edges`` are symmetric. Levels of local moving shrink the graph until it has at most ``DRIVER_NODES`` communities; only
-    that summary, checked for its size, goes to the driver. There the resolution is lowered from 1, and of all
-    resolutions with ``min_groups`` to ``max_groups`` communities larger than stragglers the one in the middle of the
-    longest stable stretch is taken.
+    ``edges`` are symmetric; ``copies`` (id, n) has the rows that each node stands for. Levels of local moves shrink the graph
+    until it has at most ``DRIVER_NODES`` communities and ``DRIVER_EDGES`` edges; a level that shrinks it by less than a tenth
+    halves the resolution for the next. Only that summary, checked for its size, goes to the driver, where ``cut_tree``
+    chooses the groups. If no links are left before it is small, its communities are what there is to find, and only
+    those with the share ``straggler`` of the rows are groups.
     """
     level = written(edges, "edges")
     total = level.agg(F.sum("w")).collect()[0][0] or 0.0
     if not total:
-        return level.select("a").distinct().withColumn("c", F.lit(-1).cast("long")), 1.0
+        return level.select("a").distinct().withColumn("c", F.lit(-1).cast("long"))
     chain: list[DataFrame] = []
-    weights = None  # records in each node of the level
+    gamma, before = 1.0, None
     while True:
-        parts = level.groupBy("a").agg(F.sum("w").alias("k"))
+        parts = written(level.groupBy("a").agg(F.sum("w").alias("k")).select("a", F.col("a").alias("c"), "k"), "parts")
         count = parts.count()
-        if chain and count <= DRIVER_NODES and level.count() <= DRIVER_EDGES:
+        size = level.agg(F.count("*").alias("n"), F.count(F.when(F.col("a") != F.col("b"), 1)).alias("between")).collect()[0]
+        if chain and (not size["between"] or count <= DRIVER_NODES and size["n"] <= DRIVER_EDGES):
             break
-        if len(chain) > 8:
-            raise RuntimeError("the graph doesn't shrink: there is no community structure that modularity could find")
-        parts = written(parts.select("a", F.col("a").alias("c"), "k"), "parts")
+        if before and count > 0.9 * before:
+            gamma /= 2
+        before = count
         for turn in range(moves):
-            parts = written(_move(level, parts, total, turn, 1.0), "parts")
+            now = written(_move(level, parts, total, len(chain) * moves + turn, gamma), "parts")
+            went = now.filter("went").count()
+            parts = now.drop("went")
+            if went < SETTLED * count:
+                break
         chain.append(parts.select("a", "c"))
         level = written(
             level.join(parts.select("a", F.col("c").alias("ca")), "a")
@@ -258,128 +323,157 @@ def communities(edges: DataFrame, min_groups: int = 1, max_groups: int = 1_000_0
     members = chain[0]
     for up in chain[1:]:
         members = members.join(up.select(F.col("a").alias("c"), F.col("c").alias("c2")), "c").select("a", F.col("c2").alias("c"))
-    weights = {r[0]: r[1] for r in members.groupBy("c").count().collect()}
-    small = level.toPandas()
-    labels, gamma = settle(small["a"].to_numpy(), small["b"].to_numpy(), small["w"].to_numpy(), weights, min_groups, max_groups, straggler)
-    spark = edges.sparkSession
-    table = spark.createDataFrame([(int(c), int(g)) for c, g in labels.items()], "c long, g long")
-    return members.join(F.broadcast(table), "c").select("a", F.col("g").alias("c")), gamma
+    members = written(members, "members")
+    mass = members.join(copies.select(F.col("id").alias("a"), "n"), "a").groupBy("c").agg(F.sum("n").alias("n"))
+    if size["between"]:
+        small = level.toPandas()
+        weights = {r["c"]: r["n"] for r in mass.collect()}  # one of at most DRIVER_NODES communities
+        labels = cut_tree(small["a"].to_numpy(), small["b"].to_numpy(), small["w"].to_numpy(), weights, min_groups, max_groups, straggler)
+    else:
+        least = straggler * (copies.agg(F.sum("n")).collect()[0][0] or 0)
+        big = mass.filter(F.col("n") >= F.lit(least)).collect()  # at most 1 / straggler
+        labels = {r["c"]: i for i, r in enumerate(sorted(big, key=lambda r: (-r["n"], r["c"])))}
+    table = edges.sparkSession.createDataFrame([(int(c), int(g)) for c, g in labels.items()], "c long, g long")
+    return members.join(F.broadcast(table), "c", "left").select("a", F.coalesce("g", F.lit(-1).cast("long")).alias("c"))
 
 
-def louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, gamma: float, seed: int = 0) -> np.ndarray:
-    """Communities of a small symmetric graph (self-loops allowed) by local moves and aggregation, deterministic."""
-    label = np.arange(n)
-    while True:
-        near: list[dict[int, float]] = [defaultdict(float) for _ in range(n)]
-        k = np.zeros(n)
-        for i, j, v in zip(a.tolist(), b.tolist(), w.tolist()):
-            k[i] += v
-            if i != j:
-                near[i][j] += v
-        two_m = k.sum() or 1.0
-        c = np.arange(n)
-        strength = k.copy()
-        order = np.random.default_rng(seed).permutation(n)
-        changed = False
-        for _ in range(20):
-            moved = 0
-            for i in order:
-                links: dict[int, float] = defaultdict(float)
-                for j, v in near[i].items():
-                    links[c[j]] += v
-                strength[c[i]] -= k[i]
-                best, to = links.get(c[i], 0.0) - gamma * k[i] * strength[c[i]] / two_m, c[i]
-                for g, v in links.items():
-                    gain = v - gamma * k[i] * strength[g] / two_m
-                    if gain > best + 1e-12:
-                        best, to = gain, g
-                strength[to] += k[i]
-                if to != c[i]:
-                    c[i], moved = to, moved + 1
-            changed |= moved > 0
-            if not moved:
-                break
-        if not changed:
-            return label
-        _, c = np.unique(c, return_inverse=True)
-        label = c[label]
-        n = int(c.max()) + 1
-        packed = c[a].astype(np.int64) * n + c[b]
-        keys, inverse = np.unique(packed, return_inverse=True)
-        w = np.bincount(inverse, weights=w)
-        a, b = keys // n, keys % n
-
-
-def settle(a: np.ndarray, b: np.ndarray, w: np.ndarray, weights: dict[int, int], min_groups: int, max_groups: int, straggler: float) -> tuple[dict[int, int], float]:
-    """Final communities of the summary graph; communities under the straggler share are -1."""
+def merge_tree(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> list[tuple[float, int, int]]:
+    """(resolution, i, j) of every merge of a symmetric graph of n nodes (loops allowed), the highest resolution first.
+
+    Modularity gains by joining i and j up to the resolution w_ij * total / (k_i * k_j). The pair for which it is highest is
+    joined, as ``n``, ``n + 1``, ..., until no links are left. Ties go to the smaller numbers.
+    """
+    links: list[dict[int, float]] = [{} for _ in range(n)]
+    k = [0.0] * n
+    for i, j, v in zip(a.tolist(), b.tolist(), w.tolist()):
+        k[i] += v
+        if i != j:
+            links[i][j] = links[i].get(j, 0.0) + v
+    total = sum(k) or 1.0
+    heap = [(-v * total / (k[i] * k[j]), i, j) for i in range(n) for j, v in links[i].items() if i < j]
+    heapq.heapify(heap)
+    gone: set[int] = set()
+    out = []
+    while heap:
+        top, i, j = heapq.heappop(heap)
+        if i in gone or j in gone:
+            continue
+        new = len(links)
+        out.append((-top, i, j))
+        gone |= {i, j}
+        joint: dict[int, float] = {}
+        for x in (i, j):
+            for y, v in links[x].items():
+                if y not in gone:
+                    joint[y] = joint.get(y, 0.0) + v
+            links[x] = {}
+        k.append(k[i] + k[j])
+        links.append(joint)
+        for y, v in joint.items():
+            links[y][new] = v
+            links[y].pop(i, None)
+            links[y].pop(j, None)
+            heapq.heappush(heap, (-v * total / (k[new] * k[y]), y, new))
+    return out
+
+
+def cut_tree(a: np.ndarray, b: np.ndarray, w: np.ndarray, weights: dict[int, int], min_groups: int, max_groups: int, straggler: float) -> dict[int, int]:
+    """The group of each node of the summary graph, by size from 0; nodes of communities under the straggler share are -1.
+
+    Of all steps of the merge tree with ``min_groups`` to ``max_groups`` communities larger than stragglers, those belong
+    together between which that number stays. The stretch over the widest range of resolutions (as a ratio) is taken, at
+    its end: everything smaller has then joined the community that its links point to. Resolutions under that at which a
+    single link would join the two largest of the last communities can't be told from none. If no step has such a number,
+    the nearest number counts, the larger one first.
+    """
     ids = np.array(sorted(weights))
     at = {int(v): i for i, v in enumerate(ids)}
-    size = np.array([weights[int(v)] for v in ids], float)
-    x, y = np.array([at[int(v)] for v in a], int), np.array([at[int(v)] for v in b], int)
-    tried = []
-    for gamma in np.geomspace(1.0, 0.01, 16):
-        label = louvain(x, y, w, len(ids), gamma)
-        mass = np.bincount(label, weights=size)
-        tried.append((gamma, label, int((mass >= straggler * size.sum()).sum())))
-    good = [i for i, t in enumerate(tried) if min_groups <= t[2] <= max_groups]
-    if not good:  # the nearest number of groups, the higher resolution first
-        miss = [max(min_groups - t[2], t[2] - max_groups) for t in tried]
-        pick = int(np.argmin(miss))
-    else:
-        runs: list[list[int]] = []
-        for i in good:
-            if runs and runs[-1][-1] == i - 1 and tried[i][2] == tried[i - 1][2]:
-                runs[-1].append(i)
-            else:
-                runs.append([i])
-        longest = max(runs, key=lambda r: (len(r), -r[0]))
-        pick = longest[len(longest) // 2]
-    gamma, label, _ = tried[pick]
-    mass = np.bincount(label, weights=size)
-    rank = np.argsort(-mass, kind="stable")
-    number = {int(g): (i if mass[g] >= straggler * size.sum() else -1) for i, g in enumerate(rank)}
-    return {int(v): number[int(g)] for v, g in zip(ids, label)}, float(gamma)
-
-
-def group_records(df: DataFrame, key: str, flags: tuple[str, ...], numbers: dict[str, tuple[float, float]], min_groups: int, max_groups: int, tidy: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(id, key, group) of every record, and the edges (a, b, w) with which it was found.
-
-    Groups are numbered from 0 by size; -1 are stragglers: records of communities too small to be a group, and, with
-    ``tidy``, records nearly as far from their own group's centre as from the second nearest one (squared distances
-    over ``LONE``). An empty frame gives empty results.
+    merges = merge_tree(np.array([at[int(v)] for v in a], int), np.array([at[int(v)] for v in b], int), w, len(ids))
+    mass = [float(weights[int(v)]) for v in ids]
+    least = straggler * sum(mass)
+    big = sum(m >= least for m in mass)
+    strength = np.bincount([at[int(v)] for v in a], weights=w, minlength=len(ids)).tolist()
+    # number of communities, from which resolution, to which, after how many merges
+    stretches: list[list] = [[big, max([1.0, *(m[0] for m in merges[:1])]), 0.0, len(merges)]]
+    for step, (gamma, i, j) in enumerate(merges, 1):
+        mass.append(mass[i] + mass[j])
+        strength.append(strength[i] + strength[j])
+        now = big - (mass[i] >= least) - (mass[j] >= least) + (mass[-1] >= least)
+        if now != big:
+            stretches[-1][2:] = [gamma, step - 1]
+            stretches.append([now, gamma, 0.0, len(merges)])
+        big = now
+    miss = lambda s: max(min_groups - s[0], s[0] - max_groups, 0)
+    joined = {x for _, i, j in merges for x in (i, j)}
+    last = sorted((strength[x] for x in range(len(strength)) if x not in joined), reverse=True)
+    floor = w.sum() / max(last[0] * last[1], 1e-300) if len(last) > 1 and last[1] > 0 else 1e-300
+    width = lambda s: max(s[1], floor) / max(s[2], floor)
+    best = min(stretches, key=lambda s: (miss(s), -width(s), -s[0]))
+    root = list(range(len(ids) + best[3]))
+    for new, (_, i, j) in enumerate(merges[: best[3]], len(ids)):
+        root[i] = root[j] = new
+    for x in range(len(root) - 1, -1, -1):  # a node's parent is always later
+        root[x] = root[root[x]]
+    label = np.array(root[: len(ids)])
+    sums = {int(g): float(sum(mass[i] for i in np.flatnonzero(label == g))) for g in np.unique(label)}
+    rank = {g: i for i, (g, m) in enumerate(sorted(sums.items(), key=lambda x: (-x[1], x[0]))) if m >= least}
+    return {int(v): rank.get(int(g), -1) for v, g in zip(ids, label)}
+
+
+def _to_rows(rows: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(row, key, id, group) of the rows; vectors that over 1 % of the rows have go by a broadcast of at most 100."""
+    own = rows.select("row", "key", F.xxhash64(F.lit(0), "x").alias("id"))
+    n = nodes.agg(F.sum("n")).collect()[0][0] or 0
+    hot = nodes.filter(F.col("n") > F.lit(0.01 * n)).select("id")
+    label = found.select(F.col("a").alias("id"), F.col("c").cast("int").alias("group"))
+    often = own.join(F.broadcast(hot.join(label, "id", "left")), "id")
+    rest = own.join(F.broadcast(hot), "id", "left_anti").join(label, "id", "left")
+    return often.unionByName(rest).select("row", "key", "id", F.coalesce("group", F.lit(-1)).alias("group"))
+
+
+def group_records(df: DataFrame, key: str, flags: tuple[str, ...], numbers: dict[str, tuple[float, float]], min_groups: int, max_groups: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (row, key, id, group), and the distinct records (id, n, group, degree) with their number of rows.
+
+    Groups are numbered from 0 by size; -1 are stragglers: records of communities too small to be a group, and those whose
+    internal weighted degree is under ``DEGREE`` of their group's median. Equal rows are one record of the graph and get
+    the same group. An empty frame gives empty results.
     """
-    nodes = written(vectors(df, key, flags, numbers), "nodes")
-    edges = written(weighted_edges(neighbour_graph(nodes)), "edges")
-    found, _ = communities(edges, min_groups, max_groups)
-    found = written(found, "found")
-    if tidy:
-        at = nodes.join(found.filter("c >= 0").withColumnRenamed("a", "id"), "id")
-        size = len(flags) + len(numbers)
-        # one row of means for each group
-        centres = at.groupBy("c").agg(*[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(size)]).collect() if size else []
-        if len(centres) > 1:
-            apart = lambda r: F.aggregate(F.zip_with("x", F.array(*[F.lit(float(r[f"m{i}"])) for i in range(size)]), lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)
-            own = F.create_map(*[x for i, r in enumerate(centres) for x in (F.lit(r["c"]), F.col("away")[i])])[F.col("c")]
-            far = at.withColumn("away", F.array(*[apart(r) for r in centres])).select(F.col("id").alias("a"), "c", own.alias("own"), F.array_sort("away").alias("away"))
-            lone = far.filter(F.col("own") > LONE * F.col("away")[1]).select("a")
-            found = found.join(lone.withColumn("lone", F.lit(True)), "a", "left").select("a", F.when(F.col("lone"), F.lit(-1)).otherwise(F.col("c")).alias("c"))
-    out = nodes.select("id", "key").join(found.withColumnRenamed("a", "id"), "id", "left").select("id", "key", F.coalesce("c", F.lit(-1)).cast("int").alias("group"))
-    return written(out, "groups"), edges
-
-
-def describe_groups(groups: DataFrame, edges: DataFrame, top: int = 5) -> DataFrame:
-    """(group, size, share, rank, key, degree): the ``top`` members of highest internal weighted degree; ties by key, id."""
-    g = groups.select(F.col("id").alias("a"), "key", "group")
+    rows = written(records(df, key, flags, numbers), "rows")
+    nodes = written(vectors(rows), "nodes")
+    if nodes.count() != nodes.select("id").distinct().count():
+        raise RuntimeError("two records share a hash of 64 bits")
+    edges = written(weighted_edges(neighbour_graph(nodes), nodes), "edges")
+    found = written(communities(edges, nodes, min_groups, max_groups), "found")
+    label = found.filter("c >= 0")
     inside = (
-        edges.join(g, "a").join(g.select(F.col("a").alias("b"), F.col("group").alias("gb")), "b")
-        .filter(F.col("group") == F.col("gb")).groupBy("a").agg(F.sum("w").alias("degree"))
+        edges.join(label, "a").join(label.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b")
+        .filter(F.col("c") == F.col("cb")).groupBy("a").agg(F.sum("w").alias("degree"))
     )
-    scored = g.join(inside, "a", "left").withColumn("degree", F.coalesce("degree", F.lit(0.0)))
-    typical = F.struct((-F.col("degree")).alias("d"), "key", "a")
-    salt = F.pmod(F.col("a"), F.lit(64))
+    degrees = written(found.join(inside, "a", "left").select("a", "c", F.coalesce("degree", F.lit(0.0)).alias("degree")), "degrees")
+    usual = degrees.filter("c >= 0").groupBy("c").agg(F.percentile_approx("degree", 0.5, 1000).alias("usual"))  # a row for each group
+    settled = degrees.join(F.broadcast(usual), "c", "left").select("a", F.when(F.col("degree") >= DEGREE * F.col("usual"), F.col("c")).otherwise(F.lit(-1)).alias("c"), "degree")
+    settled = written(settled, "settled")
+    described = nodes.select("id", "n").join(settled.withColumnRenamed("a", "id"), "id", "left")
+    return _to_rows(rows, nodes, settled), described.select("id", "n", F.coalesce("c", F.lit(-1)).cast("int").alias("group"), F.coalesce("degree", F.lit(0.0)).alias("degree"))
+
+
+def describe_groups(rows: DataFrame, described: DataFrame, top: int = 5) -> DataFrame:
+    """(group, size, share, rank, key, degree): the ``top`` members of highest internal weighted degree; ties by key, row.
+
+    Takes what ``group_records`` gives. The best records of each group are found first, by partial lists; only their rows are ordered.
+    """
+    first = F.struct((-F.col("degree")).alias("d"), "id")
     best = (
-        scored.groupBy("group", salt.alias("salt")).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(typical)), 1, top).alias("t"))
+        described.groupBy("group", F.pmod(F.col("id"), F.lit(64)).alias("salt")).agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.collect_list(first)), 1, top).alias("t"))
         .groupBy("group").agg(F.sum("n").alias("size"), F.slice(F.array_sort(F.flatten(F.collect_list("t"))), 1, top).alias("t"))
     )
-    total = groups.count()
-    return best.select("group", "size", (F.col("size") / F.lit(max(total, 1))).alias("share"), F.posexplode("t").alias("rank", "m")).select("group", "size", "share", (F.col("rank") + 1).alias("rank"), F.col("m.key").alias("key"), (-F.col("m.d")).alias("degree"))
+    typical = F.struct("d", "key", "row")
+    # the rows of at most ``top`` records of a group; copies are cut to ``top`` before they meet
+    wanted = best.select("group", "size", F.inline("t"))
+    named = (
+        rows.join(F.broadcast(wanted), ["group", "id"]).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(64)))
+        .groupBy("group", "salt").agg(F.first("size").alias("size"), F.slice(F.array_sort(F.collect_list(typical)), 1, top).alias("t"))
+        .groupBy("group").agg(F.first("size").alias("size"), F.slice(F.array_sort(F.flatten(F.collect_list("t"))), 1, top).alias("t"))
+    )
+    total = described.agg(F.sum("n")).collect()[0][0] or 1
+    return named.select("group", "size", (F.col("size") / F.lit(total)).alias("share"), F.posexplode("t").alias("rank", "m")).select("group", "size", "share", (F.col("rank") + 1).alias("rank"), F.col("m.key").alias("key"), (-F.col("m.d")).alias("degree"))
