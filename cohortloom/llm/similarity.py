@@ -18,11 +18,12 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import task_slots, written
@@ -164,44 +165,54 @@ def _nearest(a: list[np.ndarray], b: list[np.ndarray], d: list[np.ndarray], k: i
     return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(z)], ["a", "b", "d"])
 
 
-def _best(pairs: DataFrame, k: int) -> DataFrame:
-    """(a, near): the k nearest distinct neighbours of each record as (d, b, new), nearest first, ties by id; new are those that weren't ``old``."""
-    pair = F.slice(F.array_sort(F.collect_set(F.struct("d", "b"))), 1, k)
-    best = pairs.groupBy("a").agg(pair.alias("near"), F.collect_set(F.when(F.col("old"), F.col("b"))).alias("before"))
-    return best.select("a", F.transform("near", lambda e: F.struct(e["d"].alias("d"), e["b"].alias("b"), (~F.array_contains("before", e["b"])).alias("new"))).alias("near"))
-
-
-def _descend(nodes: DataFrame, graph: DataFrame, k: int, turn: int) -> DataFrame:
+def _groups_of(batches: Iterator[pa.RecordBatch], key: str, f: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """f of tables that hold all rows of their keys, from batches sorted by the key."""
+    rest: pa.Table | None = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = pa.concat_tables([rest, t]) if rest is not None else t
+        last = int(np.searchsorted(np.asarray(t[key]), t[key][-1].as_py())) if t.num_rows else 0
+        if last:
+            yield f(t.slice(0, last))
+        rest = t.slice(last)
+    if rest is not None and rest.num_rows:
+        yield f(rest)
+
+
+def _best(pairs: DataFrame, k: int, slots: int) -> DataFrame:
+    """(a, b, d, new, rank, worst): the k nearest distinct neighbours of each record, ranked from 0, ties by id; new are those
+    that weren't ``old``; ``worst`` is the distance of the last, infinite if there are fewer than k."""
+
+    def keep(t: pa.Table) -> pa.RecordBatch:
+        a, b, d, old = (np.asarray(t[c]) for c in ("a", "b", "d", "old"))
+        once = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]  # the old one comes first
+        a, b, d, old = a[once], b[once], d[once], old[once]
+        start = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+        size = np.diff(np.r_[start, len(a)])
+        rank = np.arange(len(a)) - np.repeat(start, size)
+        worst = np.repeat(np.where(size >= k, d[start + np.minimum(size, k) - 1], np.inf), size).astype(np.float32)
+        m = rank < k
+        return pa.RecordBatch.from_arrays([pa.array(a[m]), pa.array(b[m]), pa.array(d[m]), pa.array(~old[m]), pa.array(rank[m].astype(np.int32)), pa.array(worst[m])], ["a", "b", "d", "new", "rank", "worst"])
+
+    laid = pairs.repartition(slots, "a").sortWithinPartitions("a", "d", "b", F.col("old").desc()).select("a", "b", "d", "old")
+    return laid.mapInArrow(lambda batches: _groups_of(batches, "a", keep), "a long, b long, d float, new boolean, rank int, worst float")
+
+
+def _descend(nodes: DataFrame, graph: DataFrame, k: int, turn: int, slots: int) -> DataFrame:
     """One round of neighbour descent: better neighbours found among neighbours of neighbours, as (a, b, d).
 
     Only pairs of which one is new are compared, as the others have been. Of a record that very many point at, an even
-    choice of three times ``k``, another in each round, speaks; those not chosen lose nothing, their own lists stay.
+    choice of about three times ``k``, another in each round, speaks; those not chosen lose nothing, their own lists stay.
     """
-    worst = graph.select(F.col("a").alias("id"), F.when(F.size("near") >= k, F.element_at("near", -1)["d"]).otherwise(F.lit(float("inf"))).cast("float").alias("worst"))
-    forward = graph.select(F.col("a").alias("centre"), F.inline("near")).select("centre", F.col("b").alias("id"), "new")
-    order = F.array_sort(F.collect_list(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "new")))
-    chosen = (
-        forward.select(F.col("id").alias("centre"), F.col("centre").alias("id"), "new").withColumn("salt", F.pmod(F.xxhash64("id", "centre"), F.lit(16)))
-        .groupBy("centre", "salt").agg(F.slice(order, 1, 3 * k).alias("l"))
-        .groupBy("centre").agg(F.slice(F.array_sort(F.flatten(F.collect_list("l"))), 1, 3 * k).alias("l"))
+    ends = F.array(F.struct(F.col("a").alias("centre"), F.col("b").alias("id"), F.lit(0).alias("back")), F.struct(F.col("b").alias("centre"), F.col("a").alias("id"), F.lit(1).alias("back")))
+    around = Window.partitionBy("centre")
+    draw = F.pmod(F.xxhash64("id", "centre", F.lit(turn)), F.lit(1 << 20)) * F.col("pointing") < F.lit(3 * k << 20)
+    members = (
+        graph.select("new", F.inline(ends))
+        .withColumns({"pointing": F.sum("back").over(around), "moves": F.max("new").over(around)})
+        .filter(F.col("moves") & ((F.col("back") == 0) | draw)).select("centre", "id", "new")
     )
-    own = graph.select(F.col("a").alias("centre"), F.transform("near", lambda e: F.struct(e["b"].alias("id"), e["new"].alias("new"))).alias("own"))
-    both = own.join(chosen, "centre", "left").select("centre", F.concat("own", F.coalesce(F.transform("l", lambda e: F.struct(e["id"].alias("id"), e["new"].alias("new"))), F.array())).alias("m"))
-    members = both.filter(F.exists("m", lambda e: e["new"])).select("centre", F.inline("m"))
-    loaded = members.join(nodes.select("id", "x"), "id").join(worst, "id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            t = pa.concat_tables([rest, t]) if rest is not None else t
-            centre = np.asarray(t["centre"])
-            last = int(np.flatnonzero(centre == centre[-1])[0]) if len(centre) else 0
-            if last:
-                yield found(t.slice(0, last))
-            rest = t.slice(last)
-        if rest is not None and rest.num_rows:
-            yield found(rest)
+    loaded = members.join(nodes.select("id", "x"), "id").join(graph.filter("rank = 0").select(F.col("a").alias("id"), "worst"), "id")
 
     def found(t: pa.Table) -> pa.RecordBatch:
         centre, ids, worst_, x, new = np.asarray(t["centre"]), np.asarray(t["id"]), np.asarray(t["worst"]), _matrix(t["x"]), np.asarray(t["new"])
@@ -216,34 +227,35 @@ def _descend(nodes: DataFrame, graph: DataFrame, k: int, turn: int) -> DataFrame
             d.append(dist[i, j])
         return _nearest(a, b, d, k)
 
-    laid = loaded.repartition(task_slots(nodes.sparkSession), "centre").sortWithinPartitions("centre", "id")
-    return laid.select("centre", "id", "new", "worst", "x").mapInArrow(run, "a long, b long, d float")
+    laid = loaded.repartition(slots, "centre").sortWithinPartitions("centre", "id")
+    return laid.select("centre", "id", "new", "worst", "x").mapInArrow(lambda batches: _groups_of(batches, "centre", found), "a long, b long, d float")
 
 
 def neighbour_graph(nodes: DataFrame, k: int | None = None, trees: int = TREES, change: float = CHANGE, leaf: int = LEAF, chunk: int = CHUNK) -> DataFrame:
-    """(a, near array<struct<d, b>>): approximately the k nearest neighbours of every record of (id, x), by distance squared.
+    """(a, b, d): approximately the k nearest neighbours b of every record a of (id, x), by distance squared.
 
     ``k``: by default as ``neighbours`` has it. Rounds of descent go on until one renews at most the share ``change`` of the
     list entries; as lists only get nearer, that comes. Every record with at least one other has neighbours; frames of none
     or one give an empty graph.
     """
     n = nodes.count()
-    if not n:
-        return nodes.sparkSession.createDataFrame([], "a long, near array<struct<d: float, b: long>>")
     k = k or neighbours(n)
-    ranges = max(1, round(n / chunk))
-    found = _first_neighbours(nodes, 0, k, leaf, chunk, ranges)
-    for t in range(1, trees):
-        found = found.unionByName(_first_neighbours(nodes, t, k, leaf, chunk, ranges))
-    graph = written(_best(found.withColumn("old", F.lit(False)), k), "graph")
+    ranges, slots = max(1, round(n / chunk)), task_slots(nodes.sparkSession)
+    if n:
+        found = _first_neighbours(nodes, 0, k, leaf, chunk, ranges)
+        for t in range(1, trees):
+            found = found.unionByName(_first_neighbours(nodes, t, k, leaf, chunk, ranges))
+    else:
+        found = nodes.sparkSession.createDataFrame([], "a long, b long, d float")
+    graph = written(_best(found.withColumn("old", F.lit(False)), k, slots), "graph")
     turn = 0
     while True:
-        old = graph.select("a", F.inline("near")).select("a", "b", "d", F.lit(True).alias("old"))
-        better = _descend(nodes, graph, k, turn).withColumn("old", F.lit(False))
-        graph = written(_best(old.unionByName(better), k), "graph")
-        renewed = graph.agg((F.sum(F.size(F.filter("near", lambda e: e["new"]))) / F.sum(F.size("near"))).alias("r")).collect()[0][0] or 0.0
+        old = graph.select("a", "b", "d", F.lit(True).alias("old"))
+        better = _descend(nodes, graph, k, turn, slots).withColumn("old", F.lit(False))
+        graph = written(_best(old.unionByName(better), k, slots), "graph")
+        renewed = graph.agg(F.avg(F.col("new").cast("int"))).collect()[0][0] or 0.0
         if renewed <= change:
-            return graph.select("a", F.transform("near", lambda e: F.struct(e["d"].alias("d"), e["b"].alias("b"))).alias("near"))
+            return graph.select("a", "b", "d")
         turn += 1
 
 
@@ -253,34 +265,32 @@ def weighted_edges(graph: DataFrame, copies: DataFrame | None = None) -> DataFra
     ``copies`` (id, n): a record of n equal rows has these for neighbours first, as a loop of weight 2 each, up to as many as
     its list is long.
     """
-    near = graph.select("a", F.inline("near"))
-    scale = near.agg(F.percentile_approx("d", 0.5, 1000)).collect()[0][0] or 1.0
-    longest = graph.agg(F.max(F.size("near"))).collect()[0][0] or 1
-    half = near.select("a", "b", F.exp(-F.col("d") / F.lit(float(scale))).alias("w"))
-    both = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
+    scale = graph.agg(F.percentile_approx("d", 0.5, 1000)).collect()[0][0] or 1.0
+    w = F.exp(-F.col("d") / F.lit(float(scale)))
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = graph.select(w.alias("w"), F.inline(both)).groupBy("a", "b").agg(F.sum("w").alias("w"))
     if copies is None:
-        return both
+        return edges
+    longest = graph.groupBy("a").count().agg(F.max("count")).collect()[0][0] or 1
     loops = copies.filter("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"), (F.least(F.col("n") - 1, F.lit(longest)) * 2.0).alias("w"))
-    return both.unionByName(loops)
+    return edges.unionByName(loops)
 
 
-def _move(edges: DataFrame, parts: DataFrame, total: float, turn: int, gamma: float) -> DataFrame:
-    """(a, c, k, went): half of the nodes, by hash, move to the neighbouring community that raises modularity most."""
+def _move(edges: DataFrame, parts: DataFrame, total: float, turn: int, gamma: float, slots: int) -> DataFrame:
+    """(a, c, k, went): half of the nodes, by hash, move to the neighbouring community that raises modularity most.
+
+    ``edges`` lie by b already; the labels come to them, and one shuffle by a brings each node's links together.
+    """
     strength = parts.groupBy("c").agg(F.sum("k").alias("kc"))
-    to = edges.filter("a <> b").join(parts.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("w"))
+    label = parts.join(strength, "c").select(F.col("a").alias("b"), "c", "kc")
+    to = edges.join(label, "b").repartition(slots, "a").groupBy("a", "c").agg(F.sum("w").alias("w"), F.first("kc").alias("kc"))
     here = parts.select("a", F.col("c").alias("own"), "k")
     gain = F.col("w") - F.lit(gamma / total) * F.col("k") * (F.col("kc") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0))
-    best = (
-        to.join(here, "a").join(strength, "c")
-        .groupBy("a").agg(
-            F.max(F.struct(gain.alias("g"), F.xxhash64("c", F.lit(turn)).alias("h"), F.col("c").alias("to"))).alias("best"),
-            F.max(F.when(F.col("c") == F.col("own"), gain)).alias("stay"),
-        )
-    )
     # staying alone costs nothing: a node without edges into its own community gains by any positive move
-    moved = parts.join(best, "a", "left")
-    go = F.coalesce((F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(2)) == 0) & (F.col("best.g") > F.coalesce("stay", F.lit(0.0)) + 1e-12), F.lit(False))
-    return moved.select("a", F.when(go, F.col("best.to")).otherwise(F.col("c")).alias("c"), "k", go.alias("went"))
+    choice = F.struct(gain.alias("g"), F.xxhash64("c", F.lit(turn)).alias("h"), F.col("c").alias("to"))
+    best = here.join(to, "a", "left").groupBy("a").agg(F.first("own").alias("c"), F.first("k").alias("k"), F.max_by("c", choice).alias("to"), F.max(gain).alias("g"), F.max(F.when(F.col("c") == F.col("own"), gain)).alias("stay"))
+    go = F.coalesce((F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(2)) == 0) & (F.col("g") > F.coalesce("stay", F.lit(0.0)) + 1e-12), F.lit(False))
+    return best.select("a", F.when(go, F.col("to")).otherwise(F.col("c")).alias("c"), "k", go.alias("went"))
 
 
 def communities(edges: DataFrame, copies: DataFrame, min_groups: int = 1, max_groups: int = 1_000_000, straggler: float = STRAGGLER, moves: int = MOVES) -> DataFrame:
@@ -297,7 +307,7 @@ def communities(edges: DataFrame, copies: DataFrame, min_groups: int = 1, max_gr
     if not total:
         return level.select("a").distinct().withColumn("c", F.lit(-1).cast("long"))
     chain: list[DataFrame] = []
-    gamma, before = 1.0, None
+    gamma, before, slots = 1.0, None, task_slots(edges.sparkSession)
     while True:
         parts = written(level.groupBy("a").agg(F.sum("w").alias("k")).select("a", F.col("a").alias("c"), "k"), "parts")
         count = parts.count()
@@ -307,12 +317,15 @@ def communities(edges: DataFrame, copies: DataFrame, min_groups: int = 1, max_gr
         if before and count > 0.9 * before:
             gamma /= 2
         before = count
+        # laid out once for all moves; a lost part is read again from the written table
+        between = level.filter("a <> b").repartition(slots, "b").sortWithinPartitions("b").persist(StorageLevel.DISK_ONLY)
         for turn in range(moves):
-            now = written(_move(level, parts, total, len(chain) * moves + turn, gamma), "parts")
+            now = written(_move(between, parts, total, len(chain) * moves + turn, gamma, slots), "parts")
             went = now.filter("went").count()
             parts = now.drop("went")
             if went < SETTLED * count:
                 break
+        between.unpersist()
         chain.append(parts.select("a", "c"))
         level = written(
             level.join(parts.select("a", F.col("c").alias("ca")), "a")

@@ -1,3 +1,5 @@
+from collections import defaultdict
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -29,7 +31,9 @@ def people(spark):
 
 def test_recall_of_neighbour_descent(spark, people):
     nodes = vectors(records(people, "key", FLAGS, NUMBERS)).cache()
-    got = {r.a: [(e.b, e.d) for e in r.near] for r in neighbour_graph(nodes, k=10, leaf=60, chunk=250).collect()}
+    got = defaultdict(list)
+    for r in neighbour_graph(nodes, k=10, leaf=60, chunk=250).collect():
+        got[r.a].append((r.b, r.d))
     rows = nodes.collect()
     x, ids = np.array([r.x for r in rows], float), [r.id for r in rows]
     hit = total = 0
@@ -52,7 +56,9 @@ def test_recall_with_production_parameters_on_the_whole_table(spark):
     partitions = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "24")
     try:
-        got = {r.a: [e.d for e in r.near] for r in neighbour_graph(nodes).collect()}
+        got = defaultdict(list)
+        for r in neighbour_graph(nodes).collect():
+            got[r.a].append(r.d)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
     rows = nodes.collect()
@@ -173,7 +179,7 @@ def test_a_missing_link_weighs_no_more_than_a_single_one():
 def test_no_edges(spark):
     edges = spark.createDataFrame([], "a long, b long, w double")
     assert communities(edges, spark.createDataFrame([], "id long, n long")).count() == 0
-    assert weighted_edges(spark.createDataFrame([], "a long, near array<struct<d: float, b: long>>")).count() == 0
+    assert weighted_edges(spark.createDataFrame([], "a long, b long, d float")).count() == 0
 
 
 def test_more_components_than_the_driver_takes(spark):
