@@ -219,7 +219,8 @@ def broadcast_at(values: Column, i: Column) -> Column:
 
 
 def clip(c: Column, bound: float) -> Column:
-    return F.greatest(F.least(c, F.lit(bound)), F.lit(-bound))
+    """Between -bound and bound; null stays null (greatest and least skip nulls)."""
+    return F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(bound)), F.lit(-bound)))
 
 
 def ratio(a: Column, b: Column) -> Column:

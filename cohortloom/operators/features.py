@@ -7,6 +7,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import clip
+
 
 def roles(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, role, n_present, n_distinct): binary if all values are 0 or 1 (a column of nulls too), constant if one value, else continuous."""
@@ -28,7 +30,7 @@ def scale(df: DataFrame, columns: list[str], kind: str, bound: float | None = No
     out = {}
     for c in columns:
         x = (F.col(c).cast("double") - F.lit(r[f"{c}_c"])) / F.lit(r[f"{c}_s"] or 1.0)
-        out[c] = F.greatest(F.least(x, F.lit(bound)), F.lit(-bound)) if bound is not None else x
+        out[c] = clip(x, bound) if bound is not None else x
     return df.withColumns(out)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.attributes import filled_cells, wide_vitals
+from ..operators.attributes import cast_failures, filled_cells, wide_vitals
 from ..operators.propagate import fill_missing
 from ..operators.readings import explode_lab, parse_vitals
 from ..operators.spikes import implausible
@@ -83,11 +83,16 @@ def p6_wide(spark: SparkSession, sf: str) -> DataFrame:
     return wide.withColumn("cast_failures", F.to_json("cast_failures"))
 
 
+def p6_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text that couldn't be cast, with its patient, attribute and number of rows."""
+    return cast_failures(to_common_units(vitals(spark, sf))).withColumnRenamed("pid", "pat_mrn_id_encrypt")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return filled_cells(p6_wide(spark, sf).withColumnRenamed("pat_mrn_id_encrypt", "pid")).select(F.col("pid").alias("pat_mrn_id_encrypt"), "attribute")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_faults, p3_found, p3_converted, p4_found, p4_filled, p6_found, p6_wide)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_faults, p3_found, p3_converted, p4_found, p4_filled, p6_found, p6_wide, p6_failures)}
 
 ORACLES = {
     "p4_found": " UNION ALL ".join(

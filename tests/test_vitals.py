@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortloom.operators.attributes import filled_cells, wide_vitals
+from cohortloom.operators.attributes import cast_failures, filled_cells, wide_vitals
 from cohortloom.operators.readings import explode_lab, parse_vitals
 from cohortloom.operators.spikes import flag_series, implausible, phase_space_spikes, stuck_runs
 from cohortloom.operators.units import fit_units, to_common_units
@@ -112,17 +112,60 @@ def test_long_series_in_chunks_equal_one_chunk(spark):
     whole = {(r.row_id, r.fault) for r in flag_series(df).collect()}
     cut = {(r.row_id, r.fault) for r in flag_series(df, hot=300).collect()}
     assert len(whole) >= 45
-    # spreads of chunks differ a little from that of the series; spikes far out do not
     assert whole == cut
 
 
+@pytest.mark.parametrize("days", [3000, 40, 2, 1])
+def test_chunks_of_tied_days_equal_one_chunk(spark, days):
+    """Whole-number days with many readings each: calm and agitated stretches, spikes and runs across cuts."""
+    rng = np.random.default_rng(6)
+    n = 3000
+    x = (80 + rng.normal(0, np.where(np.arange(n) < n // 2, 2, 3), n)).round(1)
+    x[rng.choice(n, 30, replace=False)] += 60
+    for at in (298, 745, 1498, 2250):
+        x[at : at + 9] = 81.0
+    # rep in order within a day, over its whole range, as hashes are
+    rows = [("v", i, 0, "P", float(i * days // n), "pulse", float(v), None, int((i * days / n % 1 + 0.0001) * (2**64 - 2**50)) - 2**63) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "tbl string, row_id long, pos int, pid string, day double, attribute string, x double, y double, rep long")
+    whole = {(r.row_id, r.fault) for r in flag_series(df).collect()}
+    cut = {(r.row_id, r.fault) for r in flag_series(df, hot=300).collect()}
+    assert len({r for r, f in whole if f == "stuck"}) == 36 and len(whole) >= 60
+    assert whole == cut
+
+
+def test_ellipsoids_decide():
+    """Readings 4.7 spreads off leave both sides, but most of them stay within the ellipses."""
+    rng = np.random.default_rng(7)
+    x = 80 + rng.normal(0, 3, 4000)
+    far = np.arange(50, 3900, 100)
+    near = far + 50
+    x[far], x[near] = 80 + 30, 80 + 14
+    with_, without = (phase_space_spikes(x, np.zeros(4000, int), 3.0, ellipsoids=e) for e in (True, False))
+    assert with_[far].all() and without[far].all()
+    assert with_[near].sum() < 0.5 * without[near].sum() and not (with_ & ~without).any()
+
+
+def test_pressures_without_a_second_number_are_no_spikes(spark):
+    rng = np.random.default_rng(8)
+    rows = [("v", i, 0, "P", float(i), "bp", 120.0 + int(rng.integers(-6, 7)), None if i % 9 == 4 else 80.0 + int(rng.integers(-4, 5)) - 60 * (i == 20), i) for i in range(60)]
+    df = spark.createDataFrame(rows, "tbl string, row_id long, pos int, pid string, day double, attribute string, x double, y double, rep long")
+    assert [(r.row_id, r.fault) for r in implausible(df).collect()] == [(20, "spike")]
+
+
+def test_impossible_and_series_rows_come_once(spark):
+    rows = [("v", i, 0, "P" if i % 2 else None, float(i), "pulse", 900.0 if i == 7 or i == 8 else 80.0 + i % 3, None, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "tbl string, row_id long, pos int, pid string, day double, attribute string, x double, y double, rep long")
+    assert sorted((r.row_id, r.fault) for r in implausible(df).collect()) == [(7, "impossible"), (8, "impossible")]
+
+
 def test_wide_cells(spark, reference):
-    rows = [("A", "1", "BP", "120/80", None), ("A", "2", "BP", "130/", None), ("A", None, "BP", "99/1", None), (" A ", "1", "O2 DEVICE", "Room air", None), ("B", "1", "PULSE", "refused", None), ("C", "1", "PULSE", "n/a", None), (None, "1", "PULSE", "80", None)]
+    rows = [("A", "1", "BP", "120/80", None), ("A", "2", "BP", "130/", None), ("A", None, "BP", "99/1", None), (" A ", "1", "O2 DEVICE", "Room air", None), ("B", "1", "PULSE", "refused", None), ("B", "2", "PULSE", "later", None), ("B", "3", "PULSE", "refused", None), ("C", "1", "PULSE", "n/a", None), (None, "1", "PULSE", "80", None)]
     df = to_common_units(parse_vitals(raw(spark, rows), reference))
     w = {r.pid: r for r in wide_vitals(df).collect()}
     assert set(w) == {"A", "B", "C"}
     assert (w["A"].bp_systolic, w["A"].bp_diastolic, w["A"].o2_device, w["A"].n_readings) == (130.0, 80.0, "Room air", 4)
-    assert w["B"].pulse is None and w["B"].cast_failures == {"pulse": "refused"} and w["C"].cast_failures is None
+    assert w["B"].pulse is None and w["B"].cast_failures == {"pulse": ["later", "refused"]} and w["C"].cast_failures is None
+    assert {tuple(r) for r in cast_failures(df).collect()} == {("B", "pulse", "refused", 2), ("B", "pulse", "later", 1)}
     assert {(r.pid, r.attribute) for r in filled_cells(wide_vitals(df)).collect()} == {("A", "bp_systolic"), ("A", "bp_diastolic"), ("A", "o2_device")}
 
 
