@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import clip
 from ..session import written
 
 TABLES = 6  # independent similarity groupings of the records for each column
 AIM = 40  # records that a similarity group holds on average
-ROUNDS = 4
+ROUNDS = 10  # at most
+SETTLED = 1e-3  # mean change of the fills, in spreads of their column, that ends the rounds
 
 
 def real(column: Column, low: float, high: float) -> Column:
@@ -28,7 +30,7 @@ def _scaled(column: Column, quartiles: list[float] | None) -> Column:
     if low > 0:
         column, low, mid, high = F.log(F.when(column > 0, column)), math.log(low), math.log(mid), math.log(high)
     spread = high - low if high > low else 1.0
-    return F.coalesce(F.greatest(F.least((column - F.lit(mid)) / spread, F.lit(6.0)), F.lit(-6.0)), F.lit(0.0))
+    return F.coalesce(clip((column - F.lit(mid)) / spread, 6.0), F.lit(0.0))
 
 
 def _regressions(base: DataFrame, numeric: list[str], features: list[str], n: int) -> dict[str, tuple[np.ndarray, float]]:
@@ -65,6 +67,35 @@ def _regressions(base: DataFrame, numeric: list[str], features: list[str], n: in
     return out
 
 
+def _mixed(*parts: np.ndarray | int) -> np.ndarray:
+    """One 64-bit hash of whole numbers, element by element."""
+    h = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        for p in parts:
+            h = (h ^ np.asarray(p, np.int64).view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            h = h ^ (h >> np.uint64(32))
+    return h.view(np.int64)
+
+
+class _Hubs:
+    """The hubs of each record for each column: its group, and an interval of the column's score in every table."""
+
+    def __init__(self, scores: list[tuple[np.ndarray, float]], shifts: np.ndarray, grouped: bool) -> None:
+        self.scores, self.shifts, self.grouped = scores, shifts, grouped
+
+    def __call__(self, k: int, x: np.ndarray | None, group: np.ndarray) -> np.ndarray:
+        """Of column k, one row per record."""
+        out = [_mixed(k, -1, group)] if self.grouped or not self.scores else []
+        if self.scores:
+            w, width = self.scores[k]
+            at = np.clip((x @ w) / width, -1e15, 1e15)
+            for t, shift in enumerate(self.shifts[k]):
+                cell = np.floor(at + shift).astype(np.int64)
+                out.append(_mixed(k, t, cell, *([group] if t % 2 else [])))
+        return np.column_stack(out)
+
+
 def fill_missing(
     df: DataFrame,
     key: str,
@@ -77,27 +108,29 @@ def fill_missing(
     rounds: int = ROUNDS,
     seed: int = 7,
 ) -> DataFrame:
-    """``df`` with the columns of ``numeric`` and ``categorical`` filled, and a boolean ``<column>_filled`` for each.
+    """``df`` with the columns of ``numeric`` and ``categorical`` filled, a boolean ``<column>_filled`` for each, and
+    ``<column>_basis``: ``similar`` if similar records gave the value, ``overall`` if none of them had one, null if observed.
 
     ``numeric`` maps a column to the range of possible values; anything else there is taken as missing. A categorical
     column lacks a value where it is null or blank.
 
-    Records are linked through hubs: one for each combination of ``groups`` (same group), and for every column to fill
+    Records are linked through hubs: for every column to fill one for the combination of ``groups`` (same group), and
     ``tables`` hubs of records that are similar in what bears on that column: the features are weighted by a ridge
     regression of the column (from moments summed over all records, positive features on the log scale), and a hub is
     one interval of that weighted sum, the intervals of each table shifted anew and so narrow that they hold about
-    ``aim`` records. Every other table also keeps the groups apart. Observed cells are clamped. In each round a hub
-    takes the mean of its members' numbers and the distribution of their categories, and every missing cell the average
-    over its hubs, tighter hubs weighing more. As a hub stands for all pairs of its members, the edges are a fixed
-    multiple of the records and no pair is ever formed; a hub with a third of all records is a partial aggregate like
-    any other. Categories take the same hubs, of all columns.
+    ``aim`` records, however many there are. Every other table also keeps the groups apart. Observed cells are clamped: what
+    they give a hub is summed once. In each round a hub takes the mean of its members' numbers and the distribution of
+    their categories, and every missing cell the average over its hubs, tighter hubs weighing more, until the fills
+    settle. As a hub stands for all pairs of its members, the edges are a fixed multiple of the records and no pair is
+    ever formed; a hub with a third of all records is a partial aggregate like any other. Categories have the hubs of
+    their group, and of all numeric columns.
 
     A cell no hub of which has an observed value gets the overall mean (most frequent category); a column without any
     observed value stays null. Rows with a null or repeated ``key`` are rows like any other. Columns of ``df`` named as
-    the results (``<column>_filled``) are replaced. An empty frame gives an empty frame.
+    the results are replaced. An empty frame gives an empty frame.
     """
     names = [*numeric, *categorical]
-    lines = df.drop(*[f"{c}_filled" for c in names])
+    lines = df.drop(*[f"{c}_{x}" for c in names for x in ("filled", "basis")])
     kept = lines.columns
     blank = lambda c: F.when(F.trim(F.col(c).cast("string")) != "", F.col(c).cast("string"))
     observed = [real(F.col(c), *span).alias(f"_v_{c}") for c, span in numeric.items()] + [blank(c).alias(f"_v_{c}") for c in categorical]
@@ -109,70 +142,88 @@ def fill_missing(
         *[F.mode(blank(c), deterministic=True).alias(f"_m_{c}") for c in categorical],
         *[F.percentile_approx(spans[c], [0.25, 0.5, 0.75], 1000).alias(f"_q_{c}") for c in features],
     ).collect()[0]
-    vector = [_scaled(spans[c], stats[f"_q_{c}"]) for c in features]
-    # written once, so that the row numbers and the codes stay the same in every round
-    base = lines.select(F.struct(*kept).alias("_row"), F.monotonically_increasing_id().alias("_id"), *observed, F.array(*vector, F.lit(1.0)).alias("_x"))
-    base = written(base, "fill-rows") if features else base
-    group = [F.coalesce(F.col(f"_row.`{c}`").cast("string"), F.lit("\0")) for c in groups]
-    hubs = [F.xxhash64(F.lit(-1), *group)]
-    if features:
-        rng = np.random.default_rng(seed)
+    group = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in groups]) if groups else F.lit(0).cast("long")
+    vector = F.array(*[_scaled(spans[c], stats[f"_q_{c}"]) for c in features], F.lit(1.0))
+    # written once, so that the row numbers stay the same in every round
+    base = written(lines.select(F.struct(*kept).alias("_row"), F.monotonically_increasing_id().alias("_id"), *observed, group.alias("_g"), vector.alias("_x")), "fill-rows")
+    scores: list[tuple[np.ndarray, float]] = []
+    if features and numeric:
         weights = _regressions(base, list(numeric), list(features), stats["_n"])
-        for k, c in enumerate(numeric):
-            w, spread = weights[c]
-            score = F.aggregate(F.zip_with("_x", F.array(*[F.lit(float(v)) for v in w]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-            intervals = max(4.0, min(4096.0, stats["_n"] / aim))
-            width = 5 * spread / intervals  # most scores lie within five spreads
-            for t in range(tables):
-                cell = F.floor(F.greatest(F.least(score / width, F.lit(1e6)), F.lit(-1e6)) + F.lit(float(rng.random())))
-                hubs.append(F.xxhash64(F.lit(k), F.lit(t), cell, *(group if t % 2 else [])))
-    base = written(base.withColumn("_hubs", F.array(*hubs)).drop("_x"), "fill")
-    only = {c: tuple(range(1 + k * tables, 1 + (k + 1) * tables)) for k, c in enumerate(numeric)} if features else {}
-    missing = F.lit(False)
+        # most scores lie within five spreads
+        scores = [(weights[c][0], 5 * weights[c][1] / max(4.0, stats["_n"] / aim)) for c in numeric]
+    hubs = _Hubs(scores, np.random.default_rng(seed).random((len(numeric), tables)), bool(groups))
+    # a category asks the hubs of all numeric columns
+    own = {c: [k] if k < len(numeric) else list(range(len(numeric))) or [0] for k, c in enumerate(names)}
+    if not scores:
+        own = {c: [0] for c in names}
+    size = len(features) + 1
+
+    def of(b: pa.RecordBatch, c: str, rows: np.ndarray) -> np.ndarray:
+        x = np.asarray(b["_x"].flatten()).reshape(b.num_rows, size)[rows] if scores else None
+        g = np.asarray(b["_g"])[rows]
+        # columns keep apart, as each counts its own values
+        return _mixed(names.index(c), np.column_stack([hubs(k, x, g) for k in own[c]]))
+
+    def linked(c: str, missing: bool):
+        def run(batches):
+            for b in batches:
+                rows = np.flatnonzero(b[f"_v_{c}"].is_null() if missing else b[f"_v_{c}"].is_valid())
+                at = of(b, c, rows)
+                other = b["_id"] if missing else b[f"_v_{c}"]
+                yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), other.take(pa.array(np.repeat(rows, at.shape[1])))], ["_hub", "_id" if missing else "_v"])
+
+        kind = "_id long" if missing else f"_v {'double' if c in numeric else 'string'}"
+        return base.select("_id", "_g", "_x", f"_v_{c}").mapInArrow(run, f"_hub long, {kind}")
+
+    done = base.select("_row", "_id", *[f"_v_{c}" for c in names])
     for c in names:
-        missing = missing | F.col(f"_v_{c}").isNull()
-    slim = base.select("_id", "_hubs", *[f"_v_{c}" for c in names])
-    known = slim.filter(~missing)
-    unknown = slim.filter(missing)
-    current = None  # _id, _f_<c>: fills of the last round
-    for _ in range(rounds):
-        if current is None:
-            members = slim.select(F.explode("_hubs").alias("_hub"), *[F.col(f"_v_{c}").alias(f"_c_{c}") for c in names])
-        else:
-            now = unknown.join(current, "_id", "left").select("_hubs", *[F.coalesce(f"_v_{c}", f"_f_{c}").alias(f"_c_{c}") for c in names])
-            members = known.select("_hubs", *[F.col(f"_v_{c}").alias(f"_c_{c}") for c in names]).unionByName(now).select(F.explode("_hubs").alias("_hub"), *[f"_c_{c}" for c in names])
-        aggregates = [a for c in numeric for a in (F.avg(f"_c_{c}").alias(f"_a_{c}"), F.coalesce(F.var_pop(f"_c_{c}"), F.lit(0.0)).alias(f"_w_{c}"), F.count(f"_c_{c}").alias(f"_k_{c}"))]
-        hub = members.groupBy("_hub").agg(*aggregates, F.count("*").alias("_n")) if aggregates else members.groupBy("_hub").agg(F.count("*").alias("_n"))
-        for c in categorical:
-            share = members.filter(F.col(f"_c_{c}").isNotNull()).groupBy("_hub", f"_c_{c}").count().groupBy("_hub").agg(F.map_from_entries(F.collect_list(F.struct(f"_c_{c}", "count"))).alias(f"_d_{c}"))
-            hub = hub.join(share, "_hub", "left")
-        ask = unknown.select("_id", F.posexplode("_hubs").alias("_at", "_hub"))
-        met = ask.join(hub, "_hub")
-        sums = []
-        for c in numeric:
+        spread = float(stats[f"_s_{c}"] or 1.0) if c in numeric else 1.0
+        step = _propagate(linked(c, False), linked(c, True), c in numeric, spread, rounds)
+        done = done.join(step.select("_id", F.col("_f").alias(f"_f_{c}")), "_id", "left")
+    fallback = {c: F.lit(stats[f"_m_{c}"]).cast("double" if c in numeric else "string") for c in names}
+    result = [F.coalesce(f"_v_{c}", f"_f_{c}", fallback[c]).alias(c) if c in names else F.col(f"_row.`{c}`").alias(c) for c in kept]
+    for c in names:
+        there = F.col(f"_v_{c}").isNull() & fallback[c].isNotNull()
+        basis = F.when(there, F.when(F.col(f"_f_{c}").isNotNull(), "similar").otherwise("overall"))
+        result += [there.alias(f"{c}_filled"), basis.alias(f"{c}_basis")]
+    return done.select(*result)
+
+
+def _propagate(known: DataFrame, ask: DataFrame, numbers: bool, spread: float, rounds: int) -> DataFrame:
+    """(_id, _f) of the cells in ``ask`` (_hub, _id), from the observed values ``known`` (_hub, _v) of the hubs."""
+    ask = written(ask, "fill-ask")
+    size = ask.groupBy("_hub").agg(F.count("*").alias("k"))
+    total = ask.count()
+    # hubs that many cells ask (a group with a third of all records) come to them by a broadcast of at most 100
+    often = written(size.filter(F.col("k") > F.lit(0.01 * total)).select("_hub"), "fill-often")
+    many, rest = ask.join(F.broadcast(often), "_hub", "left_semi"), ask.join(F.broadcast(often), "_hub", "left_anti")
+    told = lambda hub: many.join(F.broadcast(hub.join(F.broadcast(often), "_hub", "left_semi")), "_hub").unionByName(rest.join(hub, "_hub"))
+    current: DataFrame | None = None
+    if numbers:
+        moments = lambda df: df.groupBy("_hub").agg(F.count("_v").alias("n"), F.sum("_v").alias("s"), F.sum(F.col("_v") * F.col("_v")).alias("q"))
+        fixed = written(moments(known), "fill-hubs")
+        for _ in range(rounds):
+            hub = fixed if current is None else fixed.unionByName(moments(ask.join(current, "_id").select("_hub", F.col("_f").alias("_v")))).groupBy("_hub").agg(*[F.sum(x).alias(x) for x in ("n", "s", "q")])
             # a hub with few members or spread-out values says less; its prior variance is the column's
-            spread = F.lit(float((stats[f"_s_{c}"] or 1.0) ** 2 or 1.0))
-            mine = F.col("_at").between(only[c][0], only[c][-1]) | ((F.col("_at") == 0) & F.lit(bool(groups))) if c in only else F.lit(True)
-            w = F.when((F.col(f"_k_{c}") > 0) & mine, 1 / ((F.col(f"_w_{c}") * F.col(f"_k_{c}") + 4 * spread) / (F.col(f"_k_{c}") + 4) * (1 + 1 / F.col(f"_k_{c}"))))
-            sums.append((F.sum(w * F.col(f"_a_{c}")) / F.sum(w)).alias(f"_f_{c}"))
-        step = met.groupBy("_id").agg(*sums) if sums else met.select("_id").distinct()
-        for c in categorical:
-            votes = (
-                met.select("_id", F.explode(f"_d_{c}").alias("_value", "_k"), "_n")
-                .groupBy("_id", "_value").agg(F.sum(F.col("_k") / F.col("_n")).alias("_s"))
-                .groupBy("_id").agg(F.max_by("_value", F.struct(F.col("_s"), F.col("_value"))).alias(f"_f_{c}"))
-            )
-            step = step.join(votes, "_id", "left")
-        current = written(step, "fill-round")
-    fallback = {c: stats[f"_m_{c}"] for c in names}
-    done = base.join(current, "_id", "left")
-    result = []
-    for c in kept:
-        if c in numeric:
-            result.append(F.coalesce(f"_v_{c}", f"_f_{c}", F.lit(fallback[c]).cast("double")).alias(c))
-        elif c in categorical:
-            result.append(F.coalesce(f"_v_{c}", f"_f_{c}", F.lit(fallback[c]).cast("string")).alias(c))
-        else:
-            result.append(F.col(f"_row.`{c}`").alias(c))
-    flags = [(F.col(f"_v_{c}").isNull() & F.lit(fallback[c] is not None)).alias(f"{c}_filled") for c in names]
-    return done.select(*result, *flags)
+            mean = F.col("s") / F.col("n")
+            var = F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))
+            weight = 1 / ((var * F.col("n") + 4 * F.lit(spread**2)) / (F.col("n") + 4) * (1 + 1 / F.col("n")))
+            step = told(hub.select("_hub", mean.alias("m"), weight.alias("w"))).groupBy("_id").agg((F.sum(F.col("w") * F.col("m")) / F.sum("w")).alias("_f"))
+            before, current = current, written(step, "fill-round")
+            if before is not None:
+                moved = current.join(before.withColumnRenamed("_f", "_b"), "_id", "left").agg(F.avg(F.abs(F.col("_f") - F.coalesce("_b", F.lit(0.0))))).collect()[0][0] or 0.0
+                if moved <= SETTLED * spread:
+                    break
+        return current
+    counts = lambda df: df.groupBy("_hub", "_v").agg(F.count("*").alias("k"))
+    fixed = written(counts(known), "fill-hubs")
+    for _ in range(rounds):
+        each = fixed if current is None else fixed.unionByName(counts(ask.join(current, "_id").select("_hub", F.col("_f").alias("_v")))).groupBy("_hub", "_v").agg(F.sum("k").alias("k"))
+        hub = each.join(each.groupBy("_hub").agg(F.sum("k").alias("n")), "_hub").select("_hub", "_v", (F.col("k") / F.col("n")).alias("share"))
+        # a hub has a row for each of its categories; the broadcast is of the most asked hubs times those
+        votes = told(hub).groupBy("_id", "_v").agg(F.sum("share").alias("p"))
+        step = votes.groupBy("_id").agg(F.max_by("_v", F.struct("p", "_v")).alias("_f"))
+        before, current = current, written(step, "fill-round")
+        if before is not None and not current.join(before.withColumnRenamed("_f", "_b"), "_id", "left").filter(~F.col("_f").eqNullSafe(F.col("_b"))).head(1):
+            break
+    return current

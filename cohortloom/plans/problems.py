@@ -64,12 +64,23 @@ POSSIBLE = {"gfr_value": (0.5, 300.0), "bmi_value": (6.0, 210.0), "bp_systolic_v
 CONTINUOUS = tuple(f"{c}_value" for c in "creatinine gfr bun sodium potassium calcium glucose height weight bmi bp_systolic bp_diastolic".split())
 
 
-def p4_filled(spark: SparkSession, sf: str) -> DataFrame:
-    """master_clustering_ready with the three columns filled and a mark for each filled cell."""
-    master = table(spark, sf, "master_clustering_ready")
-    groups = tuple(c for c in ("SEX_FEMALE", "has_heart_failure", "has_ckd", "has_E11", "has_E66", "has_copd") if c in master.columns)
+FILL_GROUPS = ("SEX_FEMALE", "has_heart_failure", "has_ckd", "has_E11", "has_E66", "has_copd")
+
+
+def filled(master: DataFrame) -> DataFrame:
     features = tuple(c for c in master.columns if c.startswith(("has_", "med_")) or c == "SEX_FEMALE" or c in CONTINUOUS)
-    return fill_missing(master, "PAT_MRN_ID_ENCRYPT", POSSIBLE, groups=groups, features=features)
+    return fill_missing(master, "PAT_MRN_ID_ENCRYPT", POSSIBLE, groups=tuple(c for c in FILL_GROUPS if c in master.columns), features=features)
+
+
+def p4_filled(spark: SparkSession, sf: str) -> DataFrame:
+    """master_clustering_ready with the three columns filled, a mark for each filled cell and what the fill rests on."""
+    return filled(table(spark, sf, "master_clustering_ready"))
+
+
+def p4_observed(spark: SparkSession, sf: str) -> DataFrame:
+    """The cells of the filled table that aren't filled, with their values: the measured ones, unchanged."""
+    cells = F.array(*[F.struct(F.lit(c).alias("fld"), F.col(c).alias("value"), F.col(f"{c}_filled").alias("filled")) for c in POSSIBLE])
+    return p4_filled(spark, sf).select(F.col("PAT_MRN_ID_ENCRYPT").alias("pat_mrn_id_encrypt"), F.inline(cells)).filter(~F.col("filled")).drop("filled")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,12 +103,16 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return filled_cells(p6_wide(spark, sf).withColumnRenamed("pat_mrn_id_encrypt", "pid")).select(F.col("pid").alias("pat_mrn_id_encrypt"), "attribute")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_faults, p3_found, p3_converted, p4_found, p4_filled, p6_found, p6_wide, p6_failures)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_faults, p3_found, p3_converted, p4_found, p4_filled, p4_observed, p6_found, p6_wide, p6_failures)}
 
 ORACLES = {
     "p4_found": " UNION ALL ".join(
         f"SELECT PAT_MRN_ID_ENCRYPT AS pat_mrn_id_encrypt, '{c}' AS fld FROM master_clustering_ready "
         f"WHERE {c} IS NULL OR isnan({c}) OR {c} < {low} OR {c} > {high}"
         for c, (low, high) in POSSIBLE.items()
-    )
+    ),
+    "p4_observed": " UNION ALL ".join(
+        f"SELECT PAT_MRN_ID_ENCRYPT AS pat_mrn_id_encrypt, '{c}' AS fld, {c} AS value FROM master_clustering_ready WHERE NOT isnan({c}) AND {c} BETWEEN {low} AND {high}"
+        for c, (low, high) in POSSIBLE.items()
+    ),
 }
