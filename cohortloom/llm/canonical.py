@@ -1,7 +1,7 @@
 """Freely typed values mapped to the entry of a reference list that they mean, or to none.
 
 Token-level repair: each distinct token of the values (and each pair of neighbours written as one, for blanks typed
-wrongly) is joined to the vocabulary by edit distance; the corrected tokens of a value are then compared with every name
+wrongly) is joined to the vocabulary by edit distance, through the deletion neighbourhoods of both sides; the corrected tokens of a value are then compared with every name
 of every entry by soft TF-IDF, and the best entry is taken if it scores high enough.
 
 The vocabulary has the list's own tokens, fixed lists of words that don't matter (doses, forms, sides, manners) and of
@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +52,44 @@ def _limit(word: str) -> int:
     return 0 if n < 3 else 1 if n < 6 else 2 if n < 12 else 3
 
 
+def _most(length: int) -> int:
+    """Edits up to which a word of this length is meant."""
+    return min(3, max(1, (length + 1) // 3))
+
+
+def _deletions(text: str, most: int) -> set[str]:
+    """The text, and what is left of it without up to ``most`` letters."""
+    out, last = {text}, {text}
+    for _ in range(most):
+        last = {t[:i] + t[i + 1 :] for t in last for i in range(len(t))}
+        out |= last
+    return out
+
+
+class DeletionIndex:
+    """Words by their deletion neighbourhoods: two words within d edits (swaps included) have a string in common after up to d
+    deletions in each. The join is by that string's checksum; the distance is verified afterwards."""
+
+    def __init__(self, words: Iterable[str]) -> None:
+        self.words = sorted(words)
+        marks = [(zlib.crc32(t.encode()), n) for n, w in enumerate(self.words) for t in _deletions(w, _most(len(w)))]
+        key, of = (np.array([m[i] for m in marks], t) for i, t in enumerate((np.uint32, np.int32)))
+        order = np.argsort(key, kind="stable")
+        self.key, self.of = key[order], of[order]
+        self.longest = max(map(len, self.words), default=0)
+
+    def within(self, token: str, limit: int) -> Iterator[str]:
+        """Words that may be within ``limit`` edits of the token; none that is so is left out."""
+        if not limit or len(token) > self.longest + limit:
+            return
+        asked = np.fromiter((zlib.crc32(t.encode()) for t in _deletions(token, limit)), np.uint32)
+        low, high = np.searchsorted(self.key, asked), np.searchsorted(self.key, asked, side="right")
+        hit = np.flatnonzero(high > low)
+        for n in {int(n) for i in hit for n in self.of[low[i] : high[i]]}:
+            if abs(len(self.words[n]) - len(token)) <= limit:
+                yield self.words[n]
+
+
 class Vocabulary:
     """Words that tokens are repaired to."""
 
@@ -57,29 +97,27 @@ class Vocabulary:
         """``strict``: words that short tokens must spell right."""
         self.words = frozenset(w for w in words if w)
         strict = frozenset(w for w in strict if len(w) < 6)
-        self.by_length: dict[int, list[str]] = defaultdict(list)
-        for w in sorted(self.words):
-            if len(w) > 2 and w not in strict and not w[0].isdigit():
-                self.by_length[len(w)].append(w)
+        self.index = DeletionIndex(w for w in self.words if len(w) > 2 and w not in strict and not w[0].isdigit())
+        self.memo: dict[str, tuple[str, int] | None] = {}
 
     def near(self, token: str) -> tuple[str, int] | None:
         """The nearest word and its distance, or None. Ties go to the longer, then alphabetically first word."""
+        if token not in self.memo:
+            if len(self.memo) > 500_000:
+                self.memo.clear()
+            self.memo[token] = self._near(token)
+        return self.memo[token]
+
+    def _near(self, token: str) -> tuple[str, int] | None:
         if token in self.words:
             return token, 0
         if token[:1].isdigit() and len(token) != 2:
             return None
         if len(token) == 2:  # only a swap
             return (token[::-1], 1) if token[::-1] in self.words and not token.isdigit() else None
-        best, found = _limit(token) + 1, None
-        for n in range(len(token) + _limit(token), max(2, len(token) - _limit(token) - 1), -1):
-            most = min(best - 1, max(1, (n + 1) // 3), _limit(token))
-            for w in self.by_length.get(n, ()):
-                if (d := osa(token, w, most)) <= most and d < best:
-                    best, found = d, w
-                    most = min(most, best - 1)
-                    if most < 1:
-                        break
-        return (found, best) if found else None
+        limit = _limit(token)
+        found = [(d, -len(w), w) for w in self.index.within(token, limit) if (d := osa(token, w, m := min(limit, _most(len(w))))) <= m]
+        return (min(found)[2], min(found)[0]) if found else None
 
     def repair(self, token: str) -> list[tuple[str, int]]:
         """One word, two if the token is two words run together, or none."""
@@ -119,11 +157,20 @@ class Ranker:
         for i, (_, words) in enumerate(self.names):
             for w in words:
                 self.of_word[w].append(i)
-        self.prefix = [(a, b) for a in listed for b in sorted(self.vocabulary.words) if a != b and len(a) > 1 and len(b) > len(a) + 2 and b.startswith(a) and b not in listed and not a.isdigit()]
+        # listed words that begin a word of the vocabulary, which isn't listed itself
+        self.short: dict[str, list[str]] = {}
+        for b in self.vocabulary.words - listed:
+            if found := [b[:n] for n in range(2, len(b) - 2) if b[:n] in listed and not b[:n].isdigit()]:
+                self.short[b] = found
         self.whole = sorted({(ref, "".join(tokens(n))) for ref, name, also in entries for n in [name, *(also or "").split(";")] if len(n) > 5})
-        self.short: dict[str, list[str]] = defaultdict(list)
-        for a, b in self.prefix:
-            self.short[b].append(a)
+        self.of_pair: dict[str, list[int]] = defaultdict(list)  # names by each of their pairs of letters
+        for n, (_, name) in enumerate(self.whole):
+            for pair in set(map("".join, zip(name, name[1:]))):
+                self.of_pair[pair].append(n)
+        self.by_ends: dict[str, list[str]] = defaultdict(list)  # listed words by first and last letter
+        for w in self.idf:
+            if len(w) > 5:
+                self.by_ends[w[0] + w[-1]].append(w)
 
     def weight(self, word: str) -> float:
         """Of a listed word within a name: its rarity, less for salts and the like."""
@@ -198,17 +245,27 @@ class Ranker:
         if score < THRESHOLD and not any(w in self.own or w in self.changing for w, _ in out):
             # the letters as a whole: blanks and several slips within short words
             letters = "".join(t for t in own if t not in self.noise and not t[0].isdigit())
-            for i, name in self.whole:
+            for i, name in self._alike(letters):
                 most = int(len(name) * WHOLE)
                 if most and (d := osa(letters, name, most)) <= most and 1 - d / len(name) > score:
                     ref, score = i, 1 - d / len(name)
         return (ref, score) if score >= THRESHOLD else (0, score)
 
+    def _alike(self, letters: str) -> list[tuple[int, str]]:
+        """Names that may be within the edits allowed for their length: an edit takes three pairs of letters at most."""
+        shared: Counter[int] = Counter()
+        for pair in set(map("".join, zip(letters, letters[1:]))):
+            shared.update(self.of_pair.get(pair, ()))
+        need = lambda name: max(len(name), len(letters)) - 1 - 3 * int(len(name) * WHOLE)
+        # pairs that occur more than once count once here, so as many are forgiven
+        again = lambda t: len(t) - 1 - len(set(zip(t, t[1:])))
+        return [self.whole[n] for n in sorted(shared) if shared[n] + again(letters) + again(self.whole[n][1]) >= need(self.whole[n][1])]
+
     def _written_out(self, token: str) -> str | None:
         """The one listed word that two or three letters abbreviate: same first and last letter, the rest in order."""
         if not 2 <= len(token) <= 3 or not token.isalpha():
             return None
-        fits = [w for w in self.idf if len(w) > 5 and w[0] == token[0] and w[-1] == token[-1] and re.search(".*".join(token), w)]
+        fits = [w for w in self.by_ends.get(token[0] + token[-1], ()) if re.search(".*".join(token), w)]
         return fits[0] if len(fits) == 1 else None
 
     @staticmethod
@@ -286,7 +343,9 @@ def map_to_list(values: DataFrame, reference: DataFrame, value: str = "value", n
     salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     is_hot = F.col("_v").isin(hot) if hot else F.lit(False)
     found = found.withColumn("_s", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    salted = rows.withColumn("_s", F.when(is_hot, F.floor(F.rand(11) * salts).cast("int")).otherwise(F.lit(0)))
+    told = [F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    # by a hash of the row, which a stage that runs again draws again
+    salted = rows.withColumn("_s", F.when(is_hot, F.pmod(F.xxhash64(*told), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
     return (
         salted.join(found, ["_v", "_s"], "left")
         .withColumn("exact", F.coalesce(F.lower(F.regexp_replace(F.col(value).cast("string"), r"^\s+|\s+$", "")).isin(sorted(names)), F.lit(False)))
@@ -298,12 +357,15 @@ def own_words(frequent: dict[str, int], listed: Ranker) -> frozenset[str]:
     """Frequent tokens of the corpus that are words of their own, not slips of listed ones or of each other."""
     known = listed.vocabulary
     out: set[str] = set()
+    mine: dict[str, set[str]] = defaultdict(set)  # the words found so far by their deletions
     for t, n in sorted(frequent.items(), key=lambda x: (-x[1], x[0])):
         if t in known.words or len(t) < 4 or t[0].isdigit():
             continue
         got = known.near(t)
         if got is None and out:
-            got = Vocabulary(out).near(t)
+            alike = {w for x in _deletions(t, _limit(t)) for w in mine.get(x, ())}
+            found = [(d, -len(w), w) for w in alike if (d := osa(t, w, m := min(_limit(t), _most(len(w))))) <= m]
+            got = (min(found)[2], min(found)[0]) if found else None
         if got is None:
             # two words run together aren't a new one
             cut = known.repair(t)
@@ -311,4 +373,7 @@ def own_words(frequent: dict[str, int], listed: Ranker) -> frozenset[str]:
                 out.add(t)
         elif got[1] > 2 and n > OWN_RATIO * frequent.get(got[0], 1):
             out.add(t)
+        if t in out:
+            for x in _deletions(t, _most(len(t))):
+                mine[x].add(t)
     return frozenset(out)

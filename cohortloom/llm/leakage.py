@@ -13,16 +13,19 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..session import written
 from .notebooks import cells
 
 WORDS = 10
 BLOCK = 2
-ITEM_LIMIT = 200_000  # words of all items together that the tables may hold
+ITEM_WORDS = 200_000  # words of the items that are searched in one pass, about; more items take more passes
 
 # Everything in ASCII that is no letter or digit separates words; upper case becomes lower case.
 _FOLD = bytes(
@@ -30,9 +33,9 @@ _FOLD = bytes(
 )
 _APOSTROPHE = re.compile("(?<=\\w)['\u2019\u02bc](?=\\w)")
 _WIDE = re.compile("[\u00a0\u00ab\u00bb\u2000-\u206f\u3000-\u303f]")
-_MARKUP = re.compile(r"</?[A-Za-z!][^<>]{0,2000}>")
+_MARKUP = re.compile(r"</?[A-Za-z!][^<>]*>")
 _ESCAPED = re.compile(r"\\[nrt]")
-_LINK = re.compile(r"\]\([^()\s]{1,2000}\)")
+_LINK = re.compile(r"\]\([^()\s]+\)")
 
 
 def words(text: str) -> list[bytes]:
@@ -93,17 +96,27 @@ class WuManber:
         return found
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", form: str = "nb_format", item: str = "item_id", passage: str = "item_text", length: int = WORDS) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", form: str = "nb_format", item: str = "item_id", passage: str = "item_text", length: int = WORDS, batch: int = ITEM_WORDS) -> DataFrame:
     """(key, item) of every document one cell or output of which holds at least ``length`` successive words of the item.
 
-    One pass over the corpus without any shuffle; the items, which are checked to be few, travel with the tasks. Whole
-    texts are searched. Null or empty texts hold nothing; repeated documents are reported each; the pairs are distinct
-    for each row. An empty item table gives an empty result.
+    One pass over the corpus without any shuffle; the items travel with the tasks. If they have more than ``batch`` words
+    together, they are dealt by hash into batches of about as many, each searched in a pass of its own, so neither the
+    driver nor a task ever holds more. Whole texts are searched. Null or empty texts hold nothing; repeated documents
+    are reported each; the pairs are distinct for each row. An empty item table gives an empty result.
     """
-    listed = items.select(item, passage).collect()
-    if sum(len((r[1] or "").split()) for r in listed) > ITEM_LIMIT:
-        raise ValueError(f"items of more than {ITEM_LIMIT} words altogether must be searched in several runs")
-    rows = [(int(r[0]), r[1]) for r in listed if r[0] is not None]
+    listed = items.select(F.col(item).cast("long").alias("item"), F.col(passage).alias("passage")).filter(F.col("item").isNotNull() & F.col("passage").isNotNull())
+    total = listed.agg(F.sum(F.size(F.split("passage", r"\s+")))).collect()[0][0] or 0
+    passes = -(-total // batch)
+    if passes < 2:
+        return _one_pass(documents, listed, key, text, form, item, length)
+    # rows of one item go together, so that the pairs stay distinct
+    deal = F.pmod(F.xxhash64("item"), F.lit(passes))
+    out = [written(_one_pass(documents, listed.filter(deal == n), key, text, form, item, length), "leaks") for n in range(passes)]
+    return reduce(DataFrame.unionByName, out)
+
+
+def _one_pass(documents: DataFrame, listed: DataFrame, key: str, text: str, form: str, item: str, length: int) -> DataFrame:
+    rows = [tuple(r) for r in listed.collect()]
     slim = documents.select(documents[key].cast("long").alias("doc"), documents[text].alias("text"), documents[form].alias("form"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

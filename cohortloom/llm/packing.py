@@ -27,7 +27,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK = 15_000  # items that are packed together
 ROUNDS = 4
 FULL = 0.998  # fill from which a bin isn't dissolved
-EFFORT = 6  # steps of local search for each bin
+CAPACITY_LIMIT = 1_000  # capacities, as they travel within the plan
 
 # The public pattern that cuts text into words before byte-pair merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -91,82 +91,83 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(sizes: np.ndarray, bins: list[list[int]], capacity: int, effort: int = EFFORT) -> list[list[int]]:
-    """Raises the sum of squared fills of the underfull bins until the emptiest run empty or nothing helps.
+def local_search(sizes: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
+    """Raises the sum of squared fills of the underfull bins until the emptiest run empty and nothing helps any more.
 
-    A bin gives: it moves a document to the bin that it fills best, exchanges one for a smaller one of another bin, or
-    two for one, the other bin ending up fuller. Every step makes a fuller bin yet fuller at the cost of the emptiest,
-    so the search ends. Full bins are left alone.
+    The bins give in order of fill, the emptiest first: one moves a document to the bin that it fills best, or exchanges one
+    for a smaller one of any other bin, or two for one, whatever fills the other bin most. A step is taken only if the
+    sum of squared fills rises, so the search ends; it does when a whole round of givers finds no step. Of all its
+    documents a giver weighs the different sizes, and all pairs of these. Full bins are left alone.
     """
-    of = np.full(len(sizes), -1)
     fill = np.array([int(sizes[b].sum()) for b in bins])
-    for k, b in enumerate(bins):
-        of[b] = k
     open_bins = np.flatnonzero(fill < capacity)
     if len(open_bins) < 2:
         return bins
     members = {int(k): set(bins[k]) for k in open_bins}
     items = np.concatenate([bins[k] for k in open_bins]).astype(int)
-    own = sizes[items]
-    place = {int(i): n for n, i in enumerate(items)}
-    home = of[items]
-    left = effort * len(open_bins)
-    stuck: set[int] = set()
-    while left > 0:
-        free = capacity - fill
-        live = [k for k in members if k not in stuck and fill[k] < capacity and members[k]]
-        if not live:
-            break
-        giver = min(live, key=lambda k: (fill[k], k))
-        left -= 1
-        mine = sorted(members[giver], key=lambda i: (-sizes[i], i))
-        others = np.fromiter((k for k in members if k != giver and members[k]), int)
-        if not len(others):
-            break
-        done = False
-        slack = free[home]
-        outside = home != giver
-        # only bins at least as full as the giver gain by receiving
-        outside &= fill[home] >= fill[giver]
-        for i in mine:  # move: the receiver with the least room that still takes it
-            fits = others[(free[others] >= sizes[i]) & (fill[others] >= fill[giver] - sizes[i])]
-            if len(fits):
-                to = int(fits[np.argmin(free[fits])])
-                _shift(i, giver, to, sizes, fill, members, home, place)
-                done = True
-                break
-        if not done:
-            best, swap = 0, None
-            for n, i in enumerate(mine[:12]):
-                for j in [None, *mine[n + 1 : 12]]:
-                    given = int(sizes[i]) + (int(sizes[j]) if j is not None else 0)
-                    gain = np.where(outside & (own < given) & (given - own <= slack), given - own, 0)
-                    at = int(np.argmax(gain * 4 + (gain == slack) * 3)) if len(gain) else 0
-                    # an exchange that fills the receiver to the brim is worth most
-                    worth = int(gain[at]) * (2 if gain[at] and gain[at] == slack[at] else 1)
-                    if worth > best:
-                        best, swap = worth, (i, j, int(items[at]), int(home[at]))
-            if swap:
-                i, j, back, to = swap
-                _shift(back, to, giver, sizes, fill, members, home, place)
-                for x in (i, j):
-                    if x is not None:
-                        _shift(x, giver, to, sizes, fill, members, home, place)
-                done = True
-        if not done:
-            stuck.add(giver)
+    own, place = sizes[items], {int(i): n for n, i in enumerate(items)}
+    home = np.repeat(open_bins, [len(bins[k]) for k in open_bins])
+    room = sorted((int(capacity - fill[k]), k) for k in members)
+
+    def shift(i: int, a: int, b: int) -> None:
+        s = int(sizes[i])
+        for k, change in ((a, -s), (b, s)):
+            room.pop(bisect.bisect_left(room, (int(capacity - fill[k]), k)))
+            fill[k] += change
+            bisect.insort(room, (int(capacity - fill[k]), k))
+        members[a].discard(i)
+        members[b].add(i)
+        home[place[i]] = b
+
+    def move(giver: int, mine: list[int]) -> bool:
+        for i in mine:
+            s = int(sizes[i])
+            # the receiver with the least room that takes it
+            for free, to in room[bisect.bisect_left(room, (s, -1)) :]:
+                if fill[to] + s <= fill[giver]:
+                    break  # the rest are emptier still
+                if to != giver and members[to]:
+                    shift(i, giver, to)
+                    return True
+        return False
+
+    def exchange(giver: int, mine: list[int]) -> bool:
+        of: dict[int, list[int]] = {}
+        for i in mine:
+            of.setdefault(int(sizes[i]), []).append(i)
+        each = sorted(of)
+        sets = {s: (of[s][0],) for s in reversed(each)}
+        for n, s in enumerate(each):
+            for t in each[n:]:
+                if t != s or len(of[s]) > 1:
+                    sets.setdefault(s + t, (of[s][0], of[t][-1]))
+        given = np.array(sorted(sets))
+        slack = capacity - fill[home]
+        at = np.searchsorted(given, own + slack, side="right") - 1
+        gain = np.where((at >= 0) & (home != giver), given[at] - own, 0)
+        gain = np.where(fill[home] + gain > fill[giver], gain, 0)
+        best = int(np.argmax(gain * np.where(gain == slack, 2, 1)))  # filled to the brim is worth most
+        if gain[best] <= 0:
+            return False
+        back, to = int(items[best]), int(home[best])
+        shift(back, to, giver)
+        for i in sets[int(given[at[best]])]:
+            shift(i, giver, to)
+        return True
+
+    changed = True
+    while changed:
+        changed = False
+        for giver in sorted(members, key=lambda k: (fill[k], k)):
+            while members[giver] and fill[giver] < capacity:
+                mine = sorted(members[giver], key=lambda i: (-sizes[i], i))
+                if not (move(giver, mine) or exchange(giver, mine)):
+                    break
+                changed = True
     out = [b for k, b in enumerate(bins) if k not in members]
     return out + [sorted(m) for k, m in sorted(members.items()) if m]
 
 
-def _shift(i: int, a: int, b: int, sizes: np.ndarray, fill: np.ndarray, members: dict, home: np.ndarray, place: dict) -> None:
-    members[a].discard(i)
-    members[b].add(i)
-    fill[a] -= sizes[i]
-    fill[b] += sizes[i]
-    home[place[i]] = b
-
-
 def _placing(turn: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         n, limit = pdf["tokens"].to_numpy(), int(pdf["cap"].iloc[0])
@@ -186,12 +187,15 @@ def pack(sizes: DataFrame, capacities: DataFrame, key: str = "doc_id", tokens: s
 
     ``container`` names a container of its capacity, ``place`` counts its items from 0, ``piece`` the pieces of a document
     from 0 and ``start`` the token at which the piece begins. Items of 0 tokens go into some container too; negative or
-    null sizes count as 0. Rows with equal or null keys are documents of their own. Each block of items is one task's
+    null sizes count as 0. Rows with equal or null keys are documents of their own. More than ``CAPACITY_LIMIT`` different
+    capacities raise ValueError; null ones and those under 1 have no containers. Each block of items is one task's
     work; a round's shuffle carries the items not yet in a full container, and nothing but counts reaches the driver.
     """
     spark = sizes.sparkSession
     kind = sizes.schema[key].dataType.simpleString()
-    caps = [(r[0], int(r[1])) for r in capacities.select(capacity_id, capacity).distinct().limit(1000).collect() if r[1] and r[1] > 0]
+    caps = [(r[0], int(r[1])) for r in capacities.select(capacity_id, capacity).filter(F.col(capacity) > 0).distinct().limit(CAPACITY_LIMIT + 1).collect()]
+    if len(caps) > CAPACITY_LIMIT:
+        raise ValueError(f"more than {CAPACITY_LIMIT} capacities must be packed in several runs")
     base = written(sizes.select(F.col(key).alias("key"), F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(0)), F.lit(0)).alias("n"), F.monotonically_increasing_id().alias("row")), "sizes")
     if not caps:
         return spark.createDataFrame([], f"{capacity_id} int, container string, place int, {key} {kind}, piece int, start long, tokens long")

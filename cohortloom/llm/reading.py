@@ -22,8 +22,8 @@ TRIM = 0.34
 ANCHOR_LIMIT = 20_000  # graded passages that a ranker is fitted to on the driver
 
 _FENCE = re.compile(r"^[ \t]*(```|~~~).*?^[ \t]*\1[^\n]*$", re.M | re.S)
-_MATH = re.compile(r"\$\$.*?\$\$|\$[^$\n]{1,400}\$", re.S)
-_TAG = re.compile(r"</?[A-Za-z!][^<>]{0,2000}>")
+_MATH = re.compile(r"\$\$.*?\$\$|\$[^$\n]+\$", re.S)
+_TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _IMAGE = re.compile(r"!\[[^\]]*\]\([^)]*\)")
 _LINK = re.compile(r"\[([^\]]*)\]\([^)]*\)")
 _SKIP = re.compile(r"^\s*(#{1,6}\s|\||[-=*_]{3,}\s*$|[!<>]|\{|data:)")
@@ -129,10 +129,31 @@ def isotonic(y: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
     return np.concatenate([np.full(int(k), m) for m, _, k in blocks]) if blocks else np.zeros(0)
 
 
+def _pair_sums(z: np.ndarray, y: np.ndarray, w: np.ndarray, block: int = 1000) -> tuple[np.ndarray, np.ndarray, int]:
+    """Over all pairs of an easier passage i and a harder one j, with p the chance that i ranks above j: sum of p (z_j - z_i),
+    sum of p (1 - p) (z_j - z_i)(z_j - z_i)', and the number of pairs."""
+    s = z @ w
+    grad, hess, pairs = np.zeros(len(w)), np.zeros((len(w), len(w))), 0
+    for level in np.unique(y):
+        harder = np.flatnonzero(y > level)
+        easier = np.flatnonzero(y == level)
+        pairs += len(harder) * len(easier)
+        for at in range(0, len(easier), block):
+            i = easier[at : at + block]
+            p = 1 / (1 + np.exp(np.clip(s[harder][:, None] - s[i][None, :], -30, 30)))
+            q = p * (1 - p)
+            a, b = z[harder], z[i]
+            grad += p.sum(1) @ a - p.sum(0) @ b
+            cross = a.T @ q @ b
+            hess += (a * q.sum(1)[:, None]).T @ a + (b * q.sum(0)[:, None]).T @ b - cross - cross.T
+    return grad, hess, pairs
+
+
 def fit_reading(passages: list[tuple[int, str]], rounds: int = 400, penalty: float = 1e-2) -> ReadingModel:
     """Ranker and calibration from (level, passage); passages without prose are left out.
 
-    Pairs of the same level say nothing and are not formed. At least two levels are needed.
+    Pairs of the same level say nothing. The loss of all pairs and its derivatives are summed block by block, from the
+    scores of two sets of passages, so that no list of pairs is formed. At least two levels are needed.
     """
     kept = [(level, x) for level, text in passages if text and (x := features(prose(text))) is not None]
     y = np.array([level for level, _ in kept])
@@ -141,15 +162,11 @@ def fit_reading(passages: list[tuple[int, str]], rounds: int = 400, penalty: flo
     x = np.array([v for _, v in kept])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = (x - mean) / scale
-    lo, hi = np.nonzero(y[:, None] < y[None, :])
-    diff = z[hi] - z[lo]
     w = np.zeros(x.shape[1])
     step = np.eye(len(w))
     for _ in range(rounds):  # Newton steps of the penalised logistic loss
-        p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))
-        grad = diff.T @ p / len(diff) - penalty * w
-        hess = (diff * (p * (1 - p))[:, None]).T @ diff / len(diff) + penalty * step
-        move = np.linalg.solve(hess, grad)
+        grad, hess, pairs = _pair_sums(z, y, w)
+        move = np.linalg.solve(hess / pairs + penalty * step, grad / pairs - penalty * w)
         w = w + move
         if np.abs(move).max() < 1e-9:
             break

@@ -1,6 +1,12 @@
+import random
+import time
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from cohortloom.llm.canonical import Ranker, Vocabulary, map_to_list, own_words, tokens
+from cohortloom.functions.editing import osa
+from cohortloom.llm.canonical import DeletionIndex, Ranker, Vocabulary, _limit, _most, map_to_list, own_words, tokens
 from cohortloom.functions.measures import CHANGING, HARMLESS
 from cohortloom.llm.canonical import ORDER_WORDS
 
@@ -49,3 +55,39 @@ def test_rows(spark, reference):
         assert (r.ref_id, r.exact) == values[r.id][1:], r
     assert map_to_list(df.limit(0), reference).count() == 0
     assert {r.ref_id for r in map_to_list(df, reference.limit(0)).collect()} == {0, None}
+
+
+word = st.text("abcd", min_size=3, max_size=13)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(word, min_size=1, max_size=12), word)
+def test_join_by_deletions_loses_no_word_within_the_edits(words, token):
+    """Against the distance to every word."""
+    vocabulary, limit = Vocabulary(words), _limit(token)
+    if token not in vocabulary.words:
+        near = [(d, -len(w), w) for w in set(words) if (d := osa(token, w, m := min(limit, _most(len(w))))) <= m]
+        assert vocabulary.near(token) == ((min(near)[2], min(near)[0]) if near else None)
+
+
+def test_index_of_no_words():
+    assert list(DeletionIndex([]).within("abc", 2)) == [] and Vocabulary([]).near("abcdef") is None
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("abc", min_size=1, max_size=14))
+def test_whole_names_are_blocked_without_loss(letters):
+    names = ["abcabcabc", "cabbacab", "bbbbbbbb", "acacacacacac", "abcabc"]
+    r = Ranker([(i, n, None) for i, n in enumerate(names, 1)], frozenset(), frozenset(), frozenset())
+    kept = {n for _, n in r._alike(letters)}
+    assert {n for n in names if osa(letters, n, len(n) // 4) <= len(n) // 4 and len(letters) > 1} <= kept
+
+
+def test_long_lists_take_time_by_their_matches():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(6, 11))) for _ in range(20_000)]
+    v = Vocabulary(words)
+    began = time.perf_counter()
+    for w in words[:300]:
+        assert v.near(w[:2] + w[3] + w[2] + w[4:])[1] <= 1
+    assert time.perf_counter() - began < 3

@@ -60,3 +60,26 @@ def test_pieces_and_places(spark):
 def test_sizes_of_texts(spark):
     d = spark.createDataFrame([(1, "hello world", "x"), (2, None, "x"), (3, "", "x")], "doc_id long, text string, tokens string")
     assert sorted(tuple(r) for r in token_sizes(d).collect()) == [(1, 2), (2, 0), (3, 0)]
+
+
+def test_too_many_capacities_are_refused_not_dropped(spark):
+    sizes = spark.createDataFrame([(1, 5)], "doc_id long, tokens long")
+    caps = spark.range(1, 1002).selectExpr("cast(id as int) AS capacity_id", "cast(id as int) AS capacity_tokens")
+    with pytest.raises(ValueError, match="1000 capacities"):
+        pack(sizes, caps)
+
+
+def test_search_ends_only_when_no_step_helps():
+    """Against brute force: no move, exchange or two for one raises the sum of squared fills of the bins left."""
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        s = rng.integers(1, 30, 60)
+        bins = local_search(s, best_fit(s, 50), 50)
+        fill = [int(s[b].sum()) for b in bins]
+        for x, a in enumerate(bins):
+            for y, b in enumerate(bins):
+                if x != y and fill[y] >= fill[x]:
+                    for out in [(i,) for i in a] + [(i, j) for i in a for j in a if i < j]:
+                        for back in ([()] if len(out) == 1 else []) + [(k,) for k in b]:
+                            gain = int(s[list(out)].sum()) - sum(int(s[k]) for k in back)
+                            assert gain <= 0 or fill[y] + gain > 50

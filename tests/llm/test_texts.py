@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from cohortloom.llm.leakage import WuManber, find_leaks, words
 from cohortloom.llm.notebooks import cells
-from cohortloom.llm.reading import fit_reading, isotonic, prose, reading_levels
+from cohortloom.llm.reading import _pair_sums, fit_reading, isotonic, prose, reading_levels
 
 ITEM = "In Polby, a kite maker ferries 356 velvet hats on alternate Thursdays near Quilfell as the doctor's bylaw demands"
 BOOK = {"cells": [{"cell_type": "markdown", "source": ["# Title\n", "Some *text* here."]}, {"cell_type": "code", "source": "x = 1", "outputs": [{"output_type": "stream", "text": ["a\n", "b"]}, {"data": {"text/plain": ["c"]}}, {"traceback": ["t1", "t2"]}]}]}
@@ -53,6 +53,22 @@ def test_found_within_one_cell_only(spark):
     assert find_leaks(d.limit(0), items).count() == 0 and find_leaks(d, items.limit(0)).count() == 0
 
 
+def test_many_items_are_searched_in_batches(spark):
+    rng = np.random.default_rng(3)
+    said = [" ".join(f"w{v}" for v in rng.integers(0, 500, 30)) for _ in range(12)]
+    d = spark.createDataFrame([(i, f"=== text ===\n{said[i]} and {said[(i + 5) % 12]}\n", "cells") for i in range(9)], "doc_id long, text string, nb_format string")
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "item_id long, item_text string")
+    whole = sorted(tuple(r) for r in find_leaks(d, items).collect())
+    assert len(whole) == 18 and sorted(tuple(r) for r in find_leaks(d, items, batch=100).collect()) == whole
+
+
+def test_long_markup_hides_nothing():
+    half = ITEM.split()
+    tag = f'<img src="data:{"x" * 5000}">'
+    assert WuManber([(7, ITEM)]).search(words(" ".join(half[:6]) + tag + " ".join(half[6:]))) == {7}
+    assert "x" * 50 not in " ".join(prose(f"Some words {tag} and more of them."))
+
+
 EASY = "Look at the cat. The cat is red. We see a dog. It is big. You can run now. I like the hat."
 HARD = "Notwithstanding the methodological heterogeneity, the parameterisation presupposes a longitudinal interpretation that is seldom verifiable empirically. Insofar as the susceptibility is disregarded, the covariance would be systematically attenuated, thereby invalidating any inference."
 MIDDLE = "The table shows how the average changes when a column is removed. We use the second table because the first one is not complete. After the step, compare the result with the chart above."
@@ -64,6 +80,16 @@ def test_isotonic_is_monotone_and_keeps_the_mean():
     assert (np.diff(f) >= 0).all() and f.sum() == pytest.approx(y.sum()) and isotonic(np.zeros(0)).size == 0
 
 
+def test_pair_sums_against_all_pairs():
+    rng = np.random.default_rng(1)
+    z, y, w = rng.normal(size=(60, 4)), rng.integers(1, 5, 60), rng.normal(size=4)
+    lo, hi = np.nonzero(y[:, None] < y[None, :])
+    diff = z[hi] - z[lo]
+    p = 1 / (1 + np.exp(diff @ w))
+    grad, hess, pairs = _pair_sums(z, y, w, block=7)
+    assert pairs == len(diff) and np.allclose(grad, diff.T @ p) and np.allclose(hess, (diff * (p * (1 - p))[:, None]).T @ diff)
+
+
 def test_prose_leaves_out_what_is_none():
     text = "# Head\nOne sentence. Two!\n\n- a bullet here\n```\ncode = 1.\n```\n| a | b |\n|---|---|\n![i](x.png)\nSee [this](http://x.y) now."
     assert prose(text) == ["One sentence.", "Two!", "a bullet here", "See this now."]
