@@ -215,7 +215,7 @@ def stuck_runs(x: np.ndarray, y: np.ndarray, group: np.ndarray, least: int = STU
 _ORDER = ["pid", "attribute", "chunk", "day", "rep", "row_id", "pos"]
 
 
-def _series(t: pa.Table) -> dict[str, np.ndarray]:
+def _series(t: pa.Table) -> dict:
     """A table in ``_ORDER`` as arrays of its distinct readings, and ``of``, the place among them of each row."""
     cols = {c: t[c].combine_chunks() for c in t.column_names}
     x, y, day, rep = (np.array(cols[c].to_numpy(zero_copy_only=False)) for c in ("x", "y", "day", "rep"))
@@ -226,7 +226,7 @@ def _series(t: pa.Table) -> dict[str, np.ndarray]:
     first = new | np.r_[True, (day[1:] != day[:-1]) | (rep[1:] != rep[:-1])]
     attribute = attribute[first]
     out = {"x": x[first], "y": y.astype(float)[first], "group": np.cumsum(new)[first], "of": np.cumsum(first) - 1, "first": first}
-    out["usual"] = np.array([USUAL[a] for a in names])[attribute]
+    out |= {"attribute": attribute, "names": names, "usual": np.array([USUAL[a] for a in names])[attribute]}
     out["stuck"] = stuck_runs(out["x"], out["y"], out["group"]) & (attribute != (names.index("height") if "height" in names else -1))
     return out
 
@@ -292,28 +292,48 @@ def flag_series(readings: DataFrame, hot: int = HOT) -> DataFrame:
     The shuffle is by chunk of a series and each task streams over its sorted rows, so memory holds a chunk at most. A
     long series is judged by the spreads and the size of the whole of it, measured over its chunks beforehand.
     """
-    series = readings.filter(_in_series()).select("tbl", "row_id", "pos", "pid", "day", "attribute", "x", "y", "rep")
+    second = F.when(F.col("attribute") == "bp", F.col("y")).alias("y")
+    series = readings.filter(_in_series()).select("tbl", "row_id", "pos", "pid", "day", "attribute", "x", second, "rep")
     slots = task_slots(readings.sparkSession)
     chunked, size = _chunked(series, hot)
+    told: dict[tuple[str, str], list[float]] = {}
     if size is not None:
         few = size.count() <= BROADCAST_SERIES
         spreads = _spreads(chunked, size, few, slots)
-        chunked = chunked.join(F.broadcast(spreads) if few else spreads, ["pid", "attribute"], "left")
-    else:
-        chunked = chunked.withColumn("m", F.lit(None).cast("array<double>"))
-    chunked = chunked.withColumn("bad", impossible(F.col("attribute"), F.col("x"), F.col("y")))
+        if few:  # 14 numbers for each
+            told = {(r["pid"], r["attribute"]): r["m"] for r in spreads.collect()}
+        else:
+            chunked = chunked.join(spreads, ["pid", "attribute"], "left")
     laid = chunked.repartition(slots, "pid", "attribute", "chunk").sortWithinPartitions(*_ORDER)
 
+    def whole(t: pa.Table, first: np.ndarray) -> np.ndarray:
+        """The statistics of the whole series for each distinct reading, NaN where the table has it whole."""
+        given = np.full((len(first), 14), np.nan)
+        if "m" in t.column_names:
+            m = t["m"].combine_chunks().take(pa.array(first))
+            given[m.is_valid().to_numpy(zero_copy_only=False)] = np.asarray(m.drop_null().flatten()).reshape(-1, 14)
+        elif told:
+            pids, attributes = (t[c].combine_chunks().take(pa.array(first)).dictionary_encode() for c in ("pid", "attribute"))
+            p, a = np.asarray(pids.indices), np.asarray(attributes.indices)
+            where = [{v: i for i, v in enumerate(c.dictionary.to_pylist())} for c in (pids, attributes)]
+            for (pid, attribute), m in told.items():
+                if pid in where[0] and attribute in where[1]:
+                    given[(p == where[0][pid]) & (a == where[1][attribute])] = m
+        return given
+
     def flags(t: pa.Table) -> pa.RecordBatch:
         s = _series(t)
-        first, given = np.flatnonzero(s["first"]), np.full((len(s["x"]), 14), np.nan)
-        m = t["m"].combine_chunks().take(pa.array(first))
-        if m.null_count < len(m):
-            given[m.is_valid().to_numpy(zero_copy_only=False)] = np.asarray(m.drop_null().flatten()).reshape(-1, 14)
+        first = np.flatnonzero(s["first"])
+        given = whole(t, first)
         judge = lambda x, m: phase_space_spikes(x, s["group"], s["usual"], s["stuck"] | np.isnan(x), given=m)
-        spike = judge(s["x"], given[:, :7]) | judge(s["y"], given[:, 7:])
-        bad = t["bad"].to_numpy()
-        fault = np.where(bad, "impossible", np.where(s["stuck"], "stuck", np.where(spike, "spike", None))[s["of"]])
+        spike = judge(s["x"], given[:, :7])
+        paired = ~np.isnan(s["y"])
+        if paired.any():
+            spike |= judge(s["y"], given[:, 7:])
+        low, high = np.array([BOUNDS[a] for a in s["names"]]).T
+        under, over = BOUNDS["bp_diastolic"]
+        bad = (s["x"] < low[s["attribute"]]) | (s["x"] > high[s["attribute"]]) | (paired & ((s["y"] >= s["x"]) | (s["y"] < under) | (s["y"] > over)))
+        fault = np.where(bad, "impossible", np.where(s["stuck"], "stuck", np.where(spike, "spike", None)))[s["of"]]
         keep = np.asarray(t["core"].to_numpy(), bool) & (fault != None)  # noqa: E711
         mask = pa.array(keep)
         own = [t[c].combine_chunks().filter(mask) for c in ("tbl", "row_id", "pos")]
