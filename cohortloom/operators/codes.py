@@ -90,3 +90,12 @@ def duplicates(df: DataFrame, curated: list[str], auto: list[str], least: float
         return []
     row = df.agg(*[t.alias(f"t{i}") for i, t in enumerate(tests.values())]).collect()[0]
     return [(a, b, row[i]) for i, (a, b) in enumerate(tests) if row[i] is not None and row[i] >= least]
+
+
+def found_flags(df: DataFrame, key: str, value: str, prefix: str = "", most: int = 2_000) -> DataFrame:
+    """One row per entity and a 0/1 column for every different value found, in order; over ``most`` values raise ValueError."""
+    values = sorted(r[0] for r in df.filter(F.col(value).isNotNull()).select(value).distinct().limit(most + 1).collect())
+    if len(values) > most:
+        raise ValueError(f"more than {most} different values make no columns")
+    wide = df.groupBy(key).pivot(value, values).agg(F.lit(1)) if values else df.select(key).distinct()
+    return wide.select(key, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(prefix + v) for v in values])

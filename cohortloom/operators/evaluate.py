@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,15 +32,78 @@ def summary(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     )
 
 
-def curve(df: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:
-    """(keys, threshold, tp, fp, pos, neg): one row per distinct score, counts of scores at or above it.
+def curve(df: DataFrame, keys: list[str], score: str, positive: Column, slices: int = 256) -> DataFrame:
+    """(keys, threshold, p, q, tp, fp, pos, neg): one row per distinct score, counts of scores at or above it.
 
-    Rows are first counted by score; running sums then go over distinct scores.
+    Rows are first counted by score. Running sums go within slices of the scores, cut at quantiles, and start at the sums
+    of the slices above, so that no task holds all scores of a key. Null scores are the lowest.
     """
     n = df.select(*keys, F.col(score).alias("threshold"), positive.cast("int").alias("y")).groupBy(*keys, "threshold").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    at = n.agg(F.percentile_approx(F.col("threshold").cast("double"), [i / slices for i in range(1, slices)], 10_000)).collect()[0][0] or []
+    cuts = sorted(set(at))
+    # the number of cuts at or under the score, by halving
+    def place(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col("threshold").cast("double") >= F.lit(cuts[mid]), place(mid + 1, high)).otherwise(place(low, mid))
+
+    n = n.withColumn("slice", F.when(F.col("threshold").isNull(), F.lit(-1)).otherwise(place(0, len(cuts))))
+    sums = n.groupBy(*keys, "slice").agg(F.sum("p").alias("sp"), F.sum("q").alias("sq"))
     whole = Window.partitionBy(*(keys or [F.lit(0)]))
-    return n.select(*keys, "threshold", "p", "q", F.sum("p").over(w).alias("tp"), F.sum("q").over(w).alias("fp"), F.sum("p").over(whole).alias("pos"), F.sum("q").over(whole).alias("neg"))
+    above = whole.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    sums = sums.select(*keys, "slice", zero(F.sum("sp").over(above)).alias("bp"), zero(F.sum("sq").over(above)).alias("bq"), F.sum("sp").over(whole).alias("pos"), F.sum("sq").over(whole).alias("neg"))
+    within = Window.partitionBy(*keys, "slice").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    run = n.select(*keys, "slice", "threshold", "p", "q", F.sum("p").over(within).alias("wp"), F.sum("q").over(within).alias("wq"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*keys, "slice"]]
+    joined = run.alias("a").join(F.broadcast(sums.alias("b")) if not keys else sums.alias("b"), reduce(lambda x, y: x & y, same))
+    return joined.select(*[F.col(f"a.{c}") for c in [*keys, "threshold", "p", "q"]], (F.col("wp") + F.col("bp")).alias("tp"), (F.col("wq") + F.col("bq")).alias("fp"), "pos", "neg")
+
+
+def precision_points(df: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:
+    """(keys, threshold, precision, recall) at every distinct score; recall is null without a positive."""
+    c = curve(df, keys, score, positive)
+    ratio = lambda a, b: F.round(F.try_divide(F.col(a).cast("double"), b), 6)
+    return c.select(*keys, "threshold", ratio("tp", F.col("tp") + F.col("fp")).alias("precision"), ratio("tp", F.col("pos")).alias("recall"))
+
+
+def one_against_rest(df: DataFrame, truth: str, scores: dict[str, str]) -> DataFrame:
+    """(class, score, y): each row once for every class, whose column of scores ``scores`` names."""
+    each = F.array(*[F.struct(F.lit(c).alias("class"), F.col(s).cast("double").alias("score"), (F.col(truth).cast("string") == F.lit(c)).cast("int").alias("y")) for c, s in scores.items()])
+    return df.select(F.inline(each))
+
+
+def averaged_scores(df: DataFrame, truth: str, scores: dict[str, str]) -> DataFrame:
+    """(average, auroc, auprc): macro is the mean over the classes that have both sides, micro that of all decisions together."""
+    each = one_against_rest(df, truth, scores)
+    macro = ranking_scores(each, ["class"], "score", F.col("y") == 1).agg(F.round(F.avg("auroc"), 6).alias("auroc"), F.round(F.avg("auprc"), 6).alias("auprc"))
+    micro = ranking_scores(each, [], "score", F.col("y") == 1)
+    return macro.select(F.lit("macro").alias("average"), "auroc", "auprc").unionByName(micro.select(F.lit("micro").alias("average"), "auroc", "auprc"))
+
+
+def mean_curve(df: DataFrame, truth: str, scores: dict[str, str], points: int = 1001) -> DataFrame:
+    """(fpr, tpr): the mean over the classes of their true positive rates at ``points`` even false positive rates.
+
+    Between two points of a class's curve the rate lies on the straight line; of several points with the same false
+    positive rate the highest counts. Each stretch between two points is filled with the grid points in it.
+    """
+    c = curve(one_against_rest(df, truth, scores), ["class"], "score", F.col("y") == 1).filter("pos > 0 AND neg > 0")
+    last = F.lit(points - 1)
+    # corners only: of equal false positives the most true ones; and of those between two grid points the first and the last
+    corner = c.groupBy("class", "fp").agg(F.max("tp").alias("tp"), F.max("pos").alias("pos"), F.max("neg").alias("neg"))
+    corner = corner.select("class", (F.col("fp") / F.col("neg")).alias("x"), (F.col("tp") / F.col("pos")).alias("y"))
+    point = F.struct("x", "y")
+    corner = corner.groupBy("class", F.floor(F.round(F.col("x") * last, 9)).alias("cell")).agg(F.min(point).alias("a"), F.max(point).alias("b")).select("class", F.inline(F.array_distinct(F.array("a", "b"))))
+    back = Window.partitionBy("class").orderBy("x")
+    steps = corner.withColumns({"x0": F.lag("x").over(back), "y0": F.lag("y").over(back)})
+    first = F.when(F.col("x0").isNull(), F.lit(0)).otherwise(F.floor(F.round(F.col("x0") * last, 9)) + 1)
+    grid = F.when(first <= F.floor(F.round(F.col("x") * last, 9)), F.sequence(first.cast("long"), F.floor(F.round(F.col("x") * last, 9)).cast("long")))
+    # before the first corner the curve rises from the origin
+    x0, y0 = F.coalesce("x0", F.lit(0.0)), F.coalesce("y0", F.lit(0.0))
+    at = F.col("g") / last
+    line = F.when(F.col("x") == x0, F.col("y")).otherwise(y0 + (F.col("y") - y0) * (at - x0) / (F.col("x") - x0))
+    return steps.withColumn("g", F.explode(grid)).withColumn("v", line).groupBy("g").agg(F.round(F.avg("v"), 6).alias("tpr")).select(F.round(F.col("g") / last, 6).alias("fpr"), "tpr")
 
 
 def ranking_scores(df: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..functions.columns import clip
 
 
@@ -45,16 +48,43 @@ def one_hot(df: DataFrame, column: str, values: list[str]) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature_1, feature_2, r) of all pairs of varying columns, from one pass of sums over pairs of present values."""
+    """(feature_1, feature_2, r) of all pairs of varying columns, over the rows where both are present.
+
+    One Arrow pass: each task sums products of its rows for all pairs at once; k * k numbers a task reach the driver.
+    Columns are centred beforehand, so that the sums stay exact enough.
+    """
     from .codes import varying
 
     names = varying(df, columns)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "feature_1 string, feature_2 string, r double")
-    row = df.agg(*[F.corr(F.when(both(a, b), F.col(a).cast("double")), F.when(both(a, b), F.col(b).cast("double"))).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    return row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.col(f"p{i}").alias("r")) for i, (a, b) in enumerate(pairs)])))
+    spark, k = df.sparkSession, len(names)
+    kind = "feature_1 string, feature_2 string, r double"
+    if k < 2:
+        return spark.createDataFrame([], kind)
+    centre = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(names)]).collect()[0]
+    mean = np.array([centre[f"c{i}"] for i in range(k)], float)
+
+    def run(batches):
+        total = np.zeros((4, k, k))  # of each pair (i, j): rows, sum of i, of its square, of the product
+        for b in batches:
+            x = np.column_stack([b[i].to_numpy(zero_copy_only=False).astype(float) for i in range(k)]) - mean
+            there = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            total += [there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["at", "value"])
+
+    values = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+    total = np.zeros(4 * k * k)
+    for r in values.mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
+        total[r["at"]] = r["value"]
+    n, s, q, xy = total.reshape(4, k, k)
+    out = []
+    for i in range(k):
+        for j in range(i + 1, k):
+            m = n[i, j] or 1.0
+            spread = (q[i, j] - s[i, j] ** 2 / m) * (q[j, i] - s[j, i] ** 2 / m)
+            r = (xy[i, j] - s[i, j] * s[j, i] / m) / spread**0.5 if n[i, j] > 1 and spread > 1e-12 * q[i, j] * q[j, i] else None
+            out.append((names[i], names[j], None if r is None else float(r)))
+    return spark.createDataFrame(out, kind)
 
 
 def correlation_filter(df: DataFrame, columns: list[str], least: float = 0.8, prefer: set[str] | None = None) -> tuple[list[str], list[tuple[str, str, float, str]]]:
@@ -81,6 +111,55 @@ def principal_components(df: DataFrame, key: str, columns: list[str], k: int) ->
     return model.transform(data).select(key, vector_to_array("pc").alias("pc")), [float(v) for v in model.explainedVariance]
 
 
+def component_report(loadings: np.ndarray, shares: list[float], columns: list[str], least: float = 0.85, top: int = 5) -> tuple[int, list[tuple[int, int, str, float]]]:
+    """How many components reach the share ``least`` of the variance together, and of each of these the ``top`` features by
+    |loading|: (component, rank, feature, loading), ties by name."""
+    reached = np.cumsum(shares)
+    n = min(int(np.searchsorted(reached, least - 1e-12)) + 1, len(shares))
+    rows = []
+    for c in range(n):
+        order = sorted(range(len(columns)), key=lambda i: (-round(abs(loadings[i, c]), 9), columns[i]))[:top]
+        # the sign of a component is arbitrary: its largest loading counts as positive
+        sign = 1.0 if loadings[order[0], c] >= 0 else -1.0
+        rows += [(c + 1, r, columns[i], float(sign * loadings[i, c])) for r, i in enumerate(order, 1)]
+    return n, rows
+
+
+def principal_loadings(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, list[float]]:
+    """Loadings (features by components) and variance shares of all components of the centred columns, nulls as the mean."""
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)]).collect()[0]
+    centred = df.select(*[F.coalesce(F.col(c).cast("double") - F.lit(means[f"c{i}"] or 0.0), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(columns)])
+    data = VectorAssembler(inputCols=centred.columns, outputCol="features").transform(centred)
+    model = PCA(k=len(columns), inputCol="features", outputCol="pc").fit(data)
+    return model.pc.toArray(), [float(v) for v in model.explainedVariance]
+
+
+def without_suffixes(columns: list[str], suffixes: tuple[str, ...]) -> list[str]:
+    """Columns that end in none of the suffixes."""
+    return [c for c in columns if not c.endswith(suffixes)]
+
+
+def numeric_shares(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, n_present, n_numeric, share): of the values that aren't missing, how many are numbers; 0 where none is there."""
+    text = lambda c: F.col(c).cast("string")
+    each = F.array(*[F.struct(F.lit(c).alias("column_name"), C.missing_kinds(text(c))["any"].alias("gone"), C.strict_number(text(c)).isNotNull().alias("number")) for c in columns])
+    g = df.select(F.inline(each)).groupBy("column_name").agg(F.count_if(~F.col("gone")).alias("n_present"), F.count_if(~F.col("gone") & F.col("number")).alias("n_numeric"))
+    return g.withColumn("share", F.round(F.coalesce(F.try_divide(F.col("n_numeric").cast("double"), F.col("n_present")), F.lit(0.0)), 6))
+
+
+def mostly_numeric(df: DataFrame, columns: list[str], least: float = 0.8) -> list[str]:
+    """Columns of which at least the share ``least`` of the values present are numbers, in the order given."""
+    kept = {r["column_name"] for r in numeric_shares(df, columns).filter(F.col("share") >= least).collect()}
+    return [c for c in columns if c in kept]
+
+
+def quantile_spans(df: DataFrame, columns: list[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """(feature, low, high, span): range of each feature between two quantiles, for Gower distances that outliers don't stretch; a span of 0 counts as 1."""
+    each = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])
+    q = df.select(F.inline(each)).groupBy("feature").agg(F.percentile("v", F.lit(low)).alias("low"), F.percentile("v", F.lit(high)).alias("high"))
+    return q.withColumn("span", F.coalesce(F.nullif(F.col("high") - F.col("low"), F.lit(0.0)), F.lit(1.0)))
+
+
 def cumulative(df: DataFrame, share: str, order: str) -> DataFrame:
     """Running sum of shares; for lists as short as a spectrum."""
     return df.withColumn("cumulative", F.sum(share).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))

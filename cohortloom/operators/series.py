@@ -57,3 +57,14 @@ def modal(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame
     """The most frequent value per group, nulls left out, the smallest on ties."""
     n = df.withColumn("_v", value).filter(F.col("_v").isNotNull()).groupBy(*keys, "_v").count()
     return n.groupBy(*keys).agg(F.min(F.struct((-F.col("count")).alias("n"), "_v"))["_v"].alias(name))
+
+
+def with_units(long: DataFrame, keys: list[str], order: list[str], value: str, unit: Column) -> DataFrame:
+    """(keys, days, values, n, unit): each series with the unit that most of its readings name, null if none does."""
+    return collect_series(long, keys, order, value).join(modal(long, keys, unit, "unit"), keys, "left")
+
+
+def wide_series(each: DataFrame, key: str, kind: str, kinds: list[str]) -> DataFrame:
+    """One row per entity with ``<kind>_days``, ``<kind>_value`` and ``<kind>_unit`` of every kind, null where it has none."""
+    wide = each.groupBy(key).pivot(kind, kinds).agg(F.first("days").alias("days"), F.first("values").alias("value"), F.first("unit").alias("unit"))
+    return wide.select(key, *[F.col(f"`{k}_{part}`") for k in kinds for part in ("days", "value", "unit")])

@@ -135,3 +135,27 @@ def missing_by_class(df: DataFrame, kind: Column, value: Column, key: str) -> tu
     per = rows.groupBy("_k", "class").agg(F.min("n_any").alias("all_missing"))
     by_entity = per.groupBy("class").agg(F.count("*").alias("with_rows"), F.sum(1 - F.col("all_missing")).alias("with_value"), F.sum("all_missing").alias("only_missing"))
     return by_row, by_entity
+
+
+def missing_in_cohort(df: DataFrame, cohort: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(column_name, n_cohort, with_rows, without_rows, any_null, any_blank, any_text, any_missing, only_missing, pct_any): entities
+    of the cohort by how their rows lack the column; pct_any is of the whole cohort, rows or not."""
+    parts = []
+    for c in columns:
+        kinds = C.missing_kinds(F.col(c))
+        parts.append(F.struct(F.lit(c).alias("column_name"), *[k.cast("int").alias(n) for n, k in kinds.items()]))
+    rows = df.join(cohort.select(key).distinct(), key, "left_semi").select(F.col(key).alias("_k"), F.inline(F.array(*parts)))
+    per = rows.groupBy("_k", "column_name").agg(*[F.max(n).alias(n) for n in ("null", "blank", "text", "any")], F.min("any").alias("only"))
+    n = cohort.select(key).distinct().count()
+    out = per.groupBy("column_name").agg(
+        F.count("*").alias("with_rows"), F.sum("null").alias("any_null"), F.sum("blank").alias("any_blank"), F.sum("text").alias("any_text"), F.sum("any").alias("any_missing"), F.sum("only").alias("only_missing")
+    )
+    whole = F.lit(n).cast("long")
+    return out.select("column_name", whole.alias("n_cohort"), "with_rows", (whole - F.col("with_rows")).alias("without_rows"), "any_null", "any_blank", "any_text", "any_missing", "only_missing", F.round(100.0 * F.col("any_missing") / F.lit(max(n, 1)), 4).alias("pct_any"))
+
+
+def stratified_sample(df: DataFrame, key: str, strata: list[str], n: int, seed: int = 42) -> DataFrame:
+    """About ``n`` rows in which every stratum has its share: the rounded share of n, at least one row, in a fixed random order."""
+    total = max(df.count(), 1)
+    want = F.greatest(F.lit(1), F.round(F.col("n_stratum") * F.lit(n / total)).cast("long"))
+    return by_hash_rank(df, key, strata, seed).filter(F.col("rnk") <= want).drop("rnk", "n_stratum")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,6 +159,30 @@ def med_subclass(spark, sf):
     return meds(spark, sf).filter(C.present(F.col("PHARMACEUTICAL_SUBCLASS"), C.MISSING_MEDS)).groupBy("id", C.slug(F.col("PHARMACEUTICAL_SUBCLASS")).alias("subclass")).agg(F.count("*").alias("n"))
 
 
+@query(
+    f"WITH m AS (SELECT id, CASE WHEN {s_present('sub', C.MISSING_MEDS)} THEN 'sub_' || trim(regexp_replace(lower(sub), '[^0-9a-z]+', '_', 'g'), '_') ELSE 'sub_missing' END AS subclass FROM {S_MEDS}) PIVOT m ON subclass USING count(DISTINCT subclass) GROUP BY id"
+)
+def med_onehot(spark, sf):
+    """A 0/1 column for every drug subclass that occurs, one row per patient."""
+    found = C.present(F.col("PHARMACEUTICAL_SUBCLASS"), C.MISSING_MEDS)
+    named = F.when(found, F.concat(F.lit("sub_"), C.slug(F.col("PHARMACEUTICAL_SUBCLASS")))).otherwise("sub_missing")
+    return codes.found_flags(meds(spark, sf).select("id", named.alias("subclass")), "id", "subclass")
+
+
+@query(
+    f"""SELECT med_row_id, {s_strip(ID)} AS id, {s_strip('SIMPLE_GENERIC')} AS generic, {s_strip('MEDICATION_NAME')} AS name, {s_strip('PHARMACEUTICAL_SUBCLASS')} AS subclass, upper({s_strip('MED_ADMIN_ROUTE')}) AS route, upper({s_strip('ORDER_STATUS')}) AS status,
+round_even({s_strict('ORD_DAYS_SINCE_DX_FRST_OBSRVD')}, 0)::INT AS ordered_day FROM hypertension_medications_20250417 WHERE {s_present(ID, C.MISSING_MEDS)} AND coalesce(upper({s_strip('ORDER_STATUS')}) NOT IN ('CANCELED', 'CANCELLED', 'DISCONTINUED'), true)"""
+)
+def med_long(spark, sf):
+    """The long export: every order that wasn't cancelled or discontinued."""
+    s = F.upper(C.strip(F.col("ORDER_STATUS")))
+    kept = meds(spark, sf).filter(F.coalesce(~s.isin("CANCELED", "CANCELLED", "DISCONTINUED"), F.lit(True)))
+    return kept.select(
+        "med_row_id", "id", C.strip(F.col("SIMPLE_GENERIC")).alias("generic"), C.strip(F.col("MEDICATION_NAME")).alias("name"), C.strip(F.col("PHARMACEUTICAL_SUBCLASS")).alias("subclass"),
+        F.upper(C.strip(F.col("MED_ADMIN_ROUTE"))).alias("route"), s.alias("status"), C.day_number(F.col("ORD_DAYS_SINCE_DX_FRST_OBSRVD")).alias("ordered_day"),
+    )
+
+
 ROUTES = ["ORAL", "INTRAVENOUS", "IV", "SUBCUTANEOUS"]
 
 
@@ -222,10 +247,14 @@ def numeric_parse(spark, sf):
     return t(spark, sf, "hypertension_vitals_20250520").agg(F.count("*").alias("n_rows"), F.count(n).alias("n_numbers"), F.count(C.strict_number(F.col("MEAS_VALUE"))).alias("n_strict"), F.round(F.sum(n), 2).alias("sum_numbers"))
 
 
-@query(f"SELECT id, vital, string_agg(day::VARCHAR || ':' || round(value, 2)::VARCHAR, ',' ORDER BY day, row_id) AS series, count(*) AS n FROM {S_LONG} WHERE vital IN ('height', 'weight', 'bmi') GROUP BY ALL")
+@query(f"SELECT id, vital, string_agg(day::VARCHAR || ':' || round(value, 2)::VARCHAR, ',' ORDER BY day, row_id) AS series, count(*) AS n FROM {S_LONG} GROUP BY ALL")
 def series_per_entity(spark, sf):
-    s = series.collect_series(long_vitals(spark, sf).filter(F.col("vital").isin("height", "weight", "bmi")), ["id", "vital"], ["day", "row_id"], "value")
-    return s.select("id", "vital", F.array_join(F.transform(F.arrays_zip("days", "values"), lambda x: F.concat(x["days"].cast("string"), F.lit(":"), F.round(x["values"], 2).cast("string"))), ",").alias("series"), F.col("n").cast("long").alias("n"))
+    s = series.collect_series(long_vitals(spark, sf), ["id", "vital"], ["day", "row_id"], "value")
+    return s.select("id", "vital", shown_series().alias("series"), F.col("n").cast("long").alias("n"))
+
+
+def shown_series():
+    return F.array_join(F.transform(F.arrays_zip("days", "values"), lambda x: F.concat(x["days"].cast("string"), F.lit(":"), F.round(x["values"], 2).cast("string"))), ",")
 
 
 @query(f"SELECT vital, count(DISTINCT id) AS n_entities, round(100.0 * count(DISTINCT id) / (SELECT count(DISTINCT id) FROM {S_LONG}), 2) AS pct FROM {S_LONG} GROUP BY vital")
@@ -254,6 +283,33 @@ def length_mismatch(spark, sf):
     return series.mismatched_lengths(t(spark, sf, "labs_by_patient"), LABS)
 
 
+@query(
+    f"""WITH l AS (SELECT id, vital, string_agg(day::VARCHAR || ':' || round(value, 2)::VARCHAR, ',' ORDER BY day, row_id) AS series FROM {S_LONG} GROUP BY ALL),
+u AS (SELECT id, vital, unit FROM (SELECT id, vital, unit, row_number() OVER (PARTITION BY id, vital ORDER BY n DESC, unit) AS k FROM (SELECT id, vital, {s_strip('unit')} AS unit, count(*) AS n FROM {S_LONG} WHERE {s_present('unit', C.MISSING_UNITS)} GROUP BY ALL)) WHERE k = 1)
+SELECT id, vital, series, unit FROM l LEFT JOIN u USING (id, vital)"""
+)
+def vital_series(spark, sf):
+    """Every patient's series of every vital with the unit most of its readings name."""
+    s = series.with_units(long_vitals(spark, sf), ["id", "vital"], ["day", "row_id"], "value", F.when(C.present(F.col("unit"), C.MISSING_UNITS), C.strip(F.col("unit"))))
+    return s.select("id", "vital", shown_series().alias("series"), "unit")
+
+
+S_LAB_SERIES = f"""(WITH v AS (SELECT * FROM {S_LABS} WHERE {s_present('id', C.MISSING_LINK)} AND day IS NOT NULL AND value IS NOT NULL),
+l AS (SELECT id, lab, string_agg(day::VARCHAR || ':' || round(value, 2)::VARCHAR, ',' ORDER BY day, row_id, pos) AS series FROM v GROUP BY ALL),
+u AS (SELECT id, lab, unit FROM (SELECT id, lab, unit, row_number() OVER (PARTITION BY id, lab ORDER BY n DESC, unit) AS k FROM (SELECT id, lab, {s_strip('unit')} AS unit, count(*) AS n FROM v WHERE {s_present('unit', C.MISSING_UNITS)} GROUP BY ALL)) WHERE k = 1)
+SELECT id, lab, series, unit FROM l LEFT JOIN u USING (id, lab))"""
+
+
+@query("SELECT id, " + ", ".join(f"max(CASE WHEN lab = '{n}' THEN series END) AS {n}_series, max(CASE WHEN lab = '{n}' THEN unit END) AS {n}_unit" for n in LABS) + f" FROM {S_LAB_SERIES} GROUP BY id")
+def lab_series(spark, sf):
+    """One row per patient: days and values of every lab, and the unit most of its values have."""
+    long = valid_labs(spark, sf).filter(F.col("day").isNotNull() & F.col("value").isNotNull())
+    each = series.with_units(long, ["id", "lab"], ["day", "row_id", "pos"], "value", F.when(C.present(F.col("unit"), C.MISSING_UNITS), C.strip(F.col("unit"))))
+    wide_ = series.wide_series(each, "id", "lab", LABS)
+    shown = lambda n: F.array_join(F.transform(F.arrays_zip(F.col(f"{n}_days").alias("days"), F.col(f"{n}_value").alias("values")), lambda x: F.concat(x["days"].cast("string"), F.lit(":"), F.round(x["values"], 2).cast("string"))), ",")
+    return wide_.select("id", *[c for n in LABS for c in (shown(n).alias(f"{n}_series"), F.col(f"{n}_unit"))])
+
+
 S_DAYS = f"(SELECT dx_row_id, id, round_even({s_strict('d')}, 0)::INT AS dx_day FROM {S_DX} WHERE {s_strict('d')} IS NOT NULL)"
 
 
@@ -334,10 +390,9 @@ def missing_by_entity(spark, sf):
     return wide.missing_per_entity(labs_wide(spark, sf), "id", VALUES)
 
 
-@query(f"SELECT id, vital, string_agg(DISTINCT day::VARCHAR, ',' ORDER BY day::VARCHAR) AS days FROM {S_LONG} WHERE vital IN ('height', 'bmi') GROUP BY ALL")
+@query(f"SELECT id, vital, string_agg(DISTINCT day::VARCHAR, ',' ORDER BY day::VARCHAR) AS days FROM {S_LONG} GROUP BY ALL")
 def day_sets(spark, sf):
-    s = long_vitals(spark, sf).filter(F.col("vital").isin("height", "bmi"))
-    return s.groupBy("id", "vital").agg(F.array_join(F.array_sort(F.collect_set(F.col("day").cast("string"))), ",").alias("days"))
+    return long_vitals(spark, sf).groupBy("id", "vital").agg(F.array_join(F.array_sort(F.collect_set(F.col("day").cast("string"))), ",").alias("days"))
 
 
 S_UNIT_KEY = "lower(regexp_replace(translate({0}, 'µμ²', 'uu2'), '\\s+', '', 'g'))"
@@ -416,6 +471,45 @@ def missingness_entities(spark, sf):
     return tables.missing_entities(dx(spark, sf), "id", PROFILED)
 
 
+MED_COLUMNS = ["SIMPLE_GENERIC", "MEDICATION_NAME", "MED_ADMIN_ROUTE", "PHARMACEUTICAL_SUBCLASS", "ORDER_STATUS"]
+
+
+@query(
+    f"WITH cohort AS (SELECT DISTINCT {s_strip(ID)} AS id FROM comorbidities WHERE {s_present(ID, C.MISSING_DIAGNOSES)}), n AS (SELECT count(*) AS n FROM cohort) "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, (SELECT n FROM n) AS n_cohort, count(*) AS with_rows, (SELECT n FROM n) - count(*) AS without_rows, sum(a)::BIGINT AS any_null, sum(b)::BIGINT AS any_blank, sum(x)::BIGINT AS any_text, sum(y)::BIGINT AS any_missing, sum(z)::BIGINT AS only_missing, round(100.0 * sum(y) / (SELECT n FROM n), 4) AS pct_any "
+        f"FROM (SELECT id, max(k_null::INT) AS a, max(k_blank::INT) AS b, max(k_text::INT) AS x, max(k_any::INT) AS y, min(k_any::INT) AS z FROM (SELECT {s_strip(ID)} AS id, {s_kinds(c)} FROM hypertension_medications_20250417 WHERE {s_present(ID, C.MISSING_MEDS)}) WHERE id IN (SELECT id FROM cohort) GROUP BY id)"
+        for c in MED_COLUMNS
+    )
+)
+def missingness_cohort(spark, sf):
+    """Patients of the diagnosis cohort by how their medication rows lack each column, those without rows counted too."""
+    return tables.missing_in_cohort(meds(spark, sf), dx(spark, sf).select("id"), "id", MED_COLUMNS)
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE NOT k_any) AS n_present, count(*) FILTER (WHERE NOT k_any AND v IS NOT NULL) AS n_numeric, round(coalesce(count(*) FILTER (WHERE NOT k_any AND v IS NOT NULL) / nullif(count(*) FILTER (WHERE NOT k_any), 0)::DOUBLE, 0), 6) AS share FROM (SELECT {s_strict(c)} AS v, {s_kinds(c)} FROM comorbidities)"
+        for c in PROFILED + ["DAYS_SINCE_DX_FRST_OBSRVD"]
+    )
+)
+def numeric_shares(spark, sf):
+    return features.numeric_shares(t(spark, sf, "comorbidities"), [*PROFILED, "DAYS_SINCE_DX_FRST_OBSRVD"])
+
+
+DROPPED = ("_LIST", "_NAME", "_DISPOSITION")
+
+
+@query(f"SELECT column_name FROM (\0) WHERE share >= 0.8 AND NOT (" + " OR ".join(f"ends_with(column_name, '{x}')" for x in DROPPED) + ")")
+def feature_columns(spark, sf):
+    """Columns left after those with certain suffixes and those with few numbers are dropped."""
+    names = features.without_suffixes([*PROFILED, "DAYS_SINCE_DX_FRST_OBSRVD"], DROPPED)
+    return spark.createDataFrame([(c,) for c in features.mostly_numeric(t(spark, sf, "comorbidities"), names)], "column_name string")
+
+
+ORACLES["feature_columns"] = ORACLES["feature_columns"].replace("\0", ORACLES["numeric_shares"])
+
+
 def s_category(c: str) -> str:
     return f"CASE WHEN {c} IS NULL OR {s_strip(c)} = '' OR upper({s_strip(c)}) IN ({quoted(C.MISSING_TEXT)}) THEN 'Missing' ELSE {s_strip(c)} END"
 
@@ -646,6 +740,11 @@ GOWER_NUM = {"creatinine_value": (0.5, 6.0), "sodium_value": (125.0, 155.0)}
 MEDOIDS = [(0, [0.0, 0.0, 0.0, 1.0, 140.0]), (1, [1.0, 0.0, 1.0, 3.0, 138.0]), (2, [0.0, 1.0, 0.0, 0.9, 137.0])]
 
 
+@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(quantile_cont({c}, 0.05), 6) AS low, round(quantile_cont({c}, 0.95), 6) AS high, round(coalesce(nullif(quantile_cont({c}, 0.95) - quantile_cont({c}, 0.05), 0), 1), 6) AS span FROM master_clustering_ready" for c in CONT))
+def gower_spans(spark, sf):
+    return features.quantile_spans(t(spark, sf, "master_clustering_ready"), CONT).select("feature", *[F.round(c, 6).alias(c) for c in ("low", "high", "span")])
+
+
 def s_gower(m: list[float]) -> str:
     parts = [f"CASE WHEN {c} <> {v} THEN 1.0 ELSE 0.0 END" for c, v in zip(GOWER, m)]
     parts += [f"least(1.0, abs(least(greatest(coalesce({c}, {lo}), {lo}), {hi}) - {v}) / {hi - lo})" for (c, (lo, hi)), v in zip(GOWER_NUM.items(), m[len(GOWER) :])]
@@ -782,12 +881,54 @@ def roc_points(spark, sf):
     return c.select("sex", "threshold", "tp", "fp", F.round(C.ratio(F.col("tp"), F.col("pos")), 6).alias("tpr"), F.round(C.ratio(F.col("fp"), F.col("neg")), 6).alias("fpr"))
 
 
+@query(f"SELECT sex, threshold, round(tp / (tp + fp)::DOUBLE, 6) AS precision, round(tp / pos::DOUBLE, 6) AS recall FROM {S_CURVE}")
+def pr_points(spark, sf):
+    return evaluate.precision_points(predicted(spark, sf), ["sex"], "score", F.col("truth") == 1)
+
+
+CLASS_SCORES = {"0": "bun_value", "1": "creatinine_value", "2": "glucose_value", "3": "potassium_value", "4": "sodium_value"}
+S_REST = "(" + " UNION ALL ".join(f"SELECT '{c}' AS cls, coalesce({v}, 0)::DOUBLE AS score, CASE WHEN {S_LABEL} = {c} THEN 1 ELSE 0 END AS y FROM master_clustering_ready" for c, v in CLASS_SCORES.items()) + ")"
+
+
+def s_run(source: str) -> str:
+    return f"(SELECT cls, score, p, q, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER (PARTITION BY cls) AS pos, sum(q) OVER (PARTITION BY cls) AS neg FROM (SELECT cls, score, sum(y) AS p, sum(1 - y) AS q FROM {source} GROUP BY ALL) WINDOW w AS (PARTITION BY cls ORDER BY score DESC ROWS UNBOUNDED PRECEDING))"
+
+
+def s_area(source: str) -> str:
+    return f"(SELECT cls, round(sum(q * (tp - p / 2.0)) / (max(pos) * max(neg)::DOUBLE), 6) AS auroc, round(sum(p * tp / (tp + fp)::DOUBLE) / max(pos), 6) AS auprc FROM {s_run(source)} WHERE pos > 0 AND neg > 0 GROUP BY cls)"
+
+
+def class_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return labelled(spark, sf).select("cluster", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in CLASS_SCORES.values()])
+
+
+@query(f"SELECT 'macro' AS average, round(avg(auroc), 6) AS auroc, round(avg(auprc), 6) AS auprc FROM {s_area(S_REST)} UNION ALL SELECT 'micro', auroc, auprc FROM {s_area(f'(SELECT 0 AS cls, score, y FROM {S_REST})')}")
+def averaged_scores(spark, sf):
+    return evaluate.averaged_scores(class_scores(spark, sf), "cluster", CLASS_SCORES)
+
+
+@query(
+    f"""WITH c AS (SELECT cls, fp / neg::DOUBLE AS x, max(tp / pos::DOUBLE) AS y FROM {s_run(S_REST)} WHERE pos > 0 AND neg > 0 GROUP BY ALL), o AS (SELECT cls, x, y FROM c UNION ALL SELECT cls, 0.0, 0.0 FROM c GROUP BY cls HAVING min(x) > 0),
+g AS (SELECT cls, i, i / 1000.0 AS pt FROM (SELECT DISTINCT cls FROM c), (SELECT unnest(range(1001)) AS i)),
+lo AS (SELECT g.cls, i, max(pt) AS pt, max(x) AS x0, arg_max(y, x) AS y0 FROM g JOIN o ON o.cls = g.cls AND o.x <= pt + 1e-12 GROUP BY ALL), hi AS (SELECT g.cls, i, min(x) AS x1, arg_min(y, x) AS y1 FROM g JOIN o ON o.cls = g.cls AND o.x >= pt - 1e-12 GROUP BY ALL)
+SELECT round(i / 1000.0, 6) AS fpr, round(avg(CASE WHEN x1 <= x0 THEN y0 ELSE y0 + (y1 - y0) * (pt - x0) / (x1 - x0) END), 6) AS tpr FROM lo JOIN hi USING (cls, i) GROUP BY i"""
+)
+def mean_roc(spark, sf):
+    return evaluate.mean_curve(class_scores(spark, sf), "cluster", CLASS_SCORES)
+
+
 S_HASH = "SELECT {k}, {s}, row_number() OVER (PARTITION BY {s} ORDER BY ({k}::HUGEINT * 2654435761 + 42) % 4294967296, {k}) AS rnk, count(*) OVER (PARTITION BY {s}) AS n FROM {t}"
 
 
-@query("SELECT l_suppkey, part, count(*) AS n FROM (SELECT o_orderkey, 0 AS l_suppkey, CASE WHEN rnk <= floor(n * 0.2) THEN 'test' ELSE 'train' END AS part FROM (" + S_HASH.format(k="o_orderkey", s="o_orderpriority", t="orders") + ")) GROUP BY ALL")
+@query("SELECT o_orderkey, o_orderpriority, CASE WHEN rnk <= floor(n * 0.2) THEN 'test' ELSE 'train' END AS part FROM (" + S_HASH.format(k="o_orderkey", s="o_orderpriority", t="orders") + ")")
 def stratified_split(spark, sf):
-    return tables.split(t(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", ["o_orderpriority"]).groupBy(F.lit(0).alias("l_suppkey"), "part").agg(F.count("*").alias("n"))
+    return tables.split(t(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", ["o_orderpriority"])
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM (" + S_HASH.format(k="o_orderkey", s="o_orderpriority", t="orders") + ") WHERE rnk <= greatest(1, round(n * (2000.0 / (SELECT count(*) FROM orders))))")
+def stratified_sample(spark, sf):
+    """About 2,000 orders, each priority in proportion: a sampling operator."""
+    return tables.stratified_sample(t(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", ["o_orderpriority"], 2000)
 
 
 @query("SELECT o_orderkey, o_orderpriority, (rnk % 5)::INT AS fold FROM (" + S_HASH.format(k="o_orderkey", s="o_orderpriority", t="orders") + ")")
@@ -868,6 +1009,15 @@ def pca_scores(spark, sf):
     return scores.select(F.col(ID).alias("id"), *[F.round(F.col("pc")[i], 6).alias(f"pc{i + 1}") for i in range(5)])
 
 
+@query()
+def pca_report(spark, sf):
+    """The components that hold 85 % of the variance together, and the five features that load most on each."""
+    loadings, shares = features.principal_loadings(t(spark, sf, "master_clustering_ready"), CONT + BIN)
+    _, rows = features.component_report(loadings, shares, CONT + BIN)
+    reached = [float(v) for v in np.cumsum(shares)]
+    return spark.createDataFrame([(c, r, f, round(v, 6), round(shares[c - 1], 6), round(reached[c - 1], 6)) for c, r, f, v in rows], "component int, rnk int, feature string, loading double, share double, cumulative double")
+
+
 @query()
 def kmeans_best(spark, sf):
     labels, _ = learn.k_means(embeddings(spark, sf), "vec_id", "x", list(range(2, 11)), restarts=20)
