@@ -26,9 +26,20 @@ VITAL_RULES = {
 }
 # Curated diagnosis groups and their code prefixes.
 DIAGNOSIS_PREFIXES = {
-    "heart_failure": ["I50", "I11.0", "I13.0", "I13.2"], "diabetes": ["E08-E13"], "ckd": ["N18", "I12", "I13"], "ischemic_heart_disease": ["I20-I25"],
-    "atrial_fibrillation": ["I48"], "hyperlipidemia": ["E78"], "cerebrovascular": ["I60-I69", "G45"], "pvd": ["I70", "I73"], "valvular": ["I05-I08", "I34-I39"],
-    "cardiomyopathy": ["I42"], "obesity": ["E66"], "copd": ["J40-J47"], "osa": ["G47.3"], "tobacco_use": ["F17", "Z87.891"],
+    "has_heart_failure": ["I50", "I11.0", "I13.0", "I13.2"],
+    "has_diabetes": ["E08-E13"],
+    "has_ckd": ["N18", "I12", "I13"],
+    "has_ischemic_heart_disease": ["I20-I25"],
+    "has_atrial_fibrillation": ["I48"],
+    "has_hyperlipidemia": ["E78"],
+    "has_cerebrovascular": ["I60-I69", "G45"],
+    "has_pvd": ["I70", "I73"],
+    "has_valvular": ["I05-I08", "I34-I39"],
+    "has_cardiomyopathy": ["I42"],
+    "has_obesity": ["E66"],
+    "has_copd": ["J40-J47"],
+    "has_osa": ["G47.3"],
+    "has_tobacco_use": ["F17", "Z87.891"],
 }
 # Diagnosis groups and words of a code category's description.
 CATEGORY_KEYWORDS = {
@@ -39,25 +50,25 @@ CATEGORY_KEYWORDS = {
 }
 # Drug groups and the names that a drug's text may hold.
 DRUG_GROUPS = {
-    "med_diuretic": "furosemide bumetanide torsemide ethacrynic amiloride hydrochlorothiazide hctz indapamide triamterene chlorthalidone chlorothiazide metolazone spironolactone eplerenone".split(),
-    "med_beta_blocker": "metoprolol atenolol carvedilol bisoprolol propranolol labetalol nebivolol nadolol sotalol esmolol betaxolol acebutolol pindolol timolol penbutolol".split(),
-    "med_ace_inhibitor": "lisinopril enalapril ramipril benazepril captopril fosinopril quinapril perindopril trandolapril moexipril".split(),
-    "med_arb": "losartan valsartan olmesartan telmisartan candesartan irbesartan azilsartan eprosartan".split(),
-    "med_ccb": "amlodipine nifedipine felodipine nicardipine isradipine nisoldipine clevidipine diltiazem verapamil".split(),
-    "med_alpha_blocker": "doxazosin prazosin terazosin".split(),
-    "med_central_alpha2_agonist": "clonidine methyldopa guanfacine guanabenz reserpine".split(),
-    "med_vasodilator": "hydralazine minoxidil nitroprusside".split(),
-    "med_statin": "atorvastatin simvastatin rosuvastatin pravastatin lovastatin pitavastatin fluvastatin".split(),
-    "med_other_lipid_lowering": "ezetimibe evolocumab alirocumab fenofibrate fenofibric gemfibrozil niacin cholestyramine colesevelam bempedoic icosapent".split(),
-    "med_antiplatelet": "aspirin clopidogrel prasugrel ticagrelor dipyridamole cilostazol".split(),
-    "med_anticoagulant": "warfarin apixaban rivaroxaban dabigatran edoxaban enoxaparin fondaparinux heparin".split(),
-    "med_nitrate": "nitroglycerin isosorbide".split(),
-    "med_antiarrhythmic": "amiodarone dronedarone digoxin dofetilide flecainide propafenone mexiletine quinidine disopyramide ibutilide".split(),
-    "med_antidiabetic_oral": "metformin glipizide glyburide glibenclamide gliclazide glimepiride pioglitazone rosiglitazone sitagliptin linagliptin saxagliptin alogliptin repaglinide nateglinide acarbose".split(),
-    "med_sglt2_inhibitor": "empagliflozin dapagliflozin canagliflozin ertugliflozin".split(),
-    "med_glp1_agonist": "liraglutide semaglutide dulaglutide exenatide lixisenatide tirzepatide".split(),
+    "med_diuretic": ["furosemide", "bumetanide", "torsemide", "ethacrynic", "amiloride", "hydrochlorothiazide", "hctz", "indapamide", "triamterene", "chlorthalidone", "chlorothiazide", "metolazone", "spironolactone", "eplerenone"],
+    "med_beta_blocker": ["metoprolol", "atenolol", "carvedilol", "bisoprolol", "propranolol", "labetalol", "nebivolol", "nadolol", "sotalol", "esmolol", "betaxolol", "acebutolol", "pindolol", "timolol", "penbutolol"],
+    "med_ace_inhibitor": ["lisinopril", "enalapril", "ramipril", "benazepril", "captopril", "fosinopril", "quinapril", "perindopril", "trandolapril", "moexipril"],
+    "med_arb": ["losartan", "valsartan", "olmesartan", "telmisartan", "candesartan", "irbesartan", "azilsartan", "eprosartan"],
+    "med_ccb": ["amlodipine", "nifedipine", "felodipine", "nicardipine", "isradipine", "nisoldipine", "clevidipine", "diltiazem", "verapamil"],
+    "med_alpha_blocker": ["doxazosin", "prazosin", "terazosin"],
+    "med_central_alpha2_agonist": ["clonidine", "methyldopa", "guanfacine", "guanabenz", "reserpine"],
+    "med_vasodilator": ["hydralazine", "minoxidil", "nitroprusside"],
+    "med_statin": ["atorvastatin", "simvastatin", "rosuvastatin", "pravastatin", "lovastatin", "pitavastatin", "fluvastatin"],
+    "med_other_lipid_lowering": ["ezetimibe", "evolocumab", "alirocumab", "fenofibrate", "fenofibric", "gemfibrozil", "niacin", "cholestyramine", "colesevelam", "bempedoic", "icosapent"],
+    "med_antiplatelet": ["aspirin", "clopidogrel", "prasugrel", "ticagrelor", "dipyridamole", "cilostazol"],
+    "med_anticoagulant": ["warfarin", "apixaban", "rivaroxaban", "dabigatran", "edoxaban", "enoxaparin", "fondaparinux", "heparin"],
+    "med_nitrate": ["nitroglycerin", "isosorbide"],
+    "med_antiarrhythmic": ["amiodarone", "dronedarone", "digoxin", "dofetilide", "flecainide", "propafenone", "mexiletine", "quinidine", "disopyramide", "ibutilide"],
+    "med_antidiabetic_oral": ["metformin", "glipizide", "glyburide", "glibenclamide", "gliclazide", "glimepiride", "pioglitazone", "rosiglitazone", "sitagliptin", "linagliptin", "saxagliptin", "alogliptin", "repaglinide", "nateglinide", "acarbose"],
+    "med_sglt2_inhibitor": ["empagliflozin", "dapagliflozin", "canagliflozin", "ertugliflozin"],
+    "med_glp1_agonist": ["liraglutide", "semaglutide", "dulaglutide", "exenatide", "lixisenatide", "tirzepatide"],
     "med_insulin": ["insulin"],
-}
+}
 # Race by the beginning of the lower-cased text; anything else is Unknown/Other.
 RACE_GROUPS = {
     "d. asian": "Asian", "f. multiracial": "Multiracial", "e. pacific islander": "Pacific Islander", "a. white": "White", "b. black": "Black or African American",
@@ -65,9 +76,9 @@ RACE_GROUPS = {
 }
 # Other names of a vital after normalising.
 VITAL_SYNONYMS = {
-    "height": "ht height height_cm height_in".split(),
-    "weight": "wt weight weight_kg weight_lb weight_lbs".split(),
-    "bmi": "bmi body_mass_index body_mass_index_bmi".split(),
-    "bp_systolic": "systolic systolic_bp systolic_blood_pressure blood_pressure_systolic bp_systolic".split(),
-    "bp_diastolic": "diastolic diastolic_bp diastolic_blood_pressure blood_pressure_diastolic bp_diastolic".split(),
-}
+    "height": ["ht", "height", "height_cm", "height_in"],
+    "weight": ["wt", "weight", "weight_kg", "weight_lb", "weight_lbs"],
+    "bmi": ["bmi", "body_mass_index", "body_mass_index_bmi"],
+    "bp_systolic": ["systolic", "systolic_bp", "systolic_blood_pressure", "blood_pressure_systolic", "bp_systolic"],
+    "bp_diastolic": ["diastolic", "diastolic_bp", "diastolic_blood_pressure", "blood_pressure_diastolic", "bp_diastolic"],
+}

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
+from .quantiles import exact_quantiles
+
+MARGIN_LIMIT = 20_000  # different labels of one side of a contingency table that reach the driver
 
 
 def sizes(df: DataFrame, label: str) -> DataFrame:
@@ -23,9 +26,11 @@ def long_features(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
 
 def profile(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
     """(label, feature, n, mean, median, sd, min, max): feature by feature, the transposed form of a profile."""
-    return long_features(df, label, columns).groupBy(label, "feature").agg(
-        F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.median("v"), 6).alias("median"), F.round(F.stddev_samp("v"), 6).alias("sd"), F.min("v").alias("min"), F.max("v").alias("max")
-    )
+    long = long_features(df, label, columns).toDF("label", "feature", "v")
+    stats = long.groupBy("label", "feature").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("sd"), F.min("v").alias("min"), F.max("v").alias("max"))
+    middle = exact_quantiles(long, ["label", "feature"], "v", [0.5])
+    joined = stats.alias("l").join(middle.alias("r"), F.col("l.label").eqNullSafe(F.col("r.label")) & (F.col("l.feature") == F.col("r.feature")), "left")
+    return joined.select(F.col("l.label").alias(label), "l.feature", "n", "mean", F.round("q0", 6).alias("median"), "sd", "min", "max")
 
 
 def drivers(df: DataFrame, label: str, columns: list[str], top: int, standardized: bool = True) -> DataFrame:
@@ -268,24 +273,39 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def adjusted_mutual_information(df: DataFrame, a: str, b: str) -> float:
-    """AMI (arithmetic mean) from the contingency table, whose cells, not the rows, reach the driver."""
-    cells = contingency(df, a, b).collect()
-    n = sum(r["n"] for r in cells)
-    ra: dict = {}
-    rb: dict = {}
-    for r in cells:
-        ra[r["a"]] = ra.get(r["a"], 0) + r["n"]
-        rb[r["b"]] = rb.get(r["b"], 0) + r["n"]
-    if len(ra) == len(rb) == 1 or not n:
+    """AMI (arithmetic mean). Cells are summed where they lie; only the sizes of the labels of either side reach the driver,
+    how many labels have which size, at most ``MARGIN_LIMIT`` of them.
+
+    The expected information takes, for each pair of sizes, the overlaps within 40 standard deviations of the expected one:
+    beyond that their chance is below what a float holds.
+    """
+    cells = contingency(df, a, b)
+    ra, rb = (cells.groupBy(c).agg(F.sum("n").alias(f"n{c}")) for c in ("a", "b"))
+    n = cells.agg(F.sum("n")).collect()[0][0] or 0
+    many = [{r[0]: r[1] for r in m.groupBy(f"n{c}").count().limit(MARGIN_LIMIT + 1).collect()} for m, c in ((ra, "a"), (rb, "b"))]
+    if max(map(len, many)) > MARGIN_LIMIT:
+        raise ValueError(f"labels of more than {MARGIN_LIMIT} different sizes")
+    if not n or all(list(m.items()) == [(n, 1)] for m in many):
         return 1.0
-    mi = sum(r["n"] / n * math.log(n * r["n"] / (ra[r["a"]] * rb[r["b"]])) for r in cells)
-    h = lambda c: -sum(v / n * math.log(v / n) for v in c.values())
-    g = math.lgamma
-    emi = 0.0
-    for x in ra.values():
-        for y in rb.values():
-            for k in range(max(1, x + y - n), min(x, y) + 1):
-                logp = g(x + 1) + g(y + 1) + g(n - x + 1) + g(n - y + 1) - g(n + 1) - g(k + 1) - g(x - k + 1) - g(y - k + 1) - g(n - x - y + k + 1)
-                emi += k / n * math.log(n * k / (x * y)) * math.exp(logp)
-    mean = (h(ra) + h(rb)) / 2
+    same = lambda c: F.col(f"l.{c}").eqNullSafe(F.col(f"{c}.{c}"))
+    met = cells.alias("l").join(ra.alias("a"), same("a")).join(rb.alias("b"), same("b"))
+    share = F.col("l.n") / F.lit(float(n))
+    mi = met.agg(F.sum(share * F.log(share * F.lit(float(n)) / F.col("na") * F.lit(float(n)) / F.col("nb")))).collect()[0][0]
+    h = [-sum(k * v / n * math.log(v / n) for v, k in m.items()) for m in many]
+    emi = sum(i * j * _expected_overlap(x, y, n) for x, i in many[0].items() for y, j in many[1].items())
+    mean = sum(h) / 2
     return (mi - emi) / (mean - emi) if abs(mean - emi) > 1e-15 else 1.0
+
+
+def _expected_overlap(x: int, y: int, n: int) -> float:
+    """Expected information of the overlap of two random sets of x and y out of n."""
+    g = math.lgamma
+    middle = x * y / n
+    sd = math.sqrt(max(middle * (n - x) * (n - y) / (n * max(n - 1, 1)), 1.0))
+    low, high = max(1, x + y - n, math.floor(middle - 40 * sd)), min(x, y, math.ceil(middle + 40 * sd))
+    fixed = g(x + 1) + g(y + 1) + g(n - x + 1) + g(n - y + 1) - g(n + 1)
+    out = 0.0
+    for k in range(low, high + 1):
+        chance = math.exp(fixed - g(k + 1) - g(x - k + 1) - g(y - k + 1) - g(n - x - y + k + 1))
+        out += k / n * math.log(n * k / (x * y)) * chance
+    return out

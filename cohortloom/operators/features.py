@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.columns import clip
+from .quantiles import column_quantiles, exact_quantiles
 
 
 def roles(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -23,16 +24,15 @@ def roles(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def scale(df: DataFrame, columns: list[str], kind: str, bound: float | None = None) -> DataFrame:
     """Columns scaled: robust (median, quartile range), standard (mean, population sd) or minmax; a zero spread counts as 1. Nulls stay."""
-    aggs = []
-    for c in columns:
-        v = F.col(c).cast("double")
-        centre = {"robust": F.median(v), "standard": F.avg(v), "minmax": F.min(v)}[kind]
-        spread = {"robust": F.percentile(v, F.lit(0.75)) - F.percentile(v, F.lit(0.25)), "standard": F.stddev_pop(v), "minmax": F.max(v) - F.min(v)}[kind]
-        aggs += [centre.alias(f"{c}_c"), spread.alias(f"{c}_s")]
-    r = df.agg(*aggs).collect()[0]
+    if kind == "robust":
+        r = {c: (mid, None if mid is None else high - low) for c, (low, mid, high) in column_quantiles(df, columns, [0.25, 0.5, 0.75]).items()}
+    else:
+        centre, spread = {"standard": (F.avg, F.stddev_pop), "minmax": (F.min, lambda v: F.max(v) - F.min(v))}[kind]
+        row = df.agg(*[F.struct(centre(v), spread(v)).alias(c) for c in columns for v in [F.col(c).cast("double")]]).collect()[0]
+        r = {c: tuple(row[c]) for c in columns}
     out = {}
     for c in columns:
-        x = (F.col(c).cast("double") - F.lit(r[f"{c}_c"])) / F.lit(r[f"{c}_s"] or 1.0)
+        x = (F.col(c).cast("double") - F.lit(r[c][0]).cast("double")) / F.lit(r[c][1] or 1.0)
         out[c] = clip(x, bound) if bound is not None else x
     return df.withColumns(out)
 
@@ -156,7 +156,7 @@ def mostly_numeric(df: DataFrame, columns: list[str], least: float = 0.8) -> lis
 def quantile_spans(df: DataFrame, columns: list[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
     """(feature, low, high, span): range of each feature between two quantiles, for Gower distances that outliers don't stretch; a span of 0 counts as 1."""
     each = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])
-    q = df.select(F.inline(each)).groupBy("feature").agg(F.percentile("v", F.lit(low)).alias("low"), F.percentile("v", F.lit(high)).alias("high"))
+    q = exact_quantiles(df.select(F.inline(each)), ["feature"], "v", [low, high]).toDF("feature", "low", "high")
     return q.withColumn("span", F.coalesce(F.nullif(F.col("high") - F.col("low"), F.lit(0.0)), F.lit(1.0)))
 
 

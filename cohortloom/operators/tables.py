@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .quantiles import exact_quantiles
 
 
 def common_ids(frames: list[DataFrame], key: str) -> DataFrame:
@@ -74,10 +75,13 @@ def category_counts(df: DataFrame, column: Column, by: Column | None = None) ->
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, n, n_numeric, n_other, n_zero, min, max, mean, median of whole numbers)."""
     parts = F.array(*[F.struct(F.lit(c).alias("column_name"), C.missing_kinds(F.col(c).cast("string"))["any"].alias("gone"), C.strict_number(F.col(c).cast("string")).alias("v")) for c in columns])
-    return df.select(F.inline(parts)).groupBy("column_name").agg(
+    long = df.select(F.inline(parts))
+    stats = long.groupBy("column_name").agg(
         F.count("*").alias("n"), F.count("v").alias("n_numeric"), F.count_if(F.col("v").isNull() & ~F.col("gone")).alias("n_other"), F.count_if(F.col("v") == 0).alias("n_zero"),
-        F.min("v").alias("min_value"), F.max("v").alias("max_value"), F.round(F.avg("v"), 6).alias("mean_value"), F.median(F.bround("v")).alias("median_value"),
+        F.min("v").alias("min_value"), F.max("v").alias("max_value"), F.round(F.avg("v"), 6).alias("mean_value"),
     )
+    middle = exact_quantiles(long.select("column_name", F.bround("v").alias("v")), ["column_name"], "v", [0.5]).withColumnRenamed("q0", "median_value")
+    return stats.join(middle, "column_name", "left")
 
 
 def age_quality(df: DataFrame, key: str, age: str) -> DataFrame:

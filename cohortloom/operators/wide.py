@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .quantiles import column_quantiles, exact_quantiles
 
 
 def best_row(df: DataFrame, keys: list[str], distance: Column, day: str, last: list[str], take: list[str]) -> DataFrame:
@@ -21,8 +22,7 @@ def pivot_values(df: DataFrame, key: str, kind: str, value: str, kinds: list[str
 
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    row = df.agg(*[F.median(c).alias(c) for c in columns]).collect()[0]
-    return {c: row[c] for c in columns}
+    return {c: q[0] for c, q in column_quantiles(df, columns, [0.5]).items()}
 
 
 def impute_median(wide: DataFrame, columns: list[str]) -> DataFrame:
@@ -34,7 +34,8 @@ def impute_median(wide: DataFrame, columns: list[str]) -> DataFrame:
 def imputation_summary(wide: DataFrame, columns: list[str]) -> DataFrame:
     """(measure, total, with_value, missing_before, median_used, missing_after)."""
     each = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in columns])
-    s = wide.select(F.inline(each)).groupBy("measure").agg(F.count("*").alias("total"), F.count("v").alias("with_value"), F.median("v").alias("median_used"))
+    s = wide.select(F.inline(each)).groupBy("measure").agg(F.count("*").alias("total"), F.count("v").alias("with_value"))
+    s = s.join(exact_quantiles(wide.select(F.inline(each)), ["measure"], "v", [0.5]).withColumnRenamed("q0", "median_used"), "measure", "left")
     return s.select("measure", "total", "with_value", (F.col("total") - F.col("with_value")).alias("missing_before"), "median_used", F.when(F.col("median_used").isNull(), F.col("total")).otherwise(0).alias("missing_after"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import rules as R
 from ..operators import clusters, codes, evaluate, features, graph, learn, link, series, tables, wide
+from ..session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,7 +84,7 @@ def s_flags(tests: dict[str, str], source: str) -> str:
     return "SELECT id, " + ", ".join(f"max(CASE WHEN {e} THEN 1 ELSE 0 END) AS {k}" for k, e in tests.items()) + f" FROM {source} GROUP BY id"
 
 
-PREFIXES = {f"has_{k}": codes_ for k, codes_ in ((k, C.expand_prefixes(v)) for k, v in R.DIAGNOSIS_PREFIXES.items())}
+PREFIXES = {k: C.expand_prefixes(v) for k, v in R.DIAGNOSIS_PREFIXES.items()}
 S_COMORB = s_flags({k: "regexp_matches(code, '^(" + "|".join(v) + ")')" for k, v in PREFIXES.items()}, f"(SELECT d.id, coalesce(c.code, '') AS code FROM (SELECT DISTINCT id FROM {S_DX}) d LEFT JOIN (SELECT DISTINCT id, code FROM {S_CODES}) c ON c.id = d.id)")
 
 
@@ -1072,10 +1073,10 @@ def fuzzy_graph(spark, sf):
 
 @query()
 def graph_communities(spark, sf):
-    return graph.graph_communities(_fuzzy(spark, sf).cache(), least=10)
+    return graph.graph_communities(written(_fuzzy(spark, sf), "fuzzy"), least=10)
 
 
 @query()
 def community_stability(spark, sf):
-    scores = graph.stability(_fuzzy(spark, sf).cache(), 3)
+    scores = graph.stability(written(_fuzzy(spark, sf), "fuzzy"), 3)
     return spark.createDataFrame([(i, s) for i, s in enumerate(scores)], "run int, ari double")
