@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortloom.operators import clusters, codes, evaluate, features, series, tables
+from cohortloom.operators import clusters, codes, evaluate, features, graph, series, tables
 from cohortloom.operators.quantiles import column_quantiles, exact_quantiles
 
 
@@ -103,3 +103,19 @@ def test_component_report():
     n, rows = features.component_report(np.array([[0.9, 0.1], [-0.95, 0.2], [0.0, -0.97]]), [0.7, 0.3], ["x", "y", "z"], 0.85, 2)
     assert n == 2 and rows == [(1, 1, "y", 0.95), (1, 2, "x", -0.9), (2, 1, "z", 0.97), (2, 2, "y", -0.2)]
     assert features.component_report(np.array([[1.0, 0.0]]).T, [0.9], ["x", "y"])[0] == 1
+
+
+def test_large_graphs_are_shrunk_first(spark):
+    """Beyond the limits of the driver the communities are the same: twelve rings of dense blocks, weakly joined."""
+    rng = np.random.default_rng(4)
+    pairs = {(g * 20 + int(i), g * 20 + int(j)): 1.0 for g in range(12) for i, j in rng.integers(0, 20, (160, 2)) if i != j} | {(g * 20, (g + 1) % 12 * 20): 0.2 for g in range(12)}
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in pairs.items()] + [(b, a, w) for (a, b), w in pairs.items()], "a long, b long, w double").groupBy("a", "b").agg(F.sum("w").alias("w"))
+    small = {r.id: r.label for r in graph.graph_communities(edges).collect()}
+    large = {r.id: r.label for r in graph.graph_communities(edges, nodes=40, links=500).collect()}
+    assert set(small) == set(large) == set(range(240))
+    ids = sorted(small)
+    x, y = np.array([small[i] for i in ids]), np.array([large[i] for i in ids])
+    assert ((x[:, None] == x) == (y[:, None] == y)).mean() > 0.95 and len(set(y)) >= 10
+    apart = spark.createDataFrame([(i * 2, i * 2 + 1, 1.0) for i in range(60)] + [(i * 2 + 1, i * 2, 1.0) for i in range(60)], "a long, b long, w double")
+    labels = [r.label for r in graph.graph_communities(apart, nodes=10, links=10).collect()]
+    assert len(labels) == 120 and len(set(labels)) == 60
