@@ -22,10 +22,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import shrink
 from ..session import task_slots, written
 
 LEAST_NEIGHBOURS = 12  # of each record; more if ln(records) is larger, as connectivity needs
@@ -35,8 +35,6 @@ CHUNK = 20_000  # records of a range of one projection that a task splits into l
 CHANGE = 0.002  # share of all list entries that a round must renew for another to follow
 DRIVER_NODES = 2_500  # communities up to which the hierarchy is built on the driver
 DRIVER_EDGES = 100_000
-MOVES = 6  # rounds of local moves of a level
-SETTLED = 0.01  # share of the nodes that must move for another round to follow
 STRAGGLER = 0.005  # share of all records under which a community is no group
 MISSING = -128  # in a vector: the record lacks the number
 UNKNOWN = 687  # squared difference that counts where one of two records lacks a number: that of two records drawn at random
@@ -276,69 +274,19 @@ def weighted_edges(graph: DataFrame, copies: DataFrame | None = None) -> DataFra
     return edges.unionByName(loops)
 
 
-def _move(edges: DataFrame, parts: DataFrame, total: float, turn: int, gamma: float, slots: int) -> DataFrame:
-    """(a, c, k, went): half of the nodes, by hash, move to the neighbouring community that raises modularity most.
-
-    ``edges`` lie by b already; the labels come to them, and one shuffle by a brings each node's links together.
-    """
-    strength = parts.groupBy("c").agg(F.sum("k").alias("kc"))
-    label = parts.join(strength, "c").select(F.col("a").alias("b"), "c", "kc")
-    to = edges.join(label, "b").repartition(slots, "a").groupBy("a", "c").agg(F.sum("w").alias("w"), F.first("kc").alias("kc"))
-    here = parts.select("a", F.col("c").alias("own"), "k")
-    gain = F.col("w") - F.lit(gamma / total) * F.col("k") * (F.col("kc") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0))
-    # staying alone costs nothing: a node without edges into its own community gains by any positive move
-    choice = F.struct(gain.alias("g"), F.xxhash64("c", F.lit(turn)).alias("h"), F.col("c").alias("to"))
-    best = here.join(to, "a", "left").groupBy("a").agg(F.first("own").alias("c"), F.first("k").alias("k"), F.max_by("c", choice).alias("to"), F.max(gain).alias("g"), F.max(F.when(F.col("c") == F.col("own"), gain)).alias("stay"))
-    go = F.coalesce((F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(2)) == 0) & (F.col("g") > F.coalesce("stay", F.lit(0.0)) + 1e-12), F.lit(False))
-    return best.select("a", F.when(go, F.col("to")).otherwise(F.col("c")).alias("c"), "k", go.alias("went"))
-
-
-def communities(edges: DataFrame, copies: DataFrame, min_groups: int = 1, max_groups: int = 1_000_000, straggler: float = STRAGGLER, moves: int = MOVES) -> DataFrame:
+def communities(edges: DataFrame, copies: DataFrame, min_groups: int = 1, max_groups: int = 1_000_000, straggler: float = STRAGGLER) -> DataFrame:
     """(a, c): the group of every node of (a, b, w), numbered from 0 by size; -1 for communities too small to be one.
 
     ``edges`` are symmetric; ``copies`` (id, n) has the rows that each node stands for. Levels of local moves shrink the graph
-    until it has at most ``DRIVER_NODES`` communities and ``DRIVER_EDGES`` edges; a level that shrinks it by less than a tenth
-    halves the resolution for the next. Only that summary, checked for its size, goes to the driver, where ``cut_tree``
-    chooses the groups. If no links are left before it is small, its communities are what there is to find, and only
-    those with the share ``straggler`` of the rows are groups.
+    until it has at most ``DRIVER_NODES`` communities and ``DRIVER_EDGES`` edges. Only that summary, checked for its size,
+    goes to the driver, where ``cut_tree`` chooses the groups. If no links are left before it is small, its communities
+    are what there is to find, and only those with the share ``straggler`` of the rows are groups.
     """
-    level = written(edges, "edges")
-    total = level.agg(F.sum("w")).collect()[0][0] or 0.0
-    if not total:
-        return level.select("a").distinct().withColumn("c", F.lit(-1).cast("long"))
-    chain: list[DataFrame] = []
-    gamma, before, slots = 1.0, None, task_slots(edges.sparkSession)
-    while True:
-        parts = written(level.groupBy("a").agg(F.sum("w").alias("k")).select("a", F.col("a").alias("c"), "k"), "parts")
-        count = parts.count()
-        size = level.agg(F.count("*").alias("n"), F.count(F.when(F.col("a") != F.col("b"), 1)).alias("between")).collect()[0]
-        if chain and (not size["between"] or count <= DRIVER_NODES and size["n"] <= DRIVER_EDGES):
-            break
-        if before and count > 0.9 * before:
-            gamma /= 2
-        before = count
-        # laid out once for all moves; a lost part is read again from the written table
-        between = level.filter("a <> b").repartition(slots, "b").sortWithinPartitions("b").persist(StorageLevel.DISK_ONLY)
-        for turn in range(moves):
-            now = written(_move(between, parts, total, len(chain) * moves + turn, gamma, slots), "parts")
-            went = now.filter("went").count()
-            parts = now.drop("went")
-            if went < SETTLED * count:
-                break
-        between.unpersist()
-        chain.append(parts.select("a", "c"))
-        level = written(
-            level.join(parts.select("a", F.col("c").alias("ca")), "a")
-            .join(parts.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b")
-            .groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")),
-            "level",
-        )
-    members = chain[0]
-    for up in chain[1:]:
-        members = members.join(up.select(F.col("a").alias("c"), F.col("c").alias("c2")), "c").select("a", F.col("c2").alias("c"))
-    members = written(members, "members")
+    if not edges.head(1):
+        return edges.select("a").withColumn("c", F.lit(-1).cast("long"))
+    level, members, between = shrink(edges, DRIVER_NODES, DRIVER_EDGES)
     mass = members.join(copies.select(F.col("id").alias("a"), "n"), "a").groupBy("c").agg(F.sum("n").alias("n"))
-    if size["between"]:
+    if between:
         small = level.toPandas()
         weights = {r["c"]: r["n"] for r in mass.collect()}  # one of at most DRIVER_NODES communities
         labels = cut_tree(small["a"].to_numpy(), small["b"].to_numpy(), small["w"].to_numpy(), weights, min_groups, max_groups, straggler)
