@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.attributes import cast_failures, filled_cells, wide_vitals
 from ..operators.propagate import fill_missing
 from ..operators.readings import explode_lab, parse_vitals
-from ..operators.spikes import implausible
+from ..operators.spikes import BOUNDS, implausible
 from ..operators.units import to_common_units
 from ..session import written
 
@@ -19,13 +19,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def vitals(spark: SparkSession, sf: str) -> DataFrame:
-    """Parsed readings, written once: the steps that follow read them in parts."""
-    return written(parse_vitals(table(spark, sf, VITALS), table(spark, sf, "vital_reference")), "readings")
+def vitals(spark: SparkSession, sf: str, columns: tuple[str, ...] = (), numbers_of: tuple[str, ...] = ()) -> DataFrame:
+    """Parsed readings, written once: the steps that follow read them in parts. ``columns``: those that are needed, by default
+    all; ``numbers_of``: attributes of which only readings with a number are needed, by default everything."""
+    df = parse_vitals(table(spark, sf, VITALS), table(spark, sf, "vital_reference"))
+    df = df.filter(F.col("v1").isNotNull() & F.col("attribute").isin(*numbers_of)) if numbers_of else df
+    return written(df.select(*columns) if columns else df, "readings")
 
 
 def p1_readings(spark: SparkSession, sf: str) -> DataFrame:
-    common = to_common_units(vitals(spark, sf).drop("content", "load_ts"))
+    """Readings that can be implausible: those of measures with bounds that hold a number."""
+    measured = tuple(a for a in BOUNDS if a not in ("bp_diastolic", "potassium"))
+    common = to_common_units(vitals(spark, sf, ("row_id", "pid", "day", "attribute", "v1", "v2", "label", "rep"), measured))
     lab = explode_lab(table(spark, sf, LABS), "potassium")
     return common.select(
         F.lit(VITALS).alias("tbl"), "row_id", F.lit(0).alias("pos"), "pid", "day", "attribute", F.col("x"), "y", "rep"
@@ -48,7 +53,7 @@ def p1_faults(spark: SparkSession, sf: str) -> DataFrame:
 def p3_converted(spark: SparkSession, sf: str) -> DataFrame:
     """Every number of the quantities with units, in the common unit: tbl, row_id, pos, quantity, value, value2, from_unit, uncertain."""
     quantities = ("bp", "temperature", "spo2", "height", "weight")
-    numbers = vitals(spark, sf).select("row_id", "pid", "attribute", "v1", "v2", "label").filter(F.col("v1").isNotNull() & F.col("attribute").isin(*quantities))
+    numbers = vitals(spark, sf, ("row_id", "pid", "attribute", "v1", "v2", "label"), quantities)
     lab = written(explode_lab(table(spark, sf, LABS), "creatinine").select("row_id", "pos", "pid", "attribute", "v1", F.lit(None).cast("double").alias("v2"), "label"), "creatinine")
     out = lambda df, name, pos: df.select(F.lit(name).alias("tbl"), "row_id", pos, F.col("attribute").alias("quantity"), F.col("x").alias("value"), F.col("y").alias("value2"), "from_unit", "uncertain")
     return out(to_common_units(numbers), VITALS, F.lit(0).alias("pos")).unionByName(out(to_common_units(lab), LABS, F.col("pos")))

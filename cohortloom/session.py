@@ -27,20 +27,16 @@ def build_session(app: str = "cohortloom", cores: int | str = 8, shuffle_partiti
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; set a folder only where none is named."""
+    """Use the shared folder that the cluster names in ``spark.checkpoint.dir``; only a local session gets a folder of its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cohortloom-ckpt-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The frame written to the checkpoint folder and read from there: a loss of executors costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def task_slots(spark: SparkSession) -> int:
     """Partitions that keep the cluster busy: the shuffle setting, at least the default parallelism."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
