@@ -180,8 +180,40 @@ def small_to_outlier(labels: DataFrame, label: str, least: int) -> DataFrame:
     return labels.join(n, label, "left").withColumn(label, F.when(F.coalesce("_n", F.lit(0)) < least, -1).otherwise(F.col(label))).select(*labels.columns)
 
 
-def silhouette(points: DataFrame, sample: DataFrame, key: str, x: str, label: str) -> DataFrame:
-    """(silhouette, n) over a stated sample against itself, Euclidean; members of single-member groups count 0.
+def apart(p: np.ndarray, q: np.ndarray, metric: str = "euclidean") -> np.ndarray:
+    """Distances of all rows of p to all rows of q: euclidean, manhattan, cosine or correlation (1 minus the similarity)."""
+    if metric == "manhattan":
+        return sum(np.abs(p[:, i][:, None] - q[:, i][None, :]) for i in range(p.shape[1])) if p.shape[1] else np.zeros((len(p), len(q)))
+    if metric in ("cosine", "correlation"):
+        if metric == "correlation":
+            p, q = p - p.mean(axis=1, keepdims=True), q - q.mean(axis=1, keepdims=True)
+        p, q = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (p, q))
+        return np.maximum(1 - p @ q.T, 0)
+    if metric != "euclidean":
+        raise ValueError(f"unknown metric {metric}")
+    return np.sqrt(np.maximum((p**2).sum(axis=1)[:, None] + (q**2).sum(axis=1)[None] - 2 * p @ q.T, 0))
+
+
+def silhouette_of(d: np.ndarray, label: np.ndarray) -> float | None:
+    """Mean silhouette from a matrix of given distances; members of single-member groups count 0, None without points."""
+    if not len(label):
+        return None
+    names, own = np.unique(label, return_inverse=True)
+    one = np.eye(len(names))[own]
+    size = one.sum(axis=0)
+    sums = d @ one
+    rows = np.arange(len(own))
+    mates = size[own] - 1
+    a = sums[rows, own] / np.maximum(mates, 1)
+    mean = sums / size
+    mean[rows, own] = np.inf
+    b = mean.min(axis=1)
+    ok = (mates > 0) & np.isfinite(b)
+    return float(np.where(ok, (np.where(ok, b, 0) - a) / np.maximum(np.maximum(a, np.where(ok, b, 1)), 1e-300), 0.0).mean())
+
+
+def silhouette(points: DataFrame, sample: DataFrame, key: str, x: str, label: str, metric: str = "euclidean") -> DataFrame:
+    """(silhouette, n) over a stated sample against itself by one of the metrics of ``apart``; members of single-member groups count 0.
 
     Blocks of about 10,000 points of it go to every task in turn; each adds its distances by label to the sums of every point.
     """
@@ -194,14 +226,12 @@ def silhouette(points: DataFrame, sample: DataFrame, key: str, x: str, label: st
 
     def adder(rows: list):
         all_, one = _matrix(rows, "x"), np.eye(len(place))[[place[r["label"]] for r in rows]]
-        square = (all_**2).sum(axis=1)
 
         def add(batches):
             for b in batches:
                 p, sums = _arrays(b["x"], b.num_rows), _arrays(b["sums"], b.num_rows).copy()
                 for s in range(0, len(p), 256):
-                    d = np.sqrt(np.maximum((p[s : s + 256] ** 2).sum(axis=1)[:, None] + square[None] - 2 * p[s : s + 256] @ all_.T, 0))
-                    sums[s : s + 256] += d @ one
+                    sums[s : s + 256] += apart(p[s : s + 256], all_, metric) @ one
                 yield pa.RecordBatch.from_arrays([b["x"], b["label"], pa.array(sums.tolist(), pa.list_(pa.float64()))], ["x", "label", "sums"])
 
         return add

@@ -226,3 +226,16 @@ def stability(edges: DataFrame, runs: int = 5, gamma: float = 1.0) -> list[float
         other = graph_communities(edges, gamma, seed=100 + s).withColumnRenamed("label", "other")
         out.append(float(adjusted_rand(first.join(other, "id"), "label", "other").collect()[0][0]))
     return out
+
+
+def stability_report(edges: DataFrame, runs: int = 5, gamma: float = 1.0) -> list[dict]:
+    """Adjusted Rand index and mutual information of ``runs`` other seeds against the first partition: mean, population sd and least."""
+    from .clusters import adjusted_mutual_information, adjusted_rand
+
+    first = graph_communities(edges, gamma)
+    scores: dict[str, list[float]] = {"ari": [], "ami": []}
+    for s in range(runs):
+        both = written(first.join(graph_communities(edges, gamma, seed=100 + s).withColumnRenamed("label", "other"), "id"), "runs")
+        scores["ari"].append(float(adjusted_rand(both, "label", "other").collect()[0][0]))
+        scores["ami"].append(adjusted_mutual_information(both, "label", "other"))
+    return [{"score": k, "runs": runs, "mean": float(np.mean(v)), "sd": float(np.std(v)), "least": min(v)} for k, v in scores.items() if v]

@@ -10,7 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -312,6 +312,79 @@ def sampled_groups(df: DataFrame, key: str, x: str, method: str, n: int = PAIR_S
     return extend(df, key, x, m, label)
 
 
+def ward_merges(x: np.ndarray) -> list[tuple[int, int, float]]:
+    """(i, j, height) of all merges of Ward linkage, the new group keeping the name i < j; heights are distances."""
+    n = len(x)
+    d = _apart(x, x) ** 2
+    np.fill_diagonal(d, np.inf)
+    size = np.ones(n)
+    out = []
+    for _ in range(n - 1):
+        i, j = sorted(int(v) for v in np.unravel_index(int(np.argmin(d)), d.shape))
+        out.append((i, j, float(np.sqrt(d[i, j]))))
+        with np.errstate(invalid="ignore"):
+            row = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / (size[i] + size[j] + size)
+        row[~np.isfinite(d[i]) | ~np.isfinite(d[j])] = np.inf
+        row[[i, j]] = np.inf
+        d[i, :], d[:, i] = row, row
+        d[j, :], d[:, j] = np.inf, np.inf
+        size[i] += size[j]
+    return out
+
+
+def cophenetic(x: np.ndarray) -> float:
+    """Correlation of the distances of all pairs with the heights at which Ward linkage joins them; NaN if either is constant."""
+    n = len(x)
+    members = {i: [i] for i in range(n)}
+    joined = np.zeros((n, n))
+    for i, j, height in ward_merges(x):
+        joined[np.ix_(members[i], members[j])] = height
+        members[i] += members.pop(j)
+    joined += joined.T
+    above = np.triu_indices(n, 1)
+    a, b = _apart(x, x)[above], joined[above]
+    return float(np.corrcoef(a, b)[0, 1]) if len(a) > 1 and a.std() > 0 and b.std() > 0 else float("nan")
+
+
+def ward_sweep(df: DataFrame, key: str, x: str, ks: list[int], n: int = PAIR_SAMPLE) -> list[dict]:
+    """For each number of groups the silhouette of a sample of n rows at most, and the cophenetic correlation of its tree."""
+    _, m = _collect(df, key, x, n)
+    distance, tree = _apart(m, m), cophenetic(m)
+    return [{"k": k, "silhouette": clusters.silhouette_of(distance, ward(m, k)), "cophenetic": tree} for k in ks]
+
+
+def preference_sweep(df: DataFrame, key: str, x: str, quantiles: list[float], n: int = 500) -> list[dict]:
+    """For preferences at quantiles of the similarities: groups of affinity propagation and their silhouette, on a sample of n rows at most."""
+    _, m = _collect(df, key, x, n)
+    s = 1 - clusters.apart(m, m, "cosine")
+    above = s[np.triu_indices(len(s), 1)]
+    out = []
+    for q in quantiles if len(above) else []:
+        label = affinity(s, float(np.quantile(above, q)))
+        out.append({"quantile": q, "groups": len(np.unique(label)), "silhouette": clusters.silhouette_of(1 - s, label)})
+    return out
+
+
+def boosted(df: DataFrame, key: str, label: str, columns: list[str], test_share: float = 0.2, rounds: int = 20, depth: int = 4, seed: int = 42) -> tuple[DataFrame, list[tuple[str, float]]]:
+    """As ``forest``, by gradient-boosted trees, one model for each class against the rest; the class of the highest raw score
+    wins and the probabilities are the classes' own, scaled to add up to 1."""
+    data = df.select(key, F.col(label).cast("string").alias("truth"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    data = tables.split(data, key, ["truth"], test_share)
+    classes = sorted(r[0] for r in data.select("truth").distinct().collect() if r[0] is not None)
+    wide = VectorAssembler(inputCols=columns, outputCol="features").transform(data).select(key, "truth", "part", "features").persist()
+    out, importance = wide.filter("part = 'test'"), np.zeros(len(columns))
+    for i, c in enumerate(classes):
+        train = wide.filter("part = 'train'").withColumn("y", (F.col("truth") == c).cast("double"))
+        model = GBTClassifier(labelCol="y", maxIter=rounds, maxDepth=depth, seed=seed).fit(train)
+        importance += model.featureImportances.toArray()
+        out = model.setProbabilityCol(f"p{i}").setRawPredictionCol(f"r{i}").setPredictionCol(f"d{i}").transform(out)
+    p = F.array(*[vector_to_array(f"p{i}")[1] for i in range(len(classes))])
+    total = F.aggregate(p, F.lit(0.0), lambda s, v: s + v)
+    best = F.array_max(F.array(*[F.struct(vector_to_array(f"r{i}")[1].alias("r"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(classes)]))["c"]
+    out = out.select(key, "truth", best.alias("predicted"), F.transform(p, lambda v: v / total).alias("probability"))
+    return out, sorted(zip(columns, (importance / max(len(classes), 1)).tolist()), key=lambda t: (-t[1], t[0]))
+
+
 def forest(df: DataFrame, key: str, label: str, columns: list[str], test_share: float = 0.2, trees: int = 60, depth: int = 6, seed: int = 42) -> tuple[DataFrame, list[tuple[str, float]]]:
     """(key, truth, predicted, probability array) of the held-out rows, and (feature, importance), highest first."""
     data = df.select(key, F.col(label).cast("string").alias("truth"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])

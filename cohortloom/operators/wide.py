@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from .quantiles import column_quantiles, exact_quantiles
+from .series import modal
 
 
 def best_row(df: DataFrame, keys: list[str], distance: Column, day: str, last: list[str], take: list[str]) -> DataFrame:
@@ -62,8 +63,15 @@ def unit_summary(long: DataFrame, kind: str, key: str, unit: Column) -> DataFram
     )
 
 
-def converted(long: DataFrame, kind: str, unit: Column, common: DataFrame, fill_missing_unit: bool = False) -> DataFrame:
-    """Adds unit_norm, common_unit, value_common, conversion_status[, unit_filled]; ``common`` is a small table kind -> common_unit."""
+def modal_units(long: DataFrame, kind: str, unit: Column) -> DataFrame:
+    """(kind, common_unit): the unit that most rows of each kind have, the smallest on ties."""
+    return modal(long, [kind], unit, "common_unit")
+
+
+def converted(long: DataFrame, kind: str, unit: Column, common: DataFrame | None = None, fill_missing_unit: bool = False) -> DataFrame:
+    """Adds unit_norm, common_unit, value_common, conversion_status[, unit_filled]; ``common`` is a small table kind -> common_unit, by
+    default that of each kind's most frequent unit. With ``fill_missing_unit`` a missing unit counts as the common one."""
+    common = modal_units(long, kind, unit) if common is None else common
     df = long.withColumn("unit_norm", unit).join(F.broadcast(common), kind, "left")
     used = F.coalesce("unit_norm", "common_unit") if fill_missing_unit else F.col("unit_norm")
     value, status = C.convert(F.col(kind), F.col("value"), used, F.col("common_unit"))

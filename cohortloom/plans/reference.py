@@ -108,17 +108,12 @@ def top_code_select(spark, sf):
     return spark.createDataFrame([(c,) for c in top], "code string")
 
 
-CATEGORIES = {"I10": "circulatory", "I50": "circulatory", "I48": "circulatory", "I25": "circulatory", "E78": "endocrine", "E11": "endocrine", "E66": "endocrine", "N18": "renal", "J44": "respiratory", "R06": "respiratory"}
-
-
-@query(
-    f"SELECT DISTINCT id, category FROM (SELECT DISTINCT id, substr(code, 1, 3) AS code FROM {S_CODES} WHERE length(code) >= 3) c JOIN (VALUES "
-    + ", ".join(f"('{a}', '{b}')" for a, b in CATEGORIES.items())
-    + ") m(code, category) USING (code)"
-)
+@query(f"WITH c AS (SELECT DISTINCT id, substr(code, 1, 3) AS code FROM {S_CODES} WHERE length(code) >= 3) SELECT DISTINCT id, substr(code, 1, n) AS category FROM c, (VALUES (1), (2)) v(n)")
 def category_flags(spark, sf):
-    mapping = spark.createDataFrame(list(CATEGORIES.items()), "code string, category string")
-    return codes.category_flags(dx(spark, sf), "id", C.codes_3(F.col("CURRENT_ICD10_LIST")), F.broadcast(mapping))
+    """Categories of all codes that occur, by a mapping with one column for each level: chapter letter and block."""
+    found = dx(spark, sf).select(F.explode(C.codes_3(F.col("CURRENT_ICD10_LIST"))).alias("code")).distinct()
+    mapping = found.select("code", F.substring("code", 1, 1).alias("level_1"), F.substring("code", 1, 2).alias("level_2"))
+    return codes.category_flags(dx(spark, sf), "id", C.codes_3(F.col("CURRENT_ICD10_LIST")), tables.explode_categories(mapping, "code", "level"))
 
 
 @query(
@@ -811,6 +806,25 @@ def silhouette_exact(spark, sf):
     return clusters.silhouette(e, e, "vec_id", "x", "label")
 
 
+S_METRICS = {
+    "cosine": "1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])",
+    "manhattan": "list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: abs(z[1] - z[2])))",
+}
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{m}' AS metric, round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, count(*) AS n FROM (SELECT i, min(CASE WHEN li = lj THEN d END) AS a, min(CASE WHEN li <> lj THEN d END) AS b FROM
+        (SELECT a.vec_id AS i, a.label AS li, b.label AS lj, avg({d}) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY ALL) GROUP BY i)"""
+        for m, d in S_METRICS.items()
+    )
+)
+def silhouette_metrics(spark, sf):
+    e = embeddings(spark, sf)
+    each = [clusters.silhouette(e, e, "vec_id", "x", "label", m).select(F.lit(m).alias("metric"), "silhouette", "n") for m in S_METRICS]
+    return each[0].unionByName(each[1])
+
+
 def group_validity(spark, sf):
     """Davies-Bouldin and Calinski-Harabasz of the given labels."""
     groups, centre, n, _ = clusters.dispersion(embeddings(spark, sf), "x", "label", 64)
@@ -1061,6 +1075,26 @@ def forest_predictions(spark, sf):
     return out.select(F.col(ID).alias("id"), "truth", "predicted")
 
 
+@query()
+def boosted_predictions(spark, sf):
+    m = labelled(spark, sf)
+    out, _ = learn.boosted(m, ID, "cluster", [c for c in m.columns if c.startswith("med_")] + CONT, rounds=10)
+    return out.select(F.col(ID).alias("id"), "truth", "predicted")
+
+
+@query()
+def ward_sweep(spark, sf):
+    rows = learn.ward_sweep(embeddings(spark, sf), "vec_id", "x", list(range(2, 9)))
+    return spark.createDataFrame([(r["k"], round(r["silhouette"], 6), round(r["cophenetic"], 6)) for r in rows], "k int, silhouette double, cophenetic double")
+
+
+@query()
+def preference_sweep(spark, sf):
+    """Affinity propagation at several preferences, on a sample of 500 rows at most (a parameter of the operator)."""
+    rows = learn.preference_sweep(embeddings(spark, sf), "vec_id", "x", [0.01, 0.1, 0.5])
+    return spark.createDataFrame([(r["quantile"], r["groups"], round(r["silhouette"], 6)) for r in rows], "quantile double, n_groups int, silhouette double")
+
+
 def _fuzzy(spark, sf):
     near = all_neighbours(spark, sf).select(F.col("q").alias("a"), F.col("vec_id").alias("b"), (1 - F.col("similarity")).alias("d"))
     return graph.fuzzy_weights(near)
@@ -1080,3 +1114,10 @@ def graph_communities(spark, sf):
 def community_stability(spark, sf):
     scores = graph.stability(written(_fuzzy(spark, sf), "fuzzy"), 3)
     return spark.createDataFrame([(i, s) for i, s in enumerate(scores)], "run int, ari double")
+
+
+@query()
+def stability_report(spark, sf):
+    """Agreement of three other seeds with the first partition: mean, spread and least."""
+    rows = graph.stability_report(written(_fuzzy(spark, sf), "fuzzy"), 3)
+    return spark.createDataFrame([(r["score"], r["runs"], round(r["mean"], 6), round(r["sd"], 6), round(r["least"], 6)) for r in rows], "score string, runs int, mean double, sd double, least double")

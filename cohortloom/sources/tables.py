@@ -78,8 +78,10 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_arrays(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """JSON text back to arrays; column -> element type."""
-    return df.withColumns({c: F.from_json(c, f"array<{t}>") for c, t in columns.items()})
+    """JSON text back to arrays; column -> element type. A bare value is a list of one; null, blank and what is neither are null."""
+    text = lambda c: F.trim(F.col(c))
+    bare = lambda c: ~text(c).startswith("[") & (text(c) != "")
+    return df.withColumns({c: F.from_json(F.when(bare(c), F.concat(F.lit("["), text(c), F.lit("]"))).otherwise(text(c)), f"array<{t}>") for c, t in columns.items()})
 
 
 def preview(df: DataFrame, rows: int = 5) -> dict:
@@ -91,6 +93,12 @@ def verify_ids(spark: SparkSession, path: str, key: str, expected: int) -> bool:
     return spark.read.parquet(path).select(key).distinct().count() == expected
 
 
-def report(path: str, content: dict) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(content, f, indent=2, sort_keys=True, default=str)
+def report(spark: SparkSession, path: str, content: dict) -> None:
+    """A small report as JSON, on whatever file system the path names."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(json.dumps(content, indent=2, sort_keys=True, default=str), "utf-8"))
+    finally:
+        out.close()

@@ -119,3 +119,99 @@ def test_large_graphs_are_shrunk_first(spark):
     apart = spark.createDataFrame([(i * 2, i * 2 + 1, 1.0) for i in range(60)] + [(i * 2 + 1, i * 2, 1.0) for i in range(60)], "a long, b long, w double")
     labels = [r.label for r in graph.graph_communities(apart, nodes=10, links=10).collect()]
     assert len(labels) == 120 and len(set(labels)) == 60
+
+
+def brute_silhouette(d, label):
+    out = []
+    for i in range(len(label)):
+        mates = [j for j in range(len(label)) if label[j] == label[i] and j != i]
+        others = [np.mean([d[i, j] for j in range(len(label)) if label[j] == g]) for g in set(label) if g != label[i]]
+        out.append(0.0 if not mates or not others else (min(others) - np.mean(d[i, mates])) / max(min(others), np.mean(d[i, mates])))
+    return float(np.mean(out))
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "cosine", "correlation"])
+def test_silhouettes_against_brute_force(spark, metric):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 6)) + np.repeat(rng.normal(size=(4, 6)) * 2, 10, axis=0)
+    label = [i // 10 for i in range(39)] + [9]
+    far = {
+        "euclidean": lambda a, b: np.linalg.norm(a - b), "manhattan": lambda a, b: np.abs(a - b).sum(),
+        "cosine": lambda a, b: 1 - a @ b / np.linalg.norm(a) / np.linalg.norm(b), "correlation": lambda a, b: 1 - np.corrcoef(a, b)[0, 1],
+    }[metric]
+    d = np.array([[far(a, b) if a is not b else 0.0 for b in x] for a in x])
+    want = brute_silhouette(d, label)
+    df = spark.createDataFrame([(i, v.tolist(), g) for i, (v, g) in enumerate(zip(x, label))], "id int, x array<double>, label int")
+    assert clusters.silhouette(df, df, "id", "x", "label", metric).collect()[0].silhouette == pytest.approx(want, abs=1e-6)
+    assert clusters.silhouette_of(d, np.array(label)) == pytest.approx(want)
+    assert clusters.silhouette_of(d[:0, :0], np.array([])) is None
+
+
+def test_ward_tree_and_its_cophenetic_correlation(spark):
+    from cohortloom.operators import learn
+
+    x = np.array([[0.0], [1.0], [10.0], [12.0]])
+    merges = learn.ward_merges(x)
+    assert [(i, j) for i, j, _ in merges] == [(0, 1), (2, 3), (0, 2)] and merges[0][2] == pytest.approx(1.0) and merges[1][2] == pytest.approx(2.0)
+    # joined heights: 1 within the first pair, 2 within the second, the rest at the top
+    top = merges[2][2]
+    want = np.corrcoef([1, 10, 12, 9, 11, 2], [1, top, top, top, top, 2])[0, 1]
+    assert learn.cophenetic(x) == pytest.approx(want) and math.isnan(learn.cophenetic(x[:1]))
+    df = spark.createDataFrame([(i, [float(v), 1.0]) for i, v in enumerate([0, 0.1, 5, 5.2, 9, 9.3])], "id int, x array<double>")
+    sweep = {r["k"]: r["silhouette"] for r in learn.ward_sweep(df, "id", "x", [2, 3, 4])}
+    assert max(sweep, key=sweep.get) == 3
+    assert [r["quantile"] for r in learn.preference_sweep(df, "id", "x", [0.1, 0.5])] == [0.1, 0.5]
+
+
+def test_boosting_learns_three_classes(spark):
+    from cohortloom.operators import learn
+
+    rng = np.random.default_rng(6)
+    rows = [(i, "abc"[i % 3], float(rng.normal(i % 3 == 0, 0.2)), float(rng.normal(i % 3 == 1, 0.2)), float(rng.normal())) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, label string, u double, v double, noise double")
+    out, importance = learn.boosted(df, "id", "label", ["u", "v", "noise"], rounds=5, depth=3)
+    got = out.collect()
+    assert len(got) == 60 and np.mean([r.truth == r.predicted for r in got]) > 0.9 and importance[-1][0] == "noise"
+    assert all(sum(r.probability) == pytest.approx(1.0) for r in got)
+    mean, sd = learn.cross_validate(df, "id", "label", ["u", "v"], k=3, trees=5, depth=3)
+    assert mean > 0.9 and sd < 0.1
+
+
+def test_choice_of_k():
+    from cohortloom.operators import learn
+
+    row = lambda k, s, d, c: {"k": k, "silhouette": s, "davies_bouldin": d, "calinski_harabasz": c}
+    assert learn.choose_k([row(2, 0.5, 1.0, 9.0), row(3, 0.5, 0.9, 1.0), row(4, 0.4, 0.1, 99.0)])["k"] == 3
+    assert learn.choose_k([row(2, 0.5, 1.0, 9.0), row(3, 0.5, 1.0, 9.0)])["k"] == 2
+
+
+def test_missing_units_take_the_most_frequent(spark):
+    from cohortloom.functions import columns as C
+    from cohortloom.operators import wide
+
+    df = spark.createDataFrame([("creatinine", 1.0, "mg/dL"), ("creatinine", 2.0, "mg/dL"), ("creatinine", 88.4, "umol/L"), ("creatinine", 3.0, None)], "lab string, value double, unit string")
+    out = sorted((r.value, r.common_unit, r.unit_filled, round(r.value_common, 2)) for r in wide.converted(df, "lab", C.lab_unit(F.col("unit")), fill_missing_unit=True).collect())
+    assert [o[1:3] for o in out] == [("mg/dL", 0), ("mg/dL", 0), ("mg/dL", 1), ("mg/dL", 0)] and out[2][3] == 3.0 and out[3][3] == pytest.approx(1.0, abs=0.01)
+
+
+def test_sources_and_stream(spark, tmp_path):
+    from cohortloom.sources import tables as S
+    from cohortloom.streaming.ingest import daily_counts
+
+    df = spark.createDataFrame([("[1.0, 2.0]",), ("3",), (" ",), (None,), ("x",)], "v string")
+    assert [r.v for r in S.read_arrays(df, {"v": "double"}).collect()][:2] == [[1.0, 2.0], [3.0]]
+    assert [r.v for r in S.read_arrays(df, {"v": "double"}).collect()][2:4] == [None, None]
+    assert S.preview(df, 2) == {"rows": 5, "columns": ["v"], "head": [{"v": "[1.0, 2.0]"}, {"v": "3"}]}
+    S.report(spark, str(tmp_path / "r.json"), {"b": 1, "a": None})
+    assert (tmp_path / "r.json").read_text() == '{\n  "a": null,\n  "b": 1\n}'
+    spark.createDataFrame([("2024-01-01 10:00:00", "a"), ("2024-01-01 11:00:00", "a"), ("2024-01-02 00:00:00", "b")], "t string, k string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("t string, k string").parquet(str(tmp_path / "in")).withColumn("t", F.to_timestamp("t"))
+    q = daily_counts(stream, "t", "k").writeStream.format("memory").queryName("days").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+    q.awaitTermination(60)
+    assert sorted((r.day.start.day, r.k, r.n) for r in spark.table("days").collect()) == [(1, "a", 2), (2, "b", 1)]
+
+
+def test_agreement_over_seeds(spark):
+    edges = spark.createDataFrame([(a, b, 1.0) for g in range(3) for a in range(g * 6, g * 6 + 6) for b in range(g * 6, g * 6 + 6) if a != b], "a long, b long, w double")
+    got = {r["score"]: (r["mean"], r["sd"], r["least"]) for r in graph.stability_report(edges, 2)}
+    assert got["ari"] == (1.0, 0.0, 1.0) and got["ami"] == pytest.approx((1.0, 0.0, 1.0))
