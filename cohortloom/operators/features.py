@@ -153,13 +153,24 @@ def mostly_numeric(df: DataFrame, columns: list[str], least: float = 0.8) -> lis
     return [c for c in columns if c in kept]
 
 
-def quantile_spans(df: DataFrame, columns: list[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
+def quantile_spans(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """(feature, low, high, span): range of each feature between two quantiles, for Gower distances that outliers don't stretch; a span of 0 counts as 1."""
     each = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])
     q = exact_quantiles(df.select(F.inline(each)), ["feature"], "v", [low, high]).toDF("feature", "low", "high")
     return q.withColumn("span", F.coalesce(F.nullif(F.col("high") - F.col("low"), F.lit(0.0)), F.lit(1.0)))
 
 
+def column_kinds(df: DataFrame, columns: list[str], alike: float = 0.95) -> DataFrame:
+    """(column_name, kind, n_distinct, id_like): numeric or categorical by type; id_like columns have nearly as many different
+    values as rows (about, by a sketch) without being fractions, and tell a model nothing."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    numeric = ("byte", "short", "integer", "long", "float", "double", "boolean")
+    row = df.agg(F.count("*").alias("n"), *[F.approx_count_distinct(c, 0.02).alias(f"d{i}") for i, c in enumerate(columns)]).collect()[0]
+    of = lambda c: "numeric" if kinds[c] in numeric or kinds[c].startswith("decimal") else "categorical"
+    rows = [(c, of(c), row[f"d{i}"], bool(row["n"] > 20 and row[f"d{i}"] >= alike * row["n"] and kinds[c] not in ("float", "double"))) for i, c in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, "column_name string, kind string, n_distinct long, id_like boolean")
+
+
 def cumulative(df: DataFrame, share: str, order: str) -> DataFrame:
     """Running sum of shares; for lists as short as a spectrum."""
     return df.withColumn("cumulative", F.sum(share).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))

@@ -9,8 +9,8 @@ from ..functions import columns as C
 from ..functions.rules import VITAL_RULES
 
 
-def long_vitals(raw: DataFrame, accepted_only: bool = False) -> DataFrame:
-    """(row_id, id, vital, day, value, unit): classified by name, pressures as two rows, without rows that lack value or day."""
+def parsed_vitals(raw: DataFrame, accepted_only: bool = False) -> DataFrame:
+    """(row_id, id, vital, day, value, unit): classified by name, pressures as two rows; value and day are null where there is none."""
     name = C.first_match(F.col("FLO_MEAS_NAME"), VITAL_RULES)
     df = raw.withColumn("vital", name).filter(F.col("vital").isNotNull() & C.present(F.col("PAT_MRN_ID_ENCRYPT"), C.MISSING_VITALS))
     if accepted_only:
@@ -24,11 +24,21 @@ def long_vitals(raw: DataFrame, accepted_only: bool = False) -> DataFrame:
     return (
         df.select(
             F.col("vital_row_id").alias("row_id"), C.strip(F.col("PAT_MRN_ID_ENCRYPT")).alias("id"), C.day_number(F.col("MEAS_DAYS_SINCE_DX_FRST_OBSRVD")).alias("day"), F.col("UNITS").alias("unit"), F.inline(pairs)
-        ).filter(F.col("value").isNotNull() & F.col("day").isNotNull())
-        .select("row_id", "id", "vital", "day", "value", "unit")
+        ).select("row_id", "id", "vital", "day", "value", "unit")
     )
 
 
+def long_vitals(raw: DataFrame, accepted_only: bool = False) -> DataFrame:
+    """``parsed_vitals`` without rows that lack value or day."""
+    return parsed_vitals(raw, accepted_only).filter(F.col("value").isNotNull() & F.col("day").isNotNull())
+
+
+def drop_counters(parsed: DataFrame, kind: str) -> DataFrame:
+    """(kind, n_kept, n_no_value, n_no_day, n_usable): rows of each kind, those that lack a value or a day, and those that have both."""
+    value, day = F.col("value").isNotNull(), F.col("day").isNotNull()
+    return parsed.groupBy(kind).agg(F.count("*").alias("n_kept"), F.count_if(~value).alias("n_no_value"), F.count_if(~day).alias("n_no_day"), F.count_if(value & day).alias("n_usable"))
+
+
 def long_labs(wide: DataFrame, labs: list[str]) -> DataFrame:
     """(row_id, id, lab, pos, day, value, unit) from parallel arrays; the unit is the row's."""
     each = F.array(*[F.struct(F.lit(n).alias("lab"), F.col(f"{n}_days").alias("days"), F.col(f"{n}_value").alias("vals"), F.col(f"{n}_unit").alias("unit")) for n in labs])

@@ -179,12 +179,13 @@ def med_long(spark, sf):
     )
 
 
-ROUTES = ["ORAL", "INTRAVENOUS", "IV", "SUBCUTANEOUS"]
-
-
-@query(f"SELECT {s_strip(ID)} AS id, " + ", ".join(f"max(CASE WHEN upper({s_strip('MED_ADMIN_ROUTE')}) = '{r}' THEN 1 ELSE 0 END) AS \"{r}\"" for r in ROUTES) + f" FROM hypertension_medications_20250417 WHERE {s_present(ID, C.MISSING_MEDS)} GROUP BY 1")
+@query(
+    f"WITH m AS (SELECT {s_strip(ID)} AS id, CASE WHEN {s_present('MED_ADMIN_ROUTE', C.MISSING_MEDS)} THEN 'route_' || trim(regexp_replace(lower(MED_ADMIN_ROUTE), '[^0-9a-z]+', '_', 'g'), '_') ELSE 'route_missing' END AS route FROM hypertension_medications_20250417 WHERE {s_present(ID, C.MISSING_MEDS)}) PIVOT m ON route USING count(DISTINCT route) GROUP BY id"
+)
 def route_pivot(spark, sf):
-    return codes.pivot_flags(meds(spark, sf).withColumn("r", F.upper(C.strip(F.col("MED_ADMIN_ROUTE")))), "id", "r", ROUTES)
+    """A 0/1 column for every route that occurs, one row per patient."""
+    named = F.when(C.present(F.col("MED_ADMIN_ROUTE"), C.MISSING_MEDS), F.concat(F.lit("route_"), C.slug(F.col("MED_ADMIN_ROUTE")))).otherwise("route_missing")
+    return codes.found_flags(meds(spark, sf).select("id", named.alias("route")), "id", "route")
 
 
 @query(f"SELECT upper({s_strip('status')}) AS status, count(*) AS n, count(DISTINCT id) AS n_entities FROM {S_MEDS} WHERE coalesce(upper({s_strip('status')}) NOT IN ('CANCELED', 'CANCELLED', 'DISCONTINUED'), true) GROUP BY 1")
@@ -208,6 +209,14 @@ l AS (SELECT row_id, id, 'bp_systolic' AS vital, day, {s_number('m1', C.MISSING_
 SELECT * FROM l WHERE value IS NOT NULL AND day IS NOT NULL)"""
 
 
+S_PARSED = S_LONG.replace("SELECT * FROM l WHERE value IS NOT NULL AND day IS NOT NULL)", "SELECT * FROM l)")
+
+
+@query(f"SELECT vital, count(*) AS n_kept, count(*) FILTER (WHERE value IS NULL) AS n_no_value, count(*) FILTER (WHERE day IS NULL) AS n_no_day, count(*) FILTER (WHERE value IS NOT NULL AND day IS NOT NULL) AS n_usable FROM {S_PARSED} GROUP BY vital")
+def drop_counters(spark, sf):
+    return series.drop_counters(series.parsed_vitals(t(spark, sf, "hypertension_vitals_20250520")), "vital")
+
+
 def long_vitals(spark: SparkSession, sf: str) -> DataFrame:
     return series.long_vitals(t(spark, sf, "hypertension_vitals_20250520"))
 
@@ -399,10 +408,10 @@ S_UNIT = "CASE WHEN " + s_present("unit", C.MISSING_UNITS) + " THEN CASE " + S_U
     f"""WITH l AS (SELECT id, lab, {S_UNIT} AS u FROM {S_LABS}), c AS (SELECT lab, u, count(*) AS n FROM l WHERE u IS NOT NULL GROUP BY ALL),
 m AS (SELECT lab, u, n FROM (SELECT *, row_number() OVER (PARTITION BY lab ORDER BY n DESC, u) AS k FROM c) WHERE k = 1),
 b AS (SELECT lab, count(*) AS total_rows, count(DISTINCT id) AS total_entities, count(*) FILTER (WHERE u IS NULL) AS rows_empty_unit, count(DISTINCT CASE WHEN u IS NULL THEN id END) AS entities_empty_unit FROM l GROUP BY lab)
-SELECT lab, total_rows, total_entities, rows_empty_unit, entities_empty_unit, round(100.0 * entities_empty_unit / total_entities, 4) AS percent_empty_unit, m.u AS most_common_unit, m.n AS most_common_unit_rows FROM b LEFT JOIN m USING (lab)"""
+SELECT lab, total_rows, total_entities, rows_empty_unit, entities_empty_unit, round(100.0 * entities_empty_unit / total_entities, 4) AS percent_empty_unit, m.u AS most_common_unit, m.n AS most_common_unit_rows, h.all_units_seen FROM b LEFT JOIN m USING (lab) LEFT JOIN (SELECT lab, string_agg(u || '=' || n, ';' ORDER BY u || '=' || n) AS all_units_seen FROM c GROUP BY lab) h USING (lab)"""
 )
 def unit_summary(spark, sf):
-    return wide.unit_summary(long_labs(spark, sf), "lab", "id", C.lab_unit(F.col("unit"))).drop("all_units_seen")
+    return wide.unit_summary(long_labs(spark, sf), "lab", "id", C.lab_unit(F.col("unit")))
 
 
 COMMON = {"creatinine": "mg/dL", "gfr": "mL/min/1.73m2", "bun": "mg/dL", "sodium": "mmol/L", "potassium": "mmol/L", "calcium": "mg/dL", "glucose": "mg/dL"}
@@ -736,7 +745,7 @@ GOWER_NUM = {"creatinine_value": (0.5, 6.0), "sodium_value": (125.0, 155.0)}
 MEDOIDS = [(0, [0.0, 0.0, 0.0, 1.0, 140.0]), (1, [1.0, 0.0, 1.0, 3.0, 138.0]), (2, [0.0, 1.0, 0.0, 0.9, 137.0])]
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(quantile_cont({c}, 0.05), 6) AS low, round(quantile_cont({c}, 0.95), 6) AS high, round(coalesce(nullif(quantile_cont({c}, 0.95) - quantile_cont({c}, 0.05), 0), 1), 6) AS span FROM master_clustering_ready" for c in CONT))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(quantile_cont({c}, 0.01), 6) AS low, round(quantile_cont({c}, 0.99), 6) AS high, round(coalesce(nullif(quantile_cont({c}, 0.99) - quantile_cont({c}, 0.01), 0), 1), 6) AS span FROM master_clustering_ready" for c in CONT))
 def gower_spans(spark, sf):
     return features.quantile_spans(t(spark, sf, "master_clustering_ready"), CONT).select("feature", *[F.round(c, 6).alias(c) for c in ("low", "high", "span")])
 

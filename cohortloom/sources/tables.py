@@ -84,6 +84,26 @@ def read_arrays(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.from_json(F.when(bare(c), F.concat(F.lit("["), text(c), F.lit("]"))).otherwise(text(c)), f"array<{t}>") for c, t in columns.items()})
 
 
+LONG_VITALS = "row_id long, id string, vital string, day int, value double, unit string"
+
+
+def write_both(df: DataFrame, path: str, schema: str = LONG_VITALS, mode: str = "overwrite") -> DataFrame:
+    """``path``.parquet and ``path``.csv with the columns and types of ``schema``, computed once; the Parquet table is returned."""
+    fields = [f.strip().rsplit(" ", 1) for f in schema.split(",")]
+    df.select(*[F.col(name).cast(kind).alias(name) for name, kind in fields]).write.mode(mode).parquet(f"{path}.parquet")
+    table = df.sparkSession.read.schema(schema).parquet(f"{path}.parquet")
+    write_table(table, f"{path}.csv", mode)
+    return table
+
+
+def metadata(spark: SparkSession, path: str) -> dict:
+    """Files, bytes, rows and columns with their types of a Parquet table; rows come from the files' footers."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target)
+    df = spark.read.parquet(path)
+    return {"files": len(df.inputFiles()), "bytes": size.getLength(), "rows": df.count(), "columns": dict(df.dtypes)}
+
+
 def preview(df: DataFrame, rows: int = 5) -> dict:
     return {"rows": df.count(), "columns": df.columns, "head": [r.asDict() for r in df.limit(rows).collect()]}
 

@@ -9,6 +9,7 @@ from cohortloom.plans import catalog
 
 DATA = Path("/root/testdata/sf0.001")
 CHOSEN = ["code_frequency", "comorbidity_flags", "med_groups", "vitals_long", "nearest_match", "best_row", "median_impute", "unit_convert", "missingness_entities", "master_join", "scale_robust", "standardized_drivers", "cosine_knn", "ranking_scores", "stratified_folds", "p4_found"]
+CHOSEN += ["series_per_entity", "vital_series", "lab_series", "day_sets", "drop_counters", "med_onehot", "med_long", "route_pivot", "category_flags", "unit_summary", "missingness_cohort", "feature_columns", "gower_spans", "pr_points", "averaged_scores", "mean_roc", "stratified_split", "stratified_sample", "corr_pairs", "cluster_multistat", "silhouette_metrics", "p4_observed"]
 
 
 def plain(rows, names):

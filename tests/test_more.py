@@ -211,6 +211,21 @@ def test_sources_and_stream(spark, tmp_path):
     assert sorted((r.day.start.day, r.k, r.n) for r in spark.table("days").collect()) == [(1, "a", 2), (2, "b", 1)]
 
 
+def test_two_sinks_and_metadata(spark, tmp_path):
+    from cohortloom.sources import tables as S
+
+    df = spark.createDataFrame([(1, "p", "bp", 3.0, "120", None)], "row_id int, id string, vital string, day double, value string, unit string")
+    back = S.write_both(df, str(tmp_path / "v"))
+    assert [tuple(r) for r in back.collect()] == [(1, "p", "bp", 3, 120.0, None)] and S.read_any(spark, str(tmp_path / "v.csv")).collect()[0].value == "120.0"
+    m = S.metadata(spark, str(tmp_path / "v.parquet"))
+    assert m["rows"] == 1 and m["bytes"] > 0 and m["columns"]["day"] == "int"
+
+
+def test_kinds_of_columns(spark):
+    df = spark.createDataFrame([(f"id{i}", i % 3, float(i), "x" if i % 2 else None) for i in range(200)], "id string, n int, f double, c string")
+    assert [(r.column_name, r.kind, r.id_like) for r in features.column_kinds(df, df.columns).collect()] == [("id", "categorical", True), ("n", "numeric", False), ("f", "numeric", False), ("c", "categorical", False)]
+
+
 def test_agreement_over_seeds(spark):
     edges = spark.createDataFrame([(a, b, 1.0) for g in range(3) for a in range(g * 6, g * 6 + 6) for b in range(g * 6, g * 6 + 6) if a != b], "a long, b long, w double")
     got = {r["score"]: (r["mean"], r["sd"], r["least"]) for r in graph.stability_report(edges, 2)}
