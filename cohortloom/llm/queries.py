@@ -98,8 +98,9 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """The corpus by level, apart for levels that aren't calibrated: notebooks, words and mean score."""
-    return p9_levels(spark, sf).groupBy("reading_level", "calibrated").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"), F.round(F.avg("score"), 6).alias("mean_score"))
+    """The corpus by level, apart for levels that aren't calibrated: notebooks, those under 40 words of them, words and mean score."""
+    short = F.count_if(F.col("n_words") < LEAST_WORDS).alias("n_short")
+    return p9_levels(spark, sf).groupBy("reading_level", "calibrated").agg(F.count("*").alias("n_docs"), short, F.sum("n_words").alias("n_words"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_mapped, p2_unmatched, p5_found, p5_groups, p5_described, p7_packed, p8_found, p8_items, p9_found, p9_levels, p9_profile)}
