@@ -32,7 +32,7 @@ def summary(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     )
 
 
-def curve(df: DataFrame, keys: list[str], score: str, positive: Column, slices: int = 256) -> DataFrame:
+def curve(df: DataFrame, keys: list[str], score: str, positive: Column, slices: int = 64) -> DataFrame:
     """(keys, threshold, p, q, tp, fp, pos, neg): one row per distinct score, counts of scores at or above it.
 
     Rows are first counted by score. Running sums go within slices of the scores, cut at quantiles, and start at the sums
@@ -40,15 +40,9 @@ def curve(df: DataFrame, keys: list[str], score: str, positive: Column, slices:
     """
     n = df.select(*keys, F.col(score).alias("threshold"), positive.cast("int").alias("y")).groupBy(*keys, "threshold").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
     at = n.agg(F.percentile_approx(F.col("threshold").cast("double"), [i / slices for i in range(1, slices)], 10_000)).collect()[0][0] or []
-    cuts = sorted(set(at))
-    # the number of cuts at or under the score, by halving
-    def place(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(F.col("threshold").cast("double") >= F.lit(cuts[mid]), place(mid + 1, high)).otherwise(place(low, mid))
-
-    n = n.withColumn("slice", F.when(F.col("threshold").isNull(), F.lit(-1)).otherwise(place(0, len(cuts))))
+    cuts = F.array(*[F.lit(float(v)) for v in sorted(set(at))]).cast("array<double>")
+    place = F.size(F.filter(cuts, lambda c: c <= F.col("threshold").cast("double")))
+    n = n.withColumn("slice", F.when(F.col("threshold").isNull(), F.lit(-1)).otherwise(place))
     sums = n.groupBy(*keys, "slice").agg(F.sum("p").alias("sp"), F.sum("q").alias("sq"))
     whole = Window.partitionBy(*(keys or [F.lit(0)]))
     above = whole.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)

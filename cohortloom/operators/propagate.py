@@ -164,22 +164,29 @@ def fill_missing(
         # columns keep apart, as each counts its own values
         return _mixed(names.index(c), np.column_stack([hubs(k, x, g) for k in own[c]]))
 
-    def linked(c: str, missing: bool):
+    def linked(mine: list[str], missing: bool) -> DataFrame:
+        """(_hub, _id, _k) of the missing cells of the columns, or (_hub, _v) of the observed ones, in one pass."""
+
         def run(batches):
             for b in batches:
-                rows = np.flatnonzero(b[f"_v_{c}"].is_null() if missing else b[f"_v_{c}"].is_valid())
-                at = of(b, c, rows)
-                other = b["_id"] if missing else b[f"_v_{c}"]
-                yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), other.take(pa.array(np.repeat(rows, at.shape[1])))], ["_hub", "_id" if missing else "_v"])
+                parts = []
+                for k, c in enumerate(mine):
+                    rows = np.flatnonzero(b[f"_v_{c}"].is_null() if missing else b[f"_v_{c}"].is_valid())
+                    at = of(b, c, rows)
+                    again = pa.array(np.repeat(rows, at.shape[1]))
+                    parts.append([pa.array(at.ravel()), b["_id"].take(again), pa.array(np.full(at.size, k, np.int32))] if missing else [pa.array(at.ravel()), b[f"_v_{c}"].take(again)])
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(p) for p in zip(*parts)], ["_hub", "_id", "_k"] if missing else ["_hub", "_v"])
 
-        kind = "_id long" if missing else f"_v {'double' if c in numeric else 'string'}"
-        return base.select("_id", "_g", "_x", f"_v_{c}").mapInArrow(run, f"_hub long, {kind}")
+        kind = "_id long, _k int" if missing else f"_v {'double' if mine[0] in numeric else 'string'}"
+        return base.select("_id", "_g", "_x", *[f"_v_{c}" for c in mine]).mapInArrow(run, f"_hub long, {kind}")
 
     done = base.select("_row", "_id", *[f"_v_{c}" for c in names])
-    for c in names:
-        spread = float(stats[f"_s_{c}"] or 1.0) if c in numeric else 1.0
-        step = _propagate(linked(c, False), linked(c, True), c in numeric, spread, rounds)
-        done = done.join(step.select("_id", F.col("_f").alias(f"_f_{c}")), "_id", "left")
+    for mine in (list(numeric), list(categorical)):
+        if mine:
+            spreads = [float(stats[f"_s_{c}"] or 1.0) for c in mine] if mine[0] in numeric else None
+            step = _propagate(linked(mine, False), linked(mine, True), spreads, rounds)
+            fills = step.groupBy("_id").agg(*[F.max(F.when(F.col("_k") == k, F.col("_f"))).alias(f"_f_{c}") for k, c in enumerate(mine)])
+            done = done.join(fills, "_id", "left")
     fallback = {c: F.lit(stats[f"_m_{c}"]).cast("double" if c in numeric else "string") for c in names}
     result = [F.coalesce(f"_v_{c}", f"_f_{c}", fallback[c]).alias(c) if c in names else F.col(f"_row.`{c}`").alias(c) for c in kept]
     for c in names:
@@ -189,8 +196,9 @@ def fill_missing(
     return done.select(*result)
 
 
-def _propagate(known: DataFrame, ask: DataFrame, numbers: bool, spread: float, rounds: int) -> DataFrame:
-    """(_id, _f) of the cells in ``ask`` (_hub, _id), from the observed values ``known`` (_hub, _v) of the hubs."""
+def _propagate(known: DataFrame, ask: DataFrame, spreads: list[float] | None, rounds: int) -> DataFrame:
+    """(_id, _k, _f) of the cells in ``ask`` (_hub, _id, _k), from the observed values ``known`` (_hub, _v) of the hubs; hubs of
+    different columns are different. ``spreads``: of the numeric columns; None for categories."""
     ask = written(ask, "fill-ask")
     size = ask.groupBy("_hub").agg(F.count("*").alias("k"))
     total = ask.count()
@@ -198,32 +206,35 @@ def _propagate(known: DataFrame, ask: DataFrame, numbers: bool, spread: float, r
     often = written(size.filter(F.col("k") > F.lit(0.01 * total)).select("_hub"), "fill-often")
     many, rest = ask.join(F.broadcast(often), "_hub", "left_semi"), ask.join(F.broadcast(often), "_hub", "left_anti")
     told = lambda hub: many.join(F.broadcast(hub.join(F.broadcast(often), "_hub", "left_semi")), "_hub").unionByName(rest.join(hub, "_hub"))
+    cell = ["_id", "_k"]
+    filled = lambda now: ask.join(now, cell).select("_hub", F.col("_f").alias("_v"))
     current: DataFrame | None = None
-    if numbers:
+    if spreads is not None:
+        spread = F.array(*[F.lit(v) for v in spreads])[F.col("_k")]
         moments = lambda df: df.groupBy("_hub").agg(F.count("_v").alias("n"), F.sum("_v").alias("s"), F.sum(F.col("_v") * F.col("_v")).alias("q"))
         fixed = written(moments(known), "fill-hubs")
         for _ in range(rounds):
-            hub = fixed if current is None else fixed.unionByName(moments(ask.join(current, "_id").select("_hub", F.col("_f").alias("_v")))).groupBy("_hub").agg(*[F.sum(x).alias(x) for x in ("n", "s", "q")])
+            hub = fixed if current is None else fixed.unionByName(moments(filled(current))).groupBy("_hub").agg(*[F.sum(x).alias(x) for x in ("n", "s", "q")])
             # a hub with few members or spread-out values says less; its prior variance is the column's
             mean = F.col("s") / F.col("n")
             var = F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))
-            weight = 1 / ((var * F.col("n") + 4 * F.lit(spread**2)) / (F.col("n") + 4) * (1 + 1 / F.col("n")))
-            step = told(hub.select("_hub", mean.alias("m"), weight.alias("w"))).groupBy("_id").agg((F.sum(F.col("w") * F.col("m")) / F.sum("w")).alias("_f"))
+            weight = 1 / ((F.col("var") * F.col("n") + 4 * spread * spread) / (F.col("n") + 4) * (1 + 1 / F.col("n")))
+            step = told(hub.select("_hub", mean.alias("m"), var.alias("var"), "n")).withColumn("w", weight).groupBy(*cell).agg((F.sum(F.col("w") * F.col("m")) / F.sum("w")).alias("_f"))
             before, current = current, written(step, "fill-round")
             if before is not None:
-                moved = current.join(before.withColumnRenamed("_f", "_b"), "_id", "left").agg(F.avg(F.abs(F.col("_f") - F.coalesce("_b", F.lit(0.0))))).collect()[0][0] or 0.0
-                if moved <= SETTLED * spread:
+                moved = current.join(before.withColumnRenamed("_f", "_b"), cell, "left").agg(F.avg(F.abs(F.col("_f") - F.coalesce("_b", F.lit(0.0))) / spread)).collect()[0][0] or 0.0
+                if moved <= SETTLED:
                     break
         return current
     counts = lambda df: df.groupBy("_hub", "_v").agg(F.count("*").alias("k"))
     fixed = written(counts(known), "fill-hubs")
     for _ in range(rounds):
-        each = fixed if current is None else fixed.unionByName(counts(ask.join(current, "_id").select("_hub", F.col("_f").alias("_v")))).groupBy("_hub", "_v").agg(F.sum("k").alias("k"))
+        each = fixed if current is None else fixed.unionByName(counts(filled(current))).groupBy("_hub", "_v").agg(F.sum("k").alias("k"))
         hub = each.join(each.groupBy("_hub").agg(F.sum("k").alias("n")), "_hub").select("_hub", "_v", (F.col("k") / F.col("n")).alias("share"))
         # a hub has a row for each of its categories; the broadcast is of the most asked hubs times those
-        votes = told(hub).groupBy("_id", "_v").agg(F.sum("share").alias("p"))
-        step = votes.groupBy("_id").agg(F.max_by("_v", F.struct("p", "_v")).alias("_f"))
+        votes = told(hub).groupBy(*cell, "_v").agg(F.sum("share").alias("p"))
+        step = votes.groupBy(*cell).agg(F.max_by("_v", F.struct("p", "_v")).alias("_f"))
         before, current = current, written(step, "fill-round")
-        if before is not None and not current.join(before.withColumnRenamed("_f", "_b"), "_id", "left").filter(~F.col("_f").eqNullSafe(F.col("_b"))).head(1):
+        if before is not None and not current.join(before.withColumnRenamed("_f", "_b"), cell, "left").filter(~F.col("_f").eqNullSafe(F.col("_b"))).head(1):
             break
     return current
